@@ -142,7 +142,7 @@ def norm_authors_bib(c: Column) -> Column:
 
 def format_authors(c: Column) -> Column:
     """`A B, C` to an array of (first_name, last_name); the last word is the last name."""
-    names = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda a: a != "")
+    names = F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda a: F.trim(a)), lambda a: a != "")
 
     def split_name(name: Column) -> Column:
         words = F.split(name, r"\s+")
@@ -156,7 +156,7 @@ def format_authors(c: Column) -> Column:
 
 def author_set(c: Column) -> Column:
     """Lower-cased, trimmed, distinct author names of a comma list."""
-    names = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), F.trim)
+    names = F.transform(F.split(F.lower(F.coalesce(c, F.lit(""))), ","), lambda a: F.trim(a))
     return F.array_sort(F.array_distinct(F.filter(names, lambda a: a != "")))
 
 

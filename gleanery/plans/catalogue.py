@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["records"]
+MODULES = ["records", "selection"]
 
 
 def load() -> tuple[dict, dict]:

@@ -1,0 +1,11 @@
+import sys
+from gleanery.session import build_session
+from tests.oracle import *
+spark=build_session("8"); con=duck(); q,o=load()
+name,key=sys.argv[1],sys.argv[2]
+a=q[name](spark,SF).toPandas(); b=con.sql(o[name]).df()
+a=a.sort_values(key).reset_index(drop=True)[sorted(a.columns)]; b=b.sort_values(key).reset_index(drop=True)[sorted(b.columns)]
+m=a.merge(b,on=key,how="outer",suffixes=("_s","_d"))
+cols=[c for c in a.columns if c!=key]
+bad=m[[any(str(r[c+"_s"])!=str(r[c+"_d"]) for c in cols) for _,r in m.iterrows()]]
+print(len(bad)); print(bad.head(12).to_string())
