@@ -422,7 +422,7 @@ MAX_SHAPES = 20
 LIST_ITEM_PATTERN = r"^\s*[-•●○■▶]\s+|^\s*\d+[.)]\s+|^\s*[a-zA-Z][.)]\s+"
 FEEDBACK_RATINGS = ["good", "bad", "partial"]
 
-# --- Own sample tables (same shape as real lists, own content) -------------------
+# --- Own sample list (same shape as a real one, own content) ----------------------
 
 PREDATORY_SAMPLE = [
     # kind, pattern, confidence
@@ -433,19 +433,3 @@ PREDATORY_SAMPLE = [
     ("publisher", "plain publisher", 0.4),
     ("issn", "1234-5678", 0.85),
 ]
-
-VOCAB_SAMPLE = [
-    # term, synonyms, broader terms, weight
-    ("dry eye", ["ocular dryness", "sicca"], ["eye disease"], 1.0),
-    ("model", ["framework", "pattern"], ["system"], 0.9),
-    ("data", ["dataset", "record"], ["information"], 0.8),
-    ("record", ["log"], ["document"], 0.7),
-    ("water", ["river", "stream"], ["nature"], 1.0),
-]
-VOCAB_OVERLAY_SAMPLE = [
-    # region, kind, key, value
-    ("MY", "exclusion", "stream", None),
-    ("MY", "addition", "sungai", "river bank"),
-    ("MY", "mapping", "water", "air"),
-    ("SG", "mapping", "dry eye", "mata kering"),
-]

@@ -15,7 +15,7 @@ from .windows import first_per_key
 
 def dedup_exact(df: DataFrame, doi: str = "doi", title: str = "title", year: str = "year", author: str = "first_author", seq: str = "seq") -> DataFrame:
     """First row per DOI, then first row per title/year/surname hash among those."""
-    keyed = df.withColumn("_doi", F.when(F.coalesce(F.col(doi), F.lit("")) != "", text.norm_doi(F.col(doi)))).withColumn(
+    keyed = df.withColumn("_doi", F.nullif(text.norm_doi(F.col(doi)), F.lit(""))).withColumn(
         "_hash", text.dedup_hash(F.col(title), F.col(year), F.col(author))
     )
     by_doi = first_per_key(keyed, ["_doi"], [seq])
@@ -298,17 +298,16 @@ def companion_reports(df: DataFrame, dataset: str, content: str, rank: str, orde
     of the dataset are duplicates (E6), other analyses are companions (E7).
     """
     place = F.struct(F.col(rank), F.col(order))
-    known = df.withColumn("_own", F.when(F.col(dataset).isNull(), F.xxhash64(order)))
-    primary = known.groupBy(dataset, "_own").agg(F.min(place).alias("_primary"))
-    first_of_content = known.groupBy(dataset, "_own", content).agg(F.min(place).alias("_first"))
-    same = lambda other, cols: [known[c].eqNullSafe(other[c]) for c in cols]
-    out = (
-        known.join(primary, same(primary, [dataset, "_own"]))
-        .join(first_of_content, same(first_of_content, [dataset, "_own", content]))
-        .select(known["*"], "_primary", "_first")
+    # a report of no known dataset is its own dataset
+    own = F.concat(F.lit("own:"), F.col(order).cast("string"))
+    known = df.withColumn("_set", F.coalesce(F.concat(F.lit("set:"), F.col(dataset).cast("string")), own)).withColumn(
+        "_content", F.coalesce(F.col(content).cast("string"), F.lit(""))
     )
+    primary = known.groupBy("_set").agg(F.min(place).alias("_primary"))
+    first_of_content = known.groupBy("_set", "_content").agg(F.min(place).alias("_first"))
+    out = known.join(primary, "_set").join(first_of_content, ["_set", "_content"])
     return out.withColumn(
         "report_role", F.when(place == F.col("_primary"), "primary").when(place != F.col("_first"), "duplicate").otherwise("companion")
     ).withColumn("exclusion", F.when(F.col("report_role") == "duplicate", "E6").when(F.col("report_role") == "companion", "E7")).drop(
-        "_own", "_primary", "_first"
+        "_set", "_content", "_primary", "_first"
     )

@@ -66,7 +66,7 @@ def prisma_funnel(works: DataFrame, exclusions: DataFrame, promoted: DataFrame,
         records("ta").alias("ta"), records("fulltext").alias("ft"), F.count_if(F.col("phase") == "fulltext").alias("ft_rows")
     )
     n_promoted = promoted.agg(F.count("*").alias("promoted"))
-    phases = out.join(n_promoted)  # one row each
+    phases = out.withColumn("promoted", n_promoted.scalar())
     named = F.array(
         *[
             F.struct(F.lit(stage).alias("stage"), F.lit("").alias("key"), value.cast("long").alias("n"))
@@ -228,11 +228,11 @@ def cohen_kappa(df: DataFrame, a: str, b: str, id_: str, sample_of: int | None =
                                  F.struct(F.col("b").alias("label"), F.lit(0).cast("long").alias("na"), F.col("n").alias("nb")))).alias("e")
     )
     labels = ends.groupBy(*keys, "e.label").agg(F.sum("e.na").alias("na"), F.sum("e.nb").alias("nb"))
-    chance = labels.groupBy(*keys).agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("both"))
+    chance = labels.groupBy(*keys).agg(F.sum(F.col("na").cast("double") * F.col("nb")).alias("chance"))
     total = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("a") == F.col("b"), F.col("n"))), F.lit(0)).alias("same"))
-    joined = total.join(chance, list(keys)) if keys else total.join(chance)  # one row each
+    joined = total.join(chance, list(keys)) if keys else total.withColumn("chance", chance.scalar())
     po = F.col("same") / F.col("n")
-    pe = F.col("both") / (F.col("n").cast("double") * F.col("n"))
+    pe = F.col("chance") / (F.col("n").cast("double") * F.col("n"))
     return joined.select(
         *keys, "n", po.alias("observed"), pe.alias("expected"), F.when(pe < 1, (po - pe) / (1 - pe)).otherwise(1.0).alias("kappa")
     )
@@ -246,7 +246,7 @@ def frequency_tables(df: DataFrame, dims: list[str]) -> DataFrame:
 
 def evidence_map(df: DataFrame, row: str, col: str, values: list) -> DataFrame:
     """Cross-tabulation; naming the column values spares a pass over the data."""
-    return df.groupBy(row).pivot(col, values).agg(F.count("*")).na.fill(0)
+    return df.groupBy(row).pivot(col, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def gap_matrix(df: DataFrame, row: str, col: str, col_values: list, thin: int, counted: Column | None = None) -> DataFrame:
@@ -279,7 +279,8 @@ def qc_checks(raw: DataFrame, processed: DataFrame, manifest: DataFrame, require
         F.count_if(F.col("n").isNotNull() & F.col("n_records").isNotNull()).alias("present"),
         F.count("*").alias("seen"),
     )
-    one = n_raw.join(done).join(batches)  # one row each
+    as_row = lambda frame: frame.select(F.struct(*frame.columns)).scalar()
+    one = n_raw.withColumn("d", as_row(done)).withColumn("b", as_row(batches)).select("n_raw", "d.*", "b.*")
     c = F.col
     share = lambda a, b: F.round(c(a) / c(b), 6)
     checks = [

@@ -18,12 +18,12 @@ def norm_term(c: Column) -> Column:
     return text.squeeze(F.regexp_replace(F.lower(c), r"[^\w\s]", " "))
 
 
-def vocab_table(spark, entries=L.VOCAB_SAMPLE) -> DataFrame:
+def vocab_table(spark, entries: list[tuple]) -> DataFrame:
     rows = [(n, t, list(s), list(b), float(w)) for n, (t, s, b, w) in enumerate(entries)]
     return spark.createDataFrame(rows, "ordinal int, term string, synonyms array<string>, broader array<string>, weight double")
 
 
-def overlay_table(spark, entries=L.VOCAB_OVERLAY_SAMPLE) -> DataFrame:
+def overlay_table(spark, entries: list[tuple]) -> DataFrame:
     return spark.createDataFrame([tuple(e) for e in entries], "region string, kind string, key string, value string")
 
 
@@ -227,8 +227,7 @@ def query_fingerprint(df: DataFrame, spec, endpoints: list[str], region: str, do
     # three rows at most reach this array
     top = least.agg(F.array_join(F.array_sort(F.collect_list("d")), ",").alias("top_dois"))
     shape = spec_shape(spec)
-    joined = total.join(top)  # one row each
-    return joined.select(
+    return total.withColumn("top_dois", top.scalar()).select(
         F.lit(shape).alias("shape"),
         "cardinality",
         "top_dois",
@@ -278,8 +277,7 @@ def schema_drift(expected: DataFrame, actual: DataFrame, used: list[str]) -> Dat
 
 def json_fields(df: DataFrame, col: str) -> DataFrame:
     """(path, type) observed in a column of JSON objects, top level, one row per pair."""
-    variant = F.try_parse_json(F.col(col))
-    keys = F.from_json(F.col(col), "map<string,string>")
-    exploded = df.select(variant.alias("_v"), F.explode(F.map_keys(keys)).alias("path"))
-    kind = F.regexp_replace(F.schema_of_variant(F.try_variant_get("_v", F.concat(F.lit("$['"), "path", F.lit("']")), "variant")), r"\(.*\)", "")
-    return exploded.select("path", F.lower(kind).alias("type")).distinct()
+    return df.sparkSession.sql(
+        f"SELECT DISTINCT key AS path, lower(regexp_extract(schema_of_variant(value), '^([A-Z]+)', 1)) AS type FROM {{df}}, LATERAL variant_explode(try_parse_json({col}))",
+        df=df.select(col),
+    )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["records", "selection"]
+MODULES = ["records", "selection", "aggregates", "activity"]
 
 
 def load() -> tuple[dict, dict]:

@@ -107,6 +107,11 @@ class Tables:
             return self.sql(VIEWS[name])
         raise AttributeError(name)
 
+    def over(self, view: str, frame: DataFrame) -> DataFrame:
+        """A view whose base table is replaced by `frame`, for example by a stream."""
+        base = re.search(r"FROM\s+(\w+)", VIEWS[view]).group(1)
+        return self.spark.sql(re.sub(rf"\b(FROM|JOIN)\s+{base}\b", r"\1 {base}", VIEWS[view]), base=frame)
+
     def sql(self, text: str) -> DataFrame:
         """Run SQL over tables and views; their names stand for the frames."""
         used = [n for n in (*TABLES, *VIEWS) if re.search(rf"\b(FROM|JOIN)\s+{n}\b", text)]

@@ -1,0 +1,14 @@
+from gleanery.session import build_session
+from tests.oracle import *
+from gleanery.plans import aggregates as A
+from gleanery.plans.fixtures import Tables, with_views
+from gleanery.functions import text
+from pyspark.sql import functions as F
+spark=build_session("8"); con=duck(); q,o=load()
+a={r[0] for r in q["dedup_exact"](spark,SF).collect()}; b={r[0] for r in con.sql(o["dedup_exact"]).fetchall()}
+d=sorted(a-b)[:5]; print(len(a-b),len(b-a),d)
+t=Tables(spark,SF)
+c=A._copies(t)
+ids=",".join(map(str,d+[x-10000000 for x in d]))
+for r in c.filter(f"work_id in ({ids})").select("work_id","doi","year","first_author",text.norm_title(F.col("title")).alias("n"),text.dedup_hash(F.col("title"),F.col("year"),F.col("first_author")).alias("h")).orderBy("work_id").collect(): print(r)
+for r in con.sql(with_views(f"WITH c AS ({A._COPIES}) SELECT work_id, doi, year, {A.sql_title('title')} AS n, {A.sql_hash()} AS h FROM c WHERE work_id IN ({ids}) ORDER BY work_id")).fetchall(): print(r)
