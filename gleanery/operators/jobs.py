@@ -6,6 +6,8 @@ the end of it.
 
 from __future__ import annotations
 
+from itertools import groupby, islice, repeat
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +26,36 @@ def _chunked_calls(calls: DataFrame, chunk_s: int) -> DataFrame:
     )
 
 
+def _sorted_stretches(df: DataFrame) -> DataFrame:
+    """Stretches spread over tasks, each whole and in time order within its task."""
+    return df.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "t", "event_id")
+
+
+def _stretches(batches):
+    """(source, chunk, calls) per stretch of a sorted partition; only one stretch is held at a time."""
+    rows = (
+        row
+        for pdf in batches
+        for row in zip(
+            pdf["source"], pdf["chunk"], pdf["t"].tolist(), pdf["ok"].tolist(), pdf["event_id"].tolist(),
+            pdf["entered"].tolist() if "entered" in pdf else repeat(0),
+        )
+    )
+    for (source, chunk), group in groupby(rows, key=lambda r: (r[0], int(r[1]))):
+        yield source, chunk, [r[2:] for r in group]
+
+
+def _in_frames(produce, columns: list[str], size: int = 10_000):
+    """Wrap a row generator as a mapInPandas function that yields frames of `size` rows."""
+
+    def run(batches):
+        rows = produce(batches)
+        while part := list(islice(rows, size)):
+            yield pd.DataFrame(part, columns=columns)
+
+    return run
+
+
 def _entry_states(chunked: DataFrame, rule: Breaker, chunk_s: int) -> DataFrame:
     """State in which every (source, chunk) is entered.
 
@@ -31,16 +63,15 @@ def _entry_states(chunked: DataFrame, rule: Breaker, chunk_s: int) -> DataFrame:
     these effects are then applied one after the other, a row per chunk of time.
     """
 
-    def effect(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"])
-        horizon = int(pdf["chunk"].iloc[0]) * chunk_s * 1000 + rule.open_ms
-        finite, limits, ends = rule.transfer(pdf["t"].tolist(), pdf["ok"].tolist(), horizon)
-        return pd.DataFrame(
-            {"source": [pdf["source"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "finite": [finite], "limits": [limits], "ends": [ends]}
-        )
+    def effects_of(batches):
+        for source, chunk, calls in _stretches(batches):
+            horizon = chunk * chunk_s * 1000 + rule.open_ms
+            finite, limits, ends = rule.transfer([c[0] for c in calls], [c[1] for c in calls], horizon)
+            yield source, chunk, finite, limits, ends
 
-    effects = chunked.groupBy("source", "chunk").applyInPandas(
-        effect, "source string, chunk long, finite array<long>, limits array<long>, ends array<long>"
+    effects = _sorted_stretches(chunked).mapInPandas(
+        _in_frames(effects_of, ["source", "chunk", "finite", "limits", "ends"]),
+        "source string, chunk long, finite array<long>, limits array<long>, ends array<long>",
     )
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -55,7 +86,7 @@ def _entry_states(chunked: DataFrame, rule: Breaker, chunk_s: int) -> DataFrame:
     return effects.groupBy("source").applyInPandas(chain, "source string, chunk long, entered long, left_in long")
 
 
-def circuit_state(calls: DataFrame, rule: Breaker = Breaker(), chunk_s: int = 600) -> DataFrame:
+def circuit_state(calls: DataFrame, rule: Breaker = Breaker(), chunk_s: int = 3600) -> DataFrame:
     """Every change of a source's health: source, event_id, t, from_state, to_state, alert.
 
     calls: source, event_id, ts, ok. The log is worked in stretches of `chunk_s`
@@ -64,25 +95,20 @@ def circuit_state(calls: DataFrame, rule: Breaker = Breaker(), chunk_s: int = 60
     chunked = _chunked_calls(calls, chunk_s)
     entries = _entry_states(chunked, rule, chunk_s)
 
-    def changes(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "event_id"]).reset_index(drop=True)
-        found = list(rule.run(int(pdf["entered"].iloc[0]), zip(pdf["t"].tolist(), pdf["ok"].tolist())))
-        rows = [
-            (pdf["source"].iloc[0], pdf["event_id"].iloc[i], pdf["t"].iloc[i], n, before, after, alert)
-            for n, (i, before, after, alert) in enumerate(found)
-        ]
-        return pd.DataFrame(rows, columns=["source", "event_id", "t", "step", "from_state", "to_state", "alert"])
+    def changes(batches):
+        for source, _chunk, calls in _stretches(batches):
+            found = rule.run(calls[0][3], ((t, ok) for t, ok, *_ in calls))
+            for step, (i, before, after, alert) in enumerate(found):
+                yield source, calls[i][2], calls[i][0], step, before, after, alert
 
-    return (
-        chunked.join(entries.select("source", "chunk", "entered"), ["source", "chunk"])
-        .groupBy("source", "chunk")
-        .applyInPandas(
-            changes, "source string, event_id long, t long, step int, from_state string, to_state string, alert string"
-        )
+    cols = ["source", "event_id", "t", "step", "from_state", "to_state", "alert"]
+    entered = chunked.join(entries.select("source", "chunk", "entered"), ["source", "chunk"])
+    return _sorted_stretches(entered).mapInPandas(
+        _in_frames(changes, cols), "source string, event_id long, t long, step int, from_state string, to_state string, alert string"
     )
 
 
-def circuit_health(calls: DataFrame, rule: Breaker = Breaker(), chunk_s: int = 600) -> DataFrame:
+def circuit_health(calls: DataFrame, rule: Breaker = Breaker(), chunk_s: int = 3600) -> DataFrame:
     """State of each source after its last call."""
     entries = _entry_states(_chunked_calls(calls, chunk_s), rule, chunk_s)
     last = entries.groupBy("source").agg(F.max_by("left_in", "chunk").alias("s"))

@@ -75,7 +75,7 @@ def box_collisions(boxes: DataFrame, min_ratio: float = 0.20, cell: float = CELL
 
 def collision_groups(boxes: DataFrame, min_ratio: float = 0.20) -> DataFrame:
     """Connected components of colliding boxes; group_id is the smallest box id of the group."""
-    name = lambda box: F.concat_ws(":", F.lpad(F.col("page_id").cast("string"), 20, "0"), F.lpad(F.col(box).cast("string"), 10, "0"))
+    name = lambda box: F.concat_ws(":", F.lpad(F.col("page_id").cast("string"), 20, "0"), F.lpad(F.col(box).cast("string"), 20, "0"))
     edges = box_collisions(boxes, min_ratio).select(name("upper_id").alias("u"), name("lower_id").alias("v"))
     groups = connected_components(edges)
     own = name("box_id")

@@ -324,7 +324,7 @@ def _(t):
 
 
 # texts and boxes tight enough that lines and blocks form
-_SPANS = """SELECT l_orderkey AS page_id, l_linenumber AS box_id, CAST(l_linenumber % 3 AS DOUBLE) * 52 AS left_pt, CAST(floor(l_linenumber / 3) * (12 + l_orderkey % 9) AS DOUBLE) AS top_pt,
+_SPANS = """SELECT l_orderkey AS page_id, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 100000 + l_suppkey AS box_id, CAST(l_linenumber % 3 AS DOUBLE) * 52 AS left_pt, CAST(floor(l_linenumber / 3) * (12 + l_orderkey % 9) AS DOUBLE) AS top_pt,
   50 + l_tax * 20 AS width_pt, CAST(10 AS DOUBLE) AS height_pt, CAST(8 + l_orderkey % 4 AS DOUBLE) AS font_size, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS text FROM lineitem"""
 
 
@@ -358,10 +358,10 @@ def _(t):
 g AS (SELECT *, CASE WHEN gap >= 0 AND gap <= fs * 6 THEN 0 ELSE 1 END AS cut FROM (SELECT *, top_pt - lag(top_pt + height_pt) OVER w AS gap, (font_size + lag(font_size) OVER w) / 2 AS fs FROM c WINDOW w AS (PARTITION BY page_id, col ORDER BY top_pt, box_id))),
 s AS (SELECT *, sum(cut) OVER (PARTITION BY page_id, col ORDER BY top_pt, box_id ROWS UNBOUNDED PRECEDING) AS stack FROM g),
 m AS (SELECT *, count(*) OVER (PARTITION BY page_id, col, stack) AS members, first_value(box_id) OVER (PARTITION BY page_id, col, stack ORDER BY top_pt, box_id) AS anchor_id FROM s)
-SELECT page_id, box_id, CAST(anchor_id AS INT) AS anchor_id, members FROM m WHERE members >= 2""",
+SELECT page_id, box_id, anchor_id, members FROM m WHERE members >= 2""",
 )
 def _(t):
-    return layout.vertical_stacks(t.boxes, 700.0, gap_multiplier=6.0).select("page_id", "box_id", F.col("anchor_id").cast("int").alias("anchor_id"), "members")
+    return layout.vertical_stacks(t.boxes, 700.0, gap_multiplier=6.0).select("page_id", "box_id", "anchor_id", "members")
 
 
 @query(
@@ -389,7 +389,7 @@ def _(t):
     return layout.reading_order(t.boxes, t.sql(_ORDER)).select("page_id", "box_id", "position")
 
 
-_ROLE_BOXES = "SELECT *, CASE WHEN box_id % 2 = 0 THEN 'Arial-Bold' ELSE 'Arial' END AS font_name FROM (SELECT page_id, box_id, left_pt, top_pt, width_pt, height_pt, font_size, CASE WHEN box_id = 3 THEN '1. item' WHEN box_id = 5 THEN '- item' ELSE text END AS text FROM boxes)"
+_ROLE_BOXES = "SELECT *, CASE WHEN box_id % 2 = 0 THEN 'Arial-Bold' ELSE 'Arial' END AS font_name FROM (SELECT page_id, box_id, left_pt, top_pt, width_pt, height_pt, font_size, CASE WHEN box_id % 5 = 3 THEN '1. item' WHEN box_id % 5 = 4 THEN '- item' ELSE text END AS text FROM boxes)"
 
 
 @query(
@@ -398,14 +398,14 @@ _ROLE_BOXES = "SELECT *, CASE WHEN box_id % 2 = 0 THEN 'Arial-Bold' ELSE 'Arial'
 t2 AS (SELECT page_id, box_id FROM (SELECT b.*, row_number() OVER (PARTITION BY b.page_id ORDER BY font_size DESC, b.box_id) AS rn FROM b LEFT JOIN t1 ON b.page_id = t1.page_id AND b.box_id = t1.box_id WHERE top_pt <= 210 AND t1.box_id IS NULL) WHERE rn = 1)
 SELECT b.page_id, b.box_id, CASE WHEN t1.box_id IS NOT NULL THEN 'title' WHEN t2.box_id IS NOT NULL THEN 'subtitle'
   WHEN font_name LIKE '%Bold' AND EXISTS (SELECT 1 FROM ({_TABLES}) t WHERE t.page_id = b.page_id AND b.top_pt + b.height_pt <= t.ty0 AND b.left_pt < t.tx1 AND b.left_pt + b.width_pt > t.tx0) THEN 'column_header'
-  WHEN b.box_id IN (3, 5) OR regexp_matches(text, {lit(L.LIST_ITEM_PATTERN)}) THEN 'list_item' WHEN top_pt <= 56 AND font_size > 12 THEN 'header' WHEN top_pt + height_pt >= 644 AND font_size < 10.2 THEN 'footer' WHEN top_pt >= 595 AND font_size < 10.2 THEN 'caption' ELSE 'body' END AS role
+  WHEN b.box_id % 5 IN (3, 4) OR regexp_matches(text, {lit(L.LIST_ITEM_PATTERN)}) THEN 'list_item' WHEN top_pt <= 56 AND font_size > 12 THEN 'header' WHEN top_pt + height_pt >= 644 AND font_size < 10.2 THEN 'footer' WHEN top_pt >= 595 AND font_size < 10.2 THEN 'caption' ELSE 'body' END AS role
 FROM b LEFT JOIN t1 ON b.page_id = t1.page_id AND b.box_id = t1.box_id LEFT JOIN t2 ON b.page_id = t2.page_id AND b.box_id = t2.box_id""",
 )
 def _(t):
     return layout.semantic_roles(t.sql(_ROLE_BOXES), 700.0, 12.0, t.sql(_TABLES)).select("page_id", "box_id", "role")
 
 
-_CELLS = "SELECT l_suppkey AS table_id, l_linenumber AS row_no, CAST(l_orderkey % 15 AS INT) AS col_no, CASE WHEN l_suppkey % 4 = 0 AND l_quantity > 8 THEN ' ' ELSE l_shipmode END AS value FROM lineitem"
+_CELLS = "SELECT l_suppkey AS table_id, l_linenumber AS row_no, CAST(l_orderkey % 15 AS INT) AS col_no, CASE WHEN l_suppkey % 4 = 0 AND l_quantity > 8 THEN ' ' ELSE l_returnflag END AS value FROM lineitem"
 _CELLS_TALL = _CELLS.replace("l_linenumber AS row_no", "CAST(l_orderkey % 29 AS INT) AS row_no")
 
 
@@ -425,15 +425,15 @@ def _(t):
     "box_checks",
     f"""WITH s AS (SELECT page_id, count(*) AS shapes, count(*) FILTER (WHERE NOT (width_pt > 0 AND height_pt > 0)) AS zero_dimension, count(*) FILTER (WHERE left_pt < 0 OR top_pt < 0 OR left_pt + width_pt > 420 OR top_pt + height_pt > 700) AS out_of_bounds,
   count(*) FILTER (WHERE NOT (left_pt BETWEEN 0 AND 840 AND top_pt BETWEEN 0 AND 1400 AND width_pt > 0 AND width_pt <= 840 AND height_pt > 0 AND height_pt <= 1400)) AS insane, count(*) FILTER (WHERE coalesce(text, '') = '') AS empty_text FROM boxes GROUP BY page_id),
-o AS (SELECT page_id, count(*) AS k FROM ({_OVERLAPS}) GROUP BY page_id), j AS (SELECT s.*, coalesce(k, 0) AS overlaps FROM s LEFT JOIN o ON s.page_id = o.page_id)
-SELECT page_id, shapes, zero_dimension, out_of_bounds, overlaps, round((1 + (overlaps = 0)::INT + (zero_dimension = 0)::INT + (out_of_bounds = 0)::INT + (insane = 0)::INT + (empty_text = 0)::INT + (shapes <= 20)::INT) / 7, 6) AS score FROM j""",
+o AS (SELECT page_id, count(*) AS k FROM ({_OVERLAPS}) GROUP BY page_id), j AS (SELECT s.*, coalesce(k, 0) AS "overlaps" FROM s LEFT JOIN o ON s.page_id = o.page_id)
+SELECT page_id, shapes, zero_dimension, out_of_bounds, "overlaps", round((1 + ("overlaps" = 0)::INT + (zero_dimension = 0)::INT + (out_of_bounds = 0)::INT + (insane = 0)::INT + (empty_text = 0)::INT + (shapes <= 20)::INT) / 7, 6) AS score FROM j""",
 )
 def _(t):
     return layout.box_checks(t.boxes, 420.0, 700.0).select("page_id", "shapes", "zero_dimension", "out_of_bounds", "overlaps", "score")
 
 
 _EVENTS = """SELECT CASE box_id % 3 WHEN 0 THEN 'fallback' WHEN 1 THEN 'font' ELSE 'collision' END AS kind, CASE WHEN box_id % 3 = 1 THEN text ELSE '' END AS name, page_id AS page,
-  CASE WHEN box_id % 3 = 2 THEN box_id END AS pushes, CASE WHEN box_id % 3 = 2 THEN height_pt END AS max_push FROM boxes"""
+  CASE WHEN box_id % 3 = 2 THEN box_id % 7 END AS pushes, CASE WHEN box_id % 3 = 2 THEN height_pt END AS max_push FROM boxes"""
 
 
 @query("summary_rollup", f"SELECT kind, name, count(*) AS entries, count(DISTINCT page) AS pages, coalesce(sum(pushes), 0)::BIGINT AS pushes, round(coalesce(max(max_push), 0), 4) AS max_push FROM ({_EVENTS}) GROUP BY kind, name")

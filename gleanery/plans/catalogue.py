@@ -6,7 +6,7 @@ from importlib import import_module
 
 from .registry import ORACLES, QUERIES
 
-MODULES = ["records", "selection", "aggregates", "activity"]
+MODULES = ["records", "selection", "aggregates", "activity", "search"]
 
 
 def load() -> tuple[dict, dict]:

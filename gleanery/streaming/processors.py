@@ -71,12 +71,13 @@ def circuit_stream(calls: DataFrame, rule: Breaker = Breaker()) -> DataFrame:
 class DeadLetterProcessor(StatefulProcessor):
     """Failure count per job, forgotten after the time to live; a retry clears it."""
 
-    def __init__(self, limit: int, ttl_ms: int):
-        self.limit, self.ttl_ms = limit, ttl_ms
+    def __init__(self, limit: int, ttl_ms: int, live: bool):
+        self.limit, self.ttl_ms, self.live = limit, ttl_ms, live
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        # the log's own clock decides; the store's TTL only frees what is long dead
-        self.state = handle.getValueState("failures", "n long, first_t long, last_t long", self.ttl_ms)
+        # the log's own clock decides; on a live stream the store also frees what is long dead
+        kept = {"ttlDurationMs": self.ttl_ms} if self.live else {}
+        self.state = handle.getValueState("failures", "n long, first_t long, last_t long", **kept)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         pdf = _ordered(rows, ["t", "event_id"])
@@ -101,25 +102,30 @@ class DeadLetterProcessor(StatefulProcessor):
         pass
 
 
-def dead_letter_stream(events: DataFrame, limit: int = L.MAX_FAILURES, ttl_days: int = 7) -> DataFrame:
-    """events: job_id, event_id, ts, kind (failure | retry), error. Emits a row per failure at or over the limit."""
+def dead_letter_stream(events: DataFrame, limit: int = L.MAX_FAILURES, ttl_days: int = 7, live: bool = False) -> DataFrame:
+    """events: job_id, event_id, ts, kind (failure | retry), error. Emits a row per failure at or over the limit.
+
+    `live` lets the state store expire idle jobs by wall clock; such a query never
+    ends by itself, so a run over a closed log leaves it off.
+    """
     rows = events.select("job_id", "event_id", F.unix_millis("ts").alias("t"), "kind", "error")
     return rows.groupBy("job_id").transformWithStateInPandas(
-        DeadLetterProcessor(limit, ttl_days * 86_400_000),
+        DeadLetterProcessor(limit, ttl_days * 86_400_000, live),
         outputStructType=StructType.fromDDL("job_id string, failures long, first_t long, last_t long, last_error string"),
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if live else "None",
     )
 
 
 class ReplayProcessor(StatefulProcessor):
     """The last n events per job, kept for a time; each batch emits the buffer as it stands."""
 
-    def __init__(self, n: int, ttl_ms: int):
-        self.n, self.ttl_ms = n, ttl_ms
+    def __init__(self, n: int, ttl_ms: int, live: bool):
+        self.n, self.ttl_ms, self.live = n, ttl_ms, live
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.buffer = handle.getListState("events", "event_id long, t long, phase string", self.ttl_ms)
+        kept = {"ttlDurationMs": self.ttl_ms} if self.live else {}
+        self.buffer = handle.getListState("events", "event_id long, t long, phase string", **kept)
 
     def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
         held = [tuple(e) for e in self.buffer.get()]
@@ -134,13 +140,13 @@ class ReplayProcessor(StatefulProcessor):
         pass
 
 
-def replay_stream(events: DataFrame, n: int = L.REPLAY_EVENTS, ttl_hours: int = 1) -> DataFrame:
+def replay_stream(events: DataFrame, n: int = L.REPLAY_EVENTS, ttl_hours: int = 1, live: bool = False) -> DataFrame:
     rows = events.select("job_id", "event_id", F.unix_millis("ts").alias("t"), "phase")
     return rows.groupBy("job_id").transformWithStateInPandas(
-        ReplayProcessor(n, ttl_hours * 3_600_000),
+        ReplayProcessor(n, ttl_hours * 3_600_000, live),
         outputStructType=StructType.fromDDL("job_id string, event_id long, t long, phase string"),
         outputMode="Update",
-        timeMode="ProcessingTime",
+        timeMode="ProcessingTime" if live else "None",
     )
 
 
