@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import statistics
+import sys
 import time
 
 from gleanery.plans.catalogue import load
@@ -34,6 +35,7 @@ def main() -> None:
             if sum(taken) > 60 and n:
                 break
         times[name] = round(statistics.median(taken[1:]), 3)
+        print(name, [round(x, 2) for x in taken], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times,
         "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"), "cpus": cpus,

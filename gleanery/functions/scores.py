@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import lookups as L
+from .text import let
 
 
 def literal_map(table: dict) -> Column:
@@ -182,10 +183,13 @@ def classify_tier(
     )
     best = F.array_min(ranked)
 
-    text = F.concat(low(title), F.lit(" "), low(abstract))
-    text_grey = F.lit(None).cast("int")
-    for pattern, grey in reversed(L.GREY_TEXT_PATTERNS):
-        text_grey = F.when(text.rlike(pattern), grey).otherwise(text_grey)
+    def first_pattern(text: Column) -> Column:
+        out = F.lit(None).cast("int")
+        for pattern, grey in reversed(L.GREY_TEXT_PATTERNS):
+            out = F.when(text.rlike(pattern), grey).otherwise(out)
+        return out
+
+    text_grey = let(F.concat(low(title), F.lit(" "), low(abstract)), first_pattern)
 
     if whole_words:
         inside = lambda c: low(c).rlike(r"\b(" + "|".join(L.INSTITUTIONS) + r")\b")
@@ -193,6 +197,13 @@ def classify_tier(
         inside = lambda c: low(c).rlike("(" + "|".join(L.INSTITUTIONS) + ")")
     institutional = inside(publisher) | inside(container)
 
+    def by_text(grey: Column) -> Column:
+        return (
+            F.when(grey.isNotNull(), tier(6, grey, "inferred_from_text", "structural_regex", 0.6))
+            .when(institutional, tier(6, 3, "institutional_publication", "structural_regex", 0.5))
+            .otherwise(tier(6, None, "unclassified", "inferred", 0.3))
+        )
+
     return (
         F.when(by_type.isNotNull() & grey_by_type.isNotNull(), tier(6, grey_by_type, type_, "publisher_type", 0.9))
         .when(by_type.isNotNull(), tier(by_type, None, type_, "publisher_type", 0.85))
@@ -206,7 +217,5 @@ def classify_tier(
                 F.coalesce(best["tier"], F.lit(6)), None, F.coalesce(best["type"], F.lit("Journal Article")), "index_type", 0.8
             ),
         )
-        .when(text_grey.isNotNull(), tier(6, text_grey, "inferred_from_text", "structural_regex", 0.6))
-        .when(institutional, tier(6, 3, "institutional_publication", "structural_regex", 0.5))
-        .otherwise(tier(6, None, "unclassified", "inferred", 0.3))
+        .otherwise(let(text_grey, by_text))
     )

@@ -31,6 +31,14 @@ def fold_accents(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, "[̀-ͯ]", ""), ACCENTED, PLAIN)
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body uses it.
+
+    A column used inside a higher-order function is otherwise computed per element.
+    """
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def squeeze(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, r"\s+", " "))
 
@@ -198,22 +206,24 @@ def levenshtein_sim(a: Column, b: Column) -> Column:
 
 def entities(title: Column) -> Column:
     """Geographic, method and diagnostic terms of a title, each sorted and distinct."""
-    norm = norm_title(title)
-    words = F.split(norm, r"\s+")
+    def terms_of(norm: Column) -> Column:
+        words = F.split(norm, r"\s+")
 
-    def found(lexicon: list[str]) -> Column:
-        phrases = F.array(*[F.lit(t) for t in lexicon if " " in t])
-        singles = F.array(*[F.lit(t) for t in lexicon if " " not in t])
-        return F.concat(F.filter(phrases, lambda p: norm.contains(p)), F.array_intersect(words, singles))
+        def found(lexicon: list[str]) -> Column:
+            phrases = F.array(*[F.lit(t) for t in lexicon if " " in t])
+            singles = F.array(*[F.lit(t) for t in lexicon if " " not in t])
+            return F.concat(F.filter(phrases, lambda p: norm.contains(p)), F.array_intersect(words, singles))
 
-    phase = F.regexp_extract(norm, f"({L.PHASE_PATTERN})", 1)
-    with_phase = F.concat(found(L.METHOD_ENTITIES), F.filter(F.array(phase), lambda p: p != ""))
-    tidy = lambda terms: F.array_sort(F.array_distinct(terms))
-    return F.struct(
-        tidy(found(L.GEO_ENTITIES)).alias("geo"),
-        tidy(with_phase).alias("method"),
-        tidy(found(L.DIAGNOSTIC_ENTITIES)).alias("diagnostic"),
-    )
+        phase = F.regexp_extract(norm, f"({L.PHASE_PATTERN})", 1)
+        with_phase = F.concat(found(L.METHOD_ENTITIES), F.filter(F.array(phase), lambda p: p != ""))
+        tidy = lambda terms: F.array_sort(F.array_distinct(terms))
+        return F.struct(
+            tidy(found(L.GEO_ENTITIES)).alias("geo"),
+            tidy(with_phase).alias("method"),
+            tidy(found(L.DIAGNOSTIC_ENTITIES)).alias("diagnostic"),
+        )
+
+    return let(norm_title(title), terms_of)
 
 
 def entity_conflict(a: Column, b: Column) -> Column:
@@ -223,7 +233,7 @@ def entity_conflict(a: Column, b: Column) -> Column:
 
 
 def is_domain_query(c: Column, keywords: list[str] = L.DOMAIN_KEYWORDS) -> Column:
-    return F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: F.lower(c).contains(k))
+    return let(F.lower(c), lambda low: F.exists(F.array(*[F.lit(k.lower()) for k in keywords]), lambda k: low.contains(k)))
 
 
 def quote_phrases(c: Column, phrases: list[str] = L.DOMAIN_PHRASES) -> Column:

@@ -82,8 +82,8 @@ def phrases(spec) -> list[str]:
 def exclude_terms(df: DataFrame, terms: list[str], col: str = "title") -> DataFrame:
     if not terms:
         return df
-    low = F.lower(F.coalesce(F.col(col), F.lit("")))
-    return df.filter(~F.exists(F.array(*[F.lit(t.lower()) for t in terms]), lambda t: low.contains(t)))
+    listed = F.array(*[F.lit(t.lower()) for t in terms])
+    return df.filter(~text.let(F.lower(F.coalesce(F.col(col), F.lit(""))), lambda low: F.exists(listed, lambda t: low.contains(t))))
 
 
 # --- Record filters ----------------------------------------------------------------
@@ -233,12 +233,12 @@ def protocol_gate(df: DataFrame, col: str = "text") -> DataFrame:
     """Methodology keywords (at least 3 of 5) and at least one declared database."""
     low = F.lower(F.coalesce(F.col(col), F.lit("")))
 
-    def mentioned(keyword: str) -> Column:
+    def mentioned(body: Column, keyword: str) -> Column:
         spellings = F.array(*[F.lit(s) for s in [keyword, *L.PROTOCOL_KEYWORDS[keyword]]])
-        return F.exists(spellings, lambda s: low.contains(s))
+        return F.exists(spellings, lambda s: body.contains(s))
 
     names = list(L.PROTOCOL_KEYWORDS)
-    found = F.array_compact(F.array(*[F.when(mentioned(k), F.lit(k)) for k in names]))
+    found = text.let(low, lambda body: F.array_compact(F.array(*[F.when(mentioned(body, k), F.lit(k)) for k in names])))
     databases = F.array_compact(
         F.array(*[F.when(low.rlike(p), F.lit(n)) for n, p in L.PROTOCOL_DATABASES.items()])
     )
