@@ -1,4 +1,4 @@
-"""Times the headline queries: one warm-up, then the median of three runs each."""
+"""Times the headline queries: one warm-up, then the median of two runs each."""
 
 from __future__ import annotations
 
@@ -14,14 +14,14 @@ from gleanery.session import build_session
 HEADLINE = [
     "search", "boolean_filter", "sanitize_documents", "dedup_exact", "entities", "dedup_hierarchical", "classify_tier", "top_k", "enrich_by_doi",
     "authority_diff", "upsert_state", "latency_summary", "prisma_funnel", "frequency_tables", "manifest_hash", "rate_windows", "dead_letter",
-    "circuit_state", "box_overlaps", "line_clusters", "similar_titles", "dedup_fuzzy",
+    "circuit_state", "box_overlaps", "line_clusters", "dedup_fuzzy",
 ]
 
 
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    runs = int(os.environ.get("BENCH_RUNS", "3"))
+    runs = int(os.environ.get("BENCH_RUNS", "2"))
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = build_session(cpus, "bench")
     registered, _ = load()

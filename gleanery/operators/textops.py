@@ -120,6 +120,9 @@ def trial_ids(df: DataFrame, fields: list[str], id_: str = "work_id") -> DataFra
 # --- Anchors -------------------------------------------------------------------------
 
 
+SEGMENT = 512
+
+
 def fuzzy_anchor(df: DataFrame, body: str = "text", claim: str = "claim", threshold: float = 0.7) -> DataFrame:
     """Where a row's claim sits in its text: exact, else the best edit-distance window.
 
@@ -134,9 +137,15 @@ def fuzzy_anchor(df: DataFrame, body: str = "text", claim: str = "claim", thresh
     )
     last = F.length("_t") - F.col("_n")
     starts = F.sequence(F.lit(0), last, F.greatest(F.lit(1), F.floor(F.col("_n") / 4).cast("int")))
-    alike = lambda i: 1 - F.levenshtein(F.col("_c"), F.substring(F.col("_t"), i + 1, F.col("_n"))) / F.col("_n") >= threshold
+    # reaching far into a long string is slow, so windows are cut from overlapping segments
+    pieces = F.transform(F.sequence(F.lit(0), F.length("_t"), F.lit(SEGMENT)), lambda at: F.substring(F.col("_t"), at + 1, F.col("_n") + SEGMENT))
+
+    def close(segments: Column) -> Column:
+        window = lambda i: F.substring(F.get(segments, F.floor(i / SEGMENT).cast("int")), i % SEGMENT + 1, F.col("_n"))
+        return F.filter(starts, lambda i: 1 - F.levenshtein(F.col("_c"), window(i)) / F.col("_n") >= threshold)
+
     usable = (F.col("_at") < 0) & (F.col("_n") > 0) & (last >= 0)
-    hits = F.when(usable, F.filter(starts, alike))
+    hits = F.when(usable, text.let(pieces, close))
     marked = marked.withColumn("_hits", hits)
     exact = marked.filter("_at >= 0").select(
         *df.columns, F.col("_at").alias("start"), (F.col("_at") + F.col("_n")).alias("end"), F.lit(1.0).alias("similarity")

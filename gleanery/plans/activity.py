@@ -324,7 +324,7 @@ def _(t):
 
 
 # texts and boxes tight enough that lines and blocks form
-_SPANS = """SELECT l_orderkey AS page_id, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 100000 + l_suppkey AS box_id, CAST(l_linenumber % 3 AS DOUBLE) * 52 AS left_pt, CAST(floor(l_linenumber / 3) * (12 + l_orderkey % 9) AS DOUBLE) AS top_pt,
+_SPANS = """SELECT l_orderkey AS page_id, ((CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS box_id, CAST(l_linenumber % 3 AS DOUBLE) * 52 AS left_pt, CAST(floor(l_linenumber / 3) * (12 + l_orderkey % 9) AS DOUBLE) AS top_pt,
   50 + l_tax * 20 AS width_pt, CAST(10 AS DOUBLE) AS height_pt, CAST(8 + l_orderkey % 4 AS DOUBLE) AS font_size, concat(l_returnflag, CAST(l_linenumber AS STRING)) AS text FROM lineitem"""
 
 

@@ -76,7 +76,7 @@ SELECT event_id, CAST(ts AS TIMESTAMP) AS ts, concat('key', CAST(user_id % 20 AS
 FROM events
 """,
     "boxes": """
-SELECT l_orderkey AS page_id, (CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 100000 + l_suppkey AS box_id, l_quantity * 8 AS left_pt, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 700 AS DOUBLE) AS top_pt,
+SELECT l_orderkey AS page_id, ((CAST(l_linenumber AS BIGINT) * 1000000 + l_partkey) * 100000 + l_suppkey) * 100 + CAST(l_quantity AS BIGINT) AS box_id, l_quantity * 8 AS left_pt, CAST(CAST(floor(l_extendedprice) AS BIGINT) % 700 AS DOUBLE) AS top_pt,
        40 + l_tax * 1000 AS width_pt, 10 + l_discount * 300 AS height_pt, CAST(8 + l_linenumber % 4 AS DOUBLE) AS font_size,
        concat(l_returnflag, ' ', l_linestatus) AS text
 FROM lineitem
