@@ -509,7 +509,7 @@ def _(t):
     """Claims cut from the texts with letters changed, found again in the whole texts."""
     claim = F.translate(F.substring("text", 41, 48), "aet", "xqz")
     light = F.concat(F.substring("text", 41, 20), F.lit("#@"), F.substring("text", 63, 26))
-    rows = t.documents.filter(F.length("text") >= 100).select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, light).otherwise(claim).alias("claim"))
+    rows = t.documents.select("doc_id", "text", F.when(F.col("doc_id") % 2 == 0, light).otherwise(claim).alias("claim"))
     return textops.fuzzy_anchor(rows).select("doc_id", "start", "end", F.round("similarity", 6).alias("similarity"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import lookups as L
 from ..functions import scores
 from ..operators import dedup, filters, windows
+from ..session import cut_lineage
 from .aggregates import _DOI_KEY
 from .registry import query, sql_hash
 from .selection import NOW, scored, sql_composite, sql_spec, tiered
@@ -24,7 +25,9 @@ def search(works: DataFrame, spec=SPEC, mode: str = "systematic_review", k: int
     matched = filters.boolean_filter(works, spec)
     clean, _log = filters.quarantine(matched, entries)
     unique = dedup.dedup_exact(clean)
-    ranked = scored(tiered(unique), mode)
+    # scores need the largest citation count of the set, so it is kept once, without its texts
+    classified = cut_lineage(tiered(unique).drop("abstract", "first_author", "publisher", "doi"))
+    ranked = scored(classified, mode)
     return windows.top_k(ranked, k, [F.desc("score"), F.col("seq")]).select(
         "work_id", "title", "year", F.col("tier.peer_tier").alias("peer_tier"), scores.tier_label(F.col("tier.peer_tier")).alias("tier"),
         F.round("score", 3).alias("score"),
@@ -47,5 +50,5 @@ def _(t):
     """The same search with the fuzzy pass after the exact one."""
     matched = filters.boolean_filter(t.works, SPEC)
     clean, _log = filters.quarantine(matched, L.PREDATORY_SAMPLE)
-    unique = dedup.dedup_fuzzy(dedup.dedup_exact(clean))
+    unique = cut_lineage(dedup.dedup_fuzzy(dedup.dedup_exact(clean)).drop("abstract", "first_author", "publisher", "doi"))
     return windows.top_k(scored(unique), 100, [F.desc("score"), F.col("seq")]).select("work_id", F.round("score", 3).alias("score"))

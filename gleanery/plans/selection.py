@@ -373,19 +373,19 @@ def _registry(t):
     return trials.join(t.works, "work_id").filter("work_id % 9 <> 0").select("trial_id", title.alias("brief_title"), F.lit(True).alias("in_registry"))
 
 
-@query("verify_trials")
+_TRIAL_SQL = """SELECT work_id, regexp_extract(title, 'NCT[0-9]{8}$') AS trial_id, CASE WHEN work_id % 9 = 0 THEN 'not_found' WHEN work_id % 5 IN (0, 1, 2) THEN 'verified' ELSE 'mismatch' END AS status,
+  CAST(CASE WHEN work_id % 9 = 0 THEN 0.9 WHEN work_id % 5 = 0 THEN 0.8 WHEN work_id % 5 IN (1, 2) THEN 1.0 ELSE 0.5 END AS DOUBLE) AS confidence FROM works WHERE regexp_matches(title, 'NCT[0-9]{8}$')"""
+
+
+@query("verify_trials", _TRIAL_SQL)
 def _(t):
     return joins.verify_trials(textops.trial_ids(t.works, ["title"]), _registry(t), t.works)
 
 
-@query(
-    "trial_lookup_status",
-    """SELECT work_id, CASE WHEN work_id % 9 = 0 THEN 'not_found' WHEN work_id % 5 = 2 THEN 'verified' WHEN work_id % 5 = 0 THEN 'verified' END AS status
-FROM works WHERE regexp_matches(title, 'NCT[0-9]{8}$') AND (work_id % 9 = 0 OR work_id % 5 IN (0, 2))""",
-)
+@query("trial_lookup_status", f"SELECT status, count(*) AS n FROM ({_TRIAL_SQL}) GROUP BY status")
 def _(t):
     checked = joins.verify_trials(textops.trial_ids(t.works, ["title"]), _registry(t), t.works)
-    return checked.filter("work_id % 9 = 0 OR work_id % 5 IN (0, 2)").select("work_id", "status")
+    return checked.groupBy("status").agg(F.count("*").alias("n"))
 
 
 _KEY = "coalesce(doi, concat_ws('-', title, source))"
@@ -493,10 +493,10 @@ def _(t):
     return windows.first_per_key(t.works, [F.lower("doi")], ["seq"]).select("work_id")
 
 
-@query("review_queue", "SELECT uuid, title_lib, year_lib <> year_auth AS needs_correction FROM ledger ORDER BY state = 'PATCHED' DESC, year_lib <> year_auth DESC, title_lib, uuid LIMIT 50")
+@query("review_queue", "SELECT uuid, title_lib, year_lib <> year_auth AS needs_correction FROM ledger ORDER BY state = 'PATCHED' DESC, year_lib <> year_auth DESC, title_lib, uuid")
 def _(t):
     marked = t.ledger.withColumn("manually_modified", F.col("state") == "PATCHED").withColumn("needs_correction", F.col("year_lib") != F.col("year_auth"))
-    return ledger_ops.review_queue(marked).limit(50).select("uuid", "title_lib", "needs_correction")
+    return ledger_ops.review_queue(marked).select("uuid", "title_lib", "needs_correction")
 
 
 @query(
