@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, line_dedup, mixing, quality
+from . import exact, line_dedup, mixing, packing, quality, token_store
+from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words, in DuckDB: split at ASCII white space, empty pieces dropped.
@@ -123,3 +124,18 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     index.add(docs)
     out = index.clean(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("clean_text", 256).alias("kept_sha256"))
+
+
+@query("op5_token_store")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    store = token_store.write_store(docs)
+    found = store.locate(docs.select("doc_id").distinct()).unionByName(store.without_key())
+    return token_store.digests(store.read(found))
+
+
+@query("op10_best_fit_packing")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    cut = stored(packing.pieces(table(spark, folder, "documents")), "pieces")
+    packed = packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
