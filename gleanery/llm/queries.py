@@ -5,13 +5,50 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, line_dedup, mixing, packing, quality, token_store
+from . import exact, line_dedup, mixing, near_dedup, packing, quality, token_store
 from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
 #: Words, in DuckDB: split at ASCII white space, empty pieces dropped.
 SQL_WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
+SQL_NEAR = r"""
+WITH RECURSIVE split AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+         lambda w: w <> '') AS ws FROM documents
+), sets AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+         ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] || ' ' || ws[i+3]))) END AS s
+  FROM split
+), classes AS (
+  SELECT s, min(doc_id) AS c, len(s) AS n FROM sets WHERE len(s) > 0 GROUP BY s
+), shingles AS (
+  SELECT c, n, unnest(s) AS g FROM classes
+), pairs AS (
+  SELECT a.c AS u, b.c AS v, count(*) AS common, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM shingles a JOIN shingles b ON a.g = b.g AND a.c < b.c GROUP BY a.c, b.c
+), links AS (
+  SELECT u, v FROM pairs WHERE 100 * common >= 80 * (na + nb - common)
+), edges AS (
+  SELECT u, v FROM links UNION ALL SELECT v, u FROM links
+), reach AS (
+  SELECT c AS node, c AS root FROM classes
+  UNION
+  SELECT e.v, r.root FROM reach r JOIN edges e ON e.u = r.node
+), least_root AS (
+  SELECT node, min(root) AS root FROM reach GROUP BY node
+)
+SELECT x.doc_id, CAST(len(x.s) AS BIGINT) AS n_shingles, coalesce(l.root, x.doc_id) AS component_id, coalesce(l.root, x.doc_id) = x.doc_id AS kept
+FROM sets x LEFT JOIN classes c ON x.s = c.s LEFT JOIN least_root l ON l.node = c.c
+"""
+
+
+@query("op1_near_dedup", SQL_NEAR)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return near_dedup.near_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 SQL_MIX = rf"""
 WITH rows AS (
   SELECT doc_id, source, CAST(len({SQL_WORDS}) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS ord FROM documents
