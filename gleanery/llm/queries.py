@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, line_dedup, mixing, near_dedup, packing, quality, token_store
+from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, token_store
 from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -120,6 +120,33 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_rules(docs, out="q").select("doc_id", *[F.col(f"q.{f}").alias(f) for f in fields])
 
 
+_PROBE = "</s>[INST] ok [/INST]"
+
+SQL_CHAT = f"""
+WITH turns AS (
+  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '{_PROBE}' UNION ALL SELECT -1, 1, 'assistant', '{_PROBE}'
+), sized AS (
+  SELECT *, {len(chat.START) + len(chat.END) + 2} + length(role) + length(regexp_replace(text, '{chat.ESCAPE}', '\\1\\\\\\2\\3', 'g')) AS n,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM turns
+), run AS (
+  SELECT *, sum(n) OVER (PARTITION BY conv_id ORDER BY turn) AS upto FROM sized
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(upto) FILTER (WHERE role = 'assistant' OR back = 1) AS BIGINT) AS formatted_chars
+FROM run GROUP BY conv_id
+"""
+
+
+@query("op4_chat_format", SQL_CHAT)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", _PROBE), (-1, 1, "assistant", _PROBE)], turns.schema)
+    return chat.summary(stored(chat.examples(turns.unionByName(probe)), "chat-examples"))
+
+
 SQL_EXACT = r"""
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g')) AS text_sha256 FROM documents
