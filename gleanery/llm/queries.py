@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, token_store
+from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, token_store, toxicity
 from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -203,3 +203,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     cut = stored(packing.pieces(table(spark, folder, "documents")), "pieces")
     packed = packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    fold = lambda key: F.crc32(key.cast("string").cast("binary")) % 5
+    docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic")
+    scored = toxicity.score_toxicity(docs, labels, teach=lambda key: fold(key) != 0)
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
