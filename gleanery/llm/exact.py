@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, shared_folder, stored
@@ -45,13 +45,14 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.table)
 
 
+def digest(text: str = "text") -> Column:
+    """SHA-256 of a text without its ASCII white space; null counts as empty."""
+    return F.unhex(F.sha2(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), f"[{SPACE}]+", ""), 256))
+
+
 def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.col(key).cast("long").alias("doc_id"),
-        F.unhex(F.sha2(F.regexp_replace(t, f"[{SPACE}]+", ""), 256)).alias("digest"),
-        F.char_length(t).cast("long").alias("n_chars"),
-    )
+    n_chars = F.char_length(F.coalesce(F.col(text), F.lit(""))).cast("long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), digest(text).alias("digest"), n_chars.alias("n_chars"))
 
 
 def exact_dedup(docs: DataFrame, index: DigestIndex, batch: str = "0", key: str = "doc_id", text: str = "text") -> DataFrame:

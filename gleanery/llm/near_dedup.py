@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import stored
 
-SHINGLE, PERCENT = 4, 80
+SHINGLE, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS, SEED = 13, 5, 1, 20240
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Bytes of text hashed at a time in a task.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, token_store, toxicity
+from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_store, toxicity
 from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -46,7 +46,7 @@ FROM sets x LEFT JOIN classes c ON x.s = c.s LEFT JOIN least_root l ON l.node =
 @query("op1_near_dedup", SQL_NEAR)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return near_dedup.near_dedup(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return near_dedup.near_dedup(docs, shingle=4).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 SQL_MIX = rf"""
@@ -211,3 +211,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels").select("doc_id", "toxic")
     scored = toxicity.score_toxicity(docs, labels, teach=lambda key: fold(key) != 0)
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
+@query("op7_substring_dedup")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
