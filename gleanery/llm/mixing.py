@@ -51,7 +51,7 @@ def targets(sizes: DataFrame, share: float = 1.5, most: float = 2.0, cycle: tupl
     levelled = fill.withColumn("total", F.sum("source_size").over(everyone) * share).withColumn(
         "level", (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0.0))) / F.sum("weight").over(after)
     )
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everyone)
+    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.struct("ratio", "no", "level"))).over(everyone)["level"]
     return levelled.withColumn("_level", level).select(
         "source", "source_size", "weight", "no",
         F.least(F.col("limit"), F.coalesce(F.col("_level") * F.col("weight"), F.col("limit"))).alias("target"),

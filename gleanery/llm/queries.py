@@ -61,7 +61,7 @@ WITH rows AS (
   SELECT *, (total - coalesce(sum(lim) OVER (ORDER BY lim / weight, no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (ORDER BY lim / weight, no ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM fill
 ), targets AS (
-  SELECT source, source_size, least(lim, coalesce(min(CASE WHEN level <= lim / weight THEN level END) OVER () * weight, lim)) AS target FROM levelled
+  SELECT source, source_size, least(lim, coalesce(arg_min(level, (lim / weight, no)) FILTER (WHERE level <= lim / weight) OVER () * weight, lim)) AS target FROM levelled
 ), walked AS (
   SELECT r.*, t.source_size, t.target,
          sum(r.size) OVER (PARTITION BY r.source ORDER BY r.ord, r.doc_id, r.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ends
