@@ -9,9 +9,9 @@
    apart may share one too; nothing is lost by that, as links are confirmed.
 3. A key's members are not paired with each other. They are all paired with one of them; the
    pairs are confirmed on the full sets, and linked members become one component. Only keys
-   that still hold several components go on: there, pairs across components are tried,
-   nearest signatures first and more in every round, until no key has an untried pair
-   within the distance. So components equal those of all links found by the index, and a group of n
+   that still hold several components go on: there, pairs across components are tried, in
+   large keys nearest signatures first and more in every round, until no key has an untried
+   pair within the distance. So components equal those of all links found by the index, and a group of n
    near copies costs about n confirmations.
 
 With 65 values a pair of similarity 0.8 differs in 13 on average; more than 25 has a
@@ -41,6 +41,9 @@ CHUNKS, WIDTH, ERRORS, SEED = 13, 5, 1, 20240
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Bytes of text hashed at a time in a task.
 BLOCK = 1_000_000
+#: Keys with this many members at most have the pairs across their components tried at once;
+#: in larger ones the nearest are tried first. A matter of speed: both try all that is left.
+SMALL = 64
 #: Members of one key that one task compares with the rest of the key.
 SPLIT = 2048
 
@@ -279,25 +282,44 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     several = signed.groupBy("doc_id").agg(F.min("same").alias("a"), F.max("same").alias("b")).filter("a <> b").select("doc_id")
     tied = signed.join(several, "doc_id", "left_semi").join(classes, "same").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
     tied = stored(tied.filter("u <> v"), "near-tied")
-    most = 4
-    while True:
+    def labelled(tried: DataFrame) -> DataFrame:
         links = tried.filter("linked").select("u", "v").unionByName(tied)
-        labels = connected_components(links) if not links.isEmpty() else links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        if links.isEmpty():
+            return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return stored(connected_components(links), "near-labels")
+
+    def split_keys(labels: DataFrame) -> DataFrame:
+        """Members, with their component, of the keys that hold several components."""
         named = members.join(labels, members["doc_id"] == labels["node"], "left").select(
             "key", "doc_id", F.coalesce("component", "doc_id").alias("label")
         )
-        split = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b")).filter("a <> b")
-        # a key of two members has been tried already
-        open_ = named.join(split.select("key"), "key", "left_semi").join(leaders.select("doc_id", "signature"), "doc_id")
-        across = stored(_across(open_, most), "near-across")
-        fresh = across.select("u", "v").distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti")
-        fresh = stored(_near(fresh, leaders), "near-fresh")
+        several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2")
+        return named.join(several.select("key", "n"), "key")  # a key of two members has been tried already
+
+    def try_pairs(pairs: DataFrame, tried: DataFrame) -> tuple[DataFrame, bool]:
+        """Confirm the pairs not tried yet; (all tried pairs, whether new links came)."""
+        fresh = stored(_near(pairs.distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"), leaders), "near-fresh")
         if fresh.isEmpty():
+            return tried, False
+        decided = stored(confirm(fresh, sets), "near-tried")
+        return tried.unionByName(decided), not decided.filter("linked").isEmpty()
+
+    labels = labelled(tried)
+    small = split_keys(labels).filter(F.col("n") <= SMALL)
+    one, two = (small.select("key", F.col("doc_id").alias(n), F.col("label").alias(f"label_{n}")) for n in "uv")
+    tried, linked = try_pairs(one.join(two, "key").filter("u < v AND label_u <> label_v").select("u", "v"), tried)
+    most = 8
+    while True:
+        labels = labelled(tried) if linked else labels
+        large = split_keys(labels).filter(F.col("n") > SMALL).drop("n")
+        if large.isEmpty():
+            break
+        across = stored(_across(large.join(leaders.select("doc_id", "signature"), "doc_id"), most), "near-across")
+        tried, linked = try_pairs(across.select("u", "v"), tried)
+        if not linked:
             if across.filter("more").isEmpty():
                 break
-        else:
-            tried = stored(tried.unionByName(confirm(fresh, sets)), "near-tried")
-        most *= 4
+            most *= 8
     ends = signed.join(classes.select("same", "class_id"), "same", "left").join(labels, F.col("class_id") == F.col("node"), "left")
     return ends.select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"),

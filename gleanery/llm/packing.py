@@ -47,19 +47,21 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     path = tokenizer or default_path()
 
     def cut(batches):
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], "<u2").tobytes()
         for batch in batches:
-            keys, rows = batch.column(0).to_pylist(), [[], [], [], [], []]
-            for k, raw in zip(keys, encode(batch.column(1).to_pylist(), path)):
-                ids = np.concatenate([np.frombuffer(raw, "<u2").astype("<u4"), end])
-                for n, at in enumerate(range(0, len(ids), capacity)):
-                    part = ids[at : at + capacity]
-                    for column, value in zip(rows, (k, n, at, len(part), part.tobytes())):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()),
-                 pa.array(rows[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"],
-            )
+            for at in range(0, batch.num_rows, 256):  # small batches out: ids take more room than text
+                part = batch.slice(at, 256)
+                rows = [[], [], [], [], []]
+                for k, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path)):
+                    ids = np.frombuffer(raw + end, "<u2").astype("<u4")
+                    for n, start in enumerate(range(0, len(ids), capacity)):
+                        piece = ids[start : start + capacity]
+                        for column, value in zip(rows, (k, n, start, len(piece), piece.tobytes())):
+                            column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.int64()),
+                     pa.array(rows[4], pa.binary())], names=["doc_id", "piece", "start", "length", "ids"],
+                )
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(cut, "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids BINARY")

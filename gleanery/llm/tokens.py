@@ -8,18 +8,23 @@ and hands only new ones to the tokenizers library.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 
-#: Pieces kept by a worker; the store is emptied when full. Affects speed only.
-KEPT_PIECES = 1_500_000
+#: Entries kept by a worker: pieces as they stand in texts, and words behind them. A full
+#: store is emptied; this affects speed only.
+KEPT_PIECES, KEPT_WORDS = 400_000, 1_500_000
 #: A piece that is one run of Latin letters and one run of stops: their ids stand side by side.
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,]*)")
 
 
 class PieceIds(dict):
-    """Piece -> its ids as little-endian unsigned 16-bit bytes, filled on demand."""
+    """Piece -> its ids as little-endian unsigned 16-bit bytes, filled on demand.
+
+    `words` holds what the tokenizer was asked; a capital or a stop does not ask again.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -28,29 +33,24 @@ class PieceIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit into 16 bits")
-        self[""] = b""
+        self.words: dict[str, bytes] = {"": b""}
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces not known yet. A word with stops is known by its lower-case core."""
+        """Fill in the pieces not known yet."""
         if len(self) > KEPT_PIECES:
             self.clear()
-            self[""] = b""
-        fresh, joined = [], []
+        if len(self.words) > KEPT_WORDS:
+            self.words = {"": b""}
+        words, parts = self.words, []
         for p in pieces:
-            if p in self:
-                continue
-            m = _PLAIN.fullmatch(p)
-            if m and (m[2] or p != p.lower()):
-                core = m[1].lower()
-                joined.append((p, core, m[2]))
-                fresh += [x for x in (core, m[2]) if x not in self]
-            else:
-                fresh.append(p)
-        fresh = list(dict.fromkeys(fresh))
-        for p, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            self[p] = np.array(e.ids, "<u2").tobytes()
-        for p, core, stops in joined:
-            self[p] = self[core] + self[stops]
+            if p not in self:
+                m = _PLAIN.fullmatch(p)
+                parts.append((p, m[1].lower(), m[2]) if m else (p, p, ""))
+        fresh = list({w for _, a, b in parts for w in (a, b) if w not in words})
+        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
+            words[w] = array("H", e.ids).tobytes()
+        for p, a, b in parts:
+            self[p] = words[a] + words[b] if b else words[a]
 
 
 def piece_ids(path: str) -> PieceIds:
@@ -74,7 +74,7 @@ def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts[at : at + 256]]
         store.learn(set().union(*split))
         for pieces in split:
-            yield b"".join(map(store.__getitem__, pieces))
+            yield b"".join(map(store.__getitem__, pieces))  # native order, which is little-endian on Spark's platforms
 
 
 def default_path() -> str:
