@@ -44,8 +44,9 @@ def squeeze(c: Column) -> Column:
 
 
 def norm_title(c: Column) -> Column:
+    """Folded title of letters, marks and digits of every script, single-spaced."""
     folded = fold_accents(F.lower(F.coalesce(c, F.lit(""))))
-    return squeeze(F.regexp_replace(folded, r"[^\w\s]", " "))
+    return squeeze(F.regexp_replace(folded, r"[^\p{L}\p{M}\p{N}_\s]", " "))
 
 
 def norm_author(c: Column) -> Column:

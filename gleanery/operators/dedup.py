@@ -14,9 +14,12 @@ from .windows import first_per_key
 
 
 def dedup_exact(df: DataFrame, doi: str = "doi", title: str = "title", year: str = "year", author: str = "first_author", seq: str = "seq") -> DataFrame:
-    """First row per DOI, then first row per title/year/surname hash among those."""
+    """First row per DOI, then first row per title/year/surname hash among those.
+
+    A title without a letter or digit is no title: such rows are all kept.
+    """
     keyed = df.withColumn("_doi", F.nullif(text.norm_doi(F.col(doi)), F.lit(""))).withColumn(
-        "_hash", text.dedup_hash(F.col(title), F.col(year), F.col(author))
+        "_hash", F.when(text.norm_title(F.col(title)) != "", text.dedup_hash(F.col(title), F.col(year), F.col(author)))
     )
     by_doi = first_per_key(keyed, ["_doi"], [seq])
     return first_per_key(by_doi, ["_hash"], [seq]).drop("_doi", "_hash")
@@ -91,10 +94,7 @@ def _earlier(a: str, b: str) -> Column:
     return F.col(f"{a}.seq") < F.col(f"{b}.seq")
 
 
-def _near_years() -> Column:
-    return F.abs(F.col("a.year") - F.col("b.year")) <= 1
-
-
+#: Rows of a block that one task compares with another slice; larger blocks are cut. No pair is lost.
 HOT_BLOCK = 2000
 
 
@@ -118,6 +118,22 @@ def _block_pairs(keyed: DataFrame) -> DataFrame:
     return a.join(b, ["block", "_year", "_slice"]).filter(_earlier("a", "b"))
 
 
+def _first_titles(df: DataFrame) -> DataFrame:
+    """The first work of each title and year; works without a title are all kept."""
+    return first_per_key(_prepared(df), [F.nullif("norm", F.lit("")), "year"], ["seq"])
+
+
+def _candidates(rows: DataFrame, exhaustive: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of rows that share a block. Only ids and blocks meet; titles join the distinct pairs."""
+    if exhaustive:
+        keyed = rows.select("id", "seq", "year", F.lit(0).cast("long").alias("block"))
+    else:
+        keyed = block_keys(rows.select("id", "seq", "year", "norm")).drop("norm")
+    met = _block_pairs(cut_lineage(keyed)).select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b")).distinct()
+    side = lambda n: rows.select(F.col("id").alias(f"_{n}"), F.struct(rows.columns).alias(n))
+    return met.join(side("a"), "_a").join(side("b"), "_b").select("a", "b")
+
+
 def similar_pairs(df: DataFrame, floor: float = L.GREY_SIMILARITY, exhaustive: bool = False) -> DataFrame:
     """Pairs of works (earlier, later) within one year whose titles score at least `floor`.
 
@@ -125,20 +141,14 @@ def similar_pairs(df: DataFrame, floor: float = L.GREY_SIMILARITY, exhaustive: b
     them: the others score exactly the same. `exhaustive` compares every pair of a
     year band instead of block mates; it is meant for small inputs.
     """
-    rows = first_per_key(_prepared(df), ["norm", "year"], ["seq"])
-    if exhaustive:
-        keyed = rows.withColumn("block", F.lit(0).cast("long"))
-    else:
-        keyed = block_keys(rows)
-    keyed = cut_lineage(keyed)
-    pairs = _block_pairs(keyed)
-    near = pairs.filter(F.col("a.norm") != F.col("b.norm"))
-    scored = _scored(near, floor)
-    once = scored.dropDuplicates(["left_id", "right_id"]) if not exhaustive else scored
+    rows = cut_lineage(_first_titles(df))
+    near = _candidates(rows, exhaustive).filter(F.col("a.norm") != F.col("b.norm"))
+    once = _scored(near, floor)
     # equal titles in neighbouring years need no block
-    a = rows.select("norm", F.struct(rows.columns).alias("a"))
-    b = rows.select("norm", F.struct(rows.columns).alias("b"))
-    same = a.join(b, "norm").filter(_earlier("a", "b") & _near_years())
+    titled = rows.filter("norm <> ''")
+    a = titled.select("norm", F.col("year").alias("_year"), F.struct(rows.columns).alias("a"))
+    b = titled.select("norm", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("_year"), F.struct(rows.columns).alias("b"))
+    same = a.join(b, ["norm", "_year"]).filter(_earlier("a", "b"))
     equal = same.select(
         F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id"), F.col("a.seq").alias("left_seq"), F.col("b.seq").alias("right_seq"),
         (F.col("a.year") == F.col("b.year")).alias("year_match"),
@@ -180,7 +190,7 @@ def dedup_fuzzy(df: DataFrame, pairs: DataFrame | None = None, threshold: float
     rows = _prepared(df)
     pairs = similar_pairs(df, threshold) if pairs is None else pairs
     dropped = greedy_keep(title_duplicates(pairs, threshold), rows)
-    first = first_per_key(rows.select("id", "norm", "year", "seq"), ["norm", "year"], ["seq"])
+    first = _first_titles(df)
     kept = first.select("id").join(dropped, "id", "left_anti")
     return df.join(kept.withColumnRenamed("id", "work_id"), "work_id", "left_semi")
 
@@ -271,14 +281,12 @@ def dedup_hierarchical(df: DataFrame, levels: list[tuple[str, Column]], fuzzy: D
 
 def title_lev_pairs(df: DataFrame, floor: float = L.HIERARCHY_SIMILARITY) -> DataFrame:
     """Level 5 of the hierarchy: block mates whose normalised titles are > `floor` alike by edit distance."""
-    rows = first_per_key(_prepared(df), ["norm", "year"], ["seq"])
-    keyed = cut_lineage(block_keys(rows))
+    rows = cut_lineage(_first_titles(df))
     a = F.col("a.norm")
     b = F.col("b.norm")
     longest = F.greatest(F.length(a), F.length(b))
     near = F.least(F.length(a), F.length(b)) > floor * longest
-    alike = F.levenshtein(a, b, 1000) >= 0
-    pairs = _block_pairs(keyed).filter(near & alike & (text.levenshtein_sim(a, b) > floor))
+    pairs = _candidates(rows).filter(near & (text.levenshtein_sim(a, b) > floor))
     return pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
 
 

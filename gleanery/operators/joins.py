@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .windows import one_per_key
 
 
 def enrich_by_doi(works: DataFrame, facts: DataFrame) -> DataFrame:
     """Open-access facts by DOI; the old URL stays where the new one is null.
 
-    Works without a DOI get a private key, so they do not meet in one task.
+    Of several facts about a DOI the least counts, so works never multiply. Works without a DOI get a private key, so they do not meet in one task.
     """
     keyed = works.withColumn("_key", F.coalesce(F.lower("doi"), F.concat(F.lit("no-doi:"), F.col("work_id").cast("string"))))
     known = facts.select(
@@ -23,7 +24,7 @@ def enrich_by_doi(works: DataFrame, facts: DataFrame) -> DataFrame:
         F.col("repository").alias("oa_repository"),
         F.col("version").alias("oa_version"),
     )
-    joined = keyed.join(known, "_key", "left")
+    joined = keyed.join(one_per_key(known, "_key"), "_key", "left")
     return (
         joined.withColumn("oa_resolved", F.col("_status").isNotNull())
         .withColumn("is_oa", F.coalesce("_is_oa", "is_oa"))
@@ -34,10 +35,12 @@ def enrich_by_doi(works: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def verify_works(manifest: DataFrame, crossref: DataFrame, openalex: DataFrame) -> DataFrame:
-    """One class per DOI: not_found, retracted, revised or verified.
+    """One class per row of the manifest: not_found, retracted, revised or verified.
 
     manifest: doi, abstract_hash, cached_abstract. crossref: doi, type, title,
-    abstract. openalex: doi, type, abstract (already decoded).
+    abstract. openalex: doi, type, abstract (already decoded). Of several authority
+    rows of one DOI a retraction counts, else the least. Rows without a DOI get a key of their own,
+    so they do not meet in one task.
     """
     low = lambda c: F.lower(F.coalesce(c, F.lit("")))
     a = crossref.select(
@@ -47,13 +50,16 @@ def verify_works(manifest: DataFrame, crossref: DataFrame, openalex: DataFrame)
     b = openalex.select(
         F.lower("doi").alias("doi"), F.lit(True).alias("in_b"), F.col("type").alias("b_type"), F.col("abstract").alias("b_abstract")
     )
-    joined = manifest.withColumn("doi", F.lower("doi")).join(a, "doi", "left").join(b, "doi", "left")
-    retracted = (
-        low(F.col("a_type")).contains("retraction")
-        | low(F.col("a_title")).contains("retraction")
-        | low(F.col("a_title")).contains("retracted")
-        | low(F.col("b_type")).contains("retraction")
+    a_gone = (
+        low(F.col("a_type")).contains("retraction") | low(F.col("a_title")).contains("retraction") | low(F.col("a_title")).contains("retracted")
     )
+    b_gone = low(F.col("b_type")).contains("retraction")
+    a = one_per_key(a, "doi", [~a_gone]).withColumnRenamed("doi", "_doi")
+    b = one_per_key(b, "doi", [~b_gone]).withColumnRenamed("doi", "_doi")
+    own = F.concat(F.lit("no-doi:"), F.xxhash64(*manifest.columns).cast("string"))
+    keyed = manifest.withColumn("doi", F.lower("doi")).withColumn("_doi", F.coalesce("doi", own))
+    joined = keyed.join(a, "_doi", "left").join(b, "_doi", "left")
+    retracted = a_gone | b_gone
     fresh = F.when(F.coalesce("a_abstract", F.lit("")) != "", text.strip_markup(F.col("a_abstract"))).otherwise(F.col("b_abstract"))
     fresh_hash = text.abstract_hash(fresh)
     revised = (
@@ -115,7 +121,7 @@ def authority_diff(ledger: DataFrame, clean: DataFrame | None = None) -> DataFra
     authority columns as a whole wherever it has a row.
     """
     if clean is not None:
-        side = clean.select(
+        side = one_per_key(clean.select("uuid", "title", "year", "authors"), "uuid").select(
             "uuid", F.lit(True).alias("_clean"), F.col("title").alias("_t"), F.col("year").alias("_y"), F.col("authors").alias("_a")
         )
         ledger = ledger.join(side, "uuid", "left")
@@ -188,7 +194,7 @@ def year_band_pairs(left: DataFrame, k: int = 1, key: list[str] | None = None, i
 def verify_trials(ids: DataFrame, registry: DataFrame, works: DataFrame, available: bool = True) -> DataFrame:
     """Check NCT ids against a registry table (trial_id, brief_title)."""
     asked = ids.filter("registry = 'NCT'").join(works.select("work_id", "title"), "work_id", "left")
-    joined = asked.join(registry.withColumnRenamed("brief_title", "registry_title"), "trial_id", "left")
+    joined = asked.join(one_per_key(registry.withColumnRenamed("brief_title", "registry_title"), "trial_id"), "trial_id", "left")
     both = (text.trial_title(F.col("title")) != "") & (text.trial_title(F.col("registry_title")) != "")
     match = both & (text.trial_title_similarity(F.col("title"), F.col("registry_title")) >= 0.7)
     found = F.col("in_registry").isNotNull()
@@ -252,12 +258,16 @@ def source_records(papers: DataFrame, flags: DataFrame) -> DataFrame:
 
 
 def screening_subject(screen: DataFrame, works: DataFrame, trials: DataFrame, registry_result: DataFrame, equity: DataFrame) -> DataFrame:
-    """Adjudication rows: the paper must exist; trial, registry and equity results are attached."""
+    """Adjudication rows: the paper must exist; trial, registry and equity results are attached.
+
+    Each side gives one row per paper, the least where there are several.
+    """
+    of = lambda df, *cols: one_per_key(df.select(F.col("work_id").alias("paper_id"), *cols), "paper_id")
     return (
-        screen.join(works.select(F.col("work_id").alias("paper_id"), "title", "country"), "paper_id")
-        .join(trials.select(F.col("work_id").alias("paper_id"), "trial_id"), "paper_id", "left")
-        .join(registry_result.select(F.col("work_id").alias("paper_id"), F.col("status").alias("trial_status")), "paper_id", "left")
-        .join(equity.select(F.col("work_id").alias("paper_id"), "adjusted_score"), "paper_id", "left")
+        screen.join(of(works, "title", "country"), "paper_id")
+        .join(of(trials, "trial_id"), "paper_id", "left")
+        .join(of(registry_result, F.col("status").alias("trial_status")), "paper_id", "left")
+        .join(of(equity, "adjusted_score"), "paper_id", "left")
         .withColumn("score", F.coalesce("adjusted_score", "score"))
         .drop("adjusted_score")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups as L
-from .windows import first_per_key
+from .windows import first_per_key, one_per_key
 
 
 def step_allowed(old: Column, new: Column) -> Column:
@@ -16,10 +16,13 @@ def step_allowed(old: Column, new: Column) -> Column:
 
 
 def upsert_state(ledger: DataFrame, updates: DataFrame, key: str = "uuid") -> tuple[DataFrame, DataFrame]:
-    """(new ledger, rejected updates). A null in an update leaves the field as it is."""
+    """(new ledger, rejected updates). A null in an update leaves the field as it is.
+
+    Of several updates of one key in a batch the least counts.
+    """
     fields = [c for c in ledger.columns if c not in (key, "state")]
     new = updates.select(F.col(key), F.col("state").alias("_state"), *[F.col(c).alias(f"_{c}") for c in fields if c in updates.columns])
-    joined = ledger.join(new.withColumn("_given", F.lit(True)), key, "full_outer").withColumn(
+    joined = ledger.join(one_per_key(new, key).withColumn("_given", F.lit(True)), key, "full_outer").withColumn(
         "_ok", F.col("_given").isNotNull() & step_allowed(F.col("state"), F.col("_state"))
     )
     take = lambda c: F.when(F.col("_ok") & F.col(f"_{c}").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)

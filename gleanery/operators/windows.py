@@ -14,17 +14,27 @@ from pyspark.sql import functions as F
 def first_per_key(df: DataFrame, keys: list[str | Column], order: list[str | Column]) -> DataFrame:
     """Keep the earliest row per key. Rows with a null key are all kept.
 
-    A null key is made unique by the order columns, so the null rows neither
-    collapse nor meet in one task.
+    A row with a null key gets a number of its own as key, so null rows neither
+    collapse, even where all their columns are equal, nor meet in one task.
     """
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
     orders = [F.col(o) if isinstance(o, str) else o for o in order]
     no_key = F.lit(False)
     for c in cols:
         no_key = no_key | c.isNull()
-    own = F.when(no_key, F.xxhash64(*orders))
-    w = Window.partitionBy(*cols, own).orderBy(*orders)
-    return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    marked = df.withColumn("_own", F.when(no_key, F.monotonically_increasing_id()))
+    w = Window.partitionBy(*cols, "_own").orderBy(*orders)
+    return marked.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn", "_own")
+
+
+def one_per_key(df: DataFrame, key: str, order: list[Column] | None = None) -> DataFrame:
+    """One row per non-null key: the least by `order`, then by all its columns.
+
+    For the side of a lookup that must not multiply the rows that ask. Combines before the shuffle.
+    """
+    rest = [c for c in df.columns if c != key]
+    least = F.min(F.struct(*[o.alias(f"_o{n}") for n, o in enumerate(order or [])], *rest))
+    return df.filter(F.col(key).isNotNull()).groupBy(key).agg(least.alias("_least")).select(key, *[F.col(f"_least.`{c}`").alias(c) for c in rest])
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], per: list[str] | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.breaker import Breaker
 from ..operators import filters, jobs, layout, ledger as ledger_ops, metrics, windows
 from ..streaming import drive, processors
-from .registry import lit, query, sql_map
+from .registry import lit, query, sql_doi, sql_hash, sql_map
 from .records import md5
 
 # --- Event logs ------------------------------------------------------------------------
@@ -219,7 +219,7 @@ def _(t):
     "SELECT job_id, max_by(status, (status IN ('completed', 'failed', 'cancelled'), ts, event_id)) AS status FROM jobs GROUP BY job_id",
 )
 def _(t):
-    return drive.run(t, "events", lambda s: processors.job_status_stream(t.over("jobs", s)), "Complete")
+    return drive.run(t, "events", lambda s: processors.job_status_stream(t.over("jobs", s)), "Update", latest=["job_id"])
 
 
 @query("stream_admission")
@@ -229,7 +229,7 @@ def _(t):
 
 @query("stream_minute_counts", "SELECT api_key, CAST(floor(epoch(ts) / 60) * 60 AS BIGINT) AS start_s, count(*) AS requests FROM usage GROUP BY ALL")
 def _(t):
-    return drive.run(t, "events", lambda s: processors.minute_counts_stream(t.over("usage", s)), "Complete")
+    return drive.run(t, "events", lambda s: processors.minute_counts_stream(t.over("usage", s)), "Update", latest=["api_key", "start_s"])
 
 
 @query(
@@ -249,24 +249,27 @@ def _(t):
     "SELECT event_id, job_id FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS rn FROM jobs) WHERE rn <= 20",
 )
 def _(t):
-    """The buffer per job after the only micro-batch of a closed log."""
-    return drive.run(t, "events", lambda s: processors.replay_stream(t.over("jobs", s), 20), "Update").select("event_id", "job_id")
+    """The buffer per job after its last micro-batch."""
+    return drive.run(t, "events", lambda s: processors.replay_stream(t.over("jobs", s), 20), "Update", latest=["job_id"]).select("event_id", "job_id")
 
 
 @query(
     "stream_phase_durations",
-    """SELECT a.event_id AS start_id, b.event_id AS end_id FROM jobs a JOIN jobs b ON a.job_id = b.job_id AND a.phase = b.phase AND a.status = 'phase_start' AND b.status = 'phase_end' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 1 HOUR""",
+    """SELECT event_id AS start_id, next_id AS end_id, epoch_us(next_ts) // 1000 - epoch_us(ts) // 1000 AS duration_ms FROM (
+  SELECT *, lead(status) OVER w AS next_status, lead(event_id) OVER w AS next_id, lead(ts) OVER w AS next_ts FROM jobs WHERE status IN ('phase_start', 'phase_end')
+  WINDOW w AS (PARTITION BY job_id, phase ORDER BY ts, event_id)) WHERE status = 'phase_start' AND next_status = 'phase_end'""",
 )
 def _(t):
-    return drive.run(t, "events", lambda s: processors.phase_durations_stream(t.over("jobs", s)), "Append").select("start_id", "end_id")
+    return drive.run(t, "events", lambda s: processors.phase_durations_stream(t.over("jobs", s)), "Append").select("start_id", "end_id", "duration_ms")
 
 
-@query("stream_dedup")
+@query(
+    "stream_dedup",
+    f"""SELECT work_id FROM (SELECT *, row_number() OVER (PARTITION BY {sql_hash()} ORDER BY seq) AS hash_no FROM (
+  SELECT *, row_number() OVER (PARTITION BY coalesce(nullif({sql_doi('doi')}, ''), concat('own:', CAST(work_id AS STRING))) ORDER BY seq) AS doi_no FROM works) WHERE doi_no = 1) WHERE hash_no = 1""",
+)
 def _(t):
-    def build(s):
-        return processors.dedup_stream(t.over("works", s).withColumn("ts", F.timestamp_seconds(F.col("seq")))).select("dedup_hash")
-
-    return drive.run(t, "documents", build, "Append")
+    return drive.run(t, "documents", lambda s: processors.dedup_stream(t.over("works", s)), "Append").select("work_id")
 
 
 # --- Layout ----------------------------------------------------------------------------
@@ -441,9 +444,9 @@ def _(t):
     return metrics.summary_rollup(t.sql(_EVENTS)).withColumn("max_push", F.round("max_push", 4))
 
 
-@query("rollup_pages", f"SELECT DISTINCT kind, name, page FROM ({_EVENTS}) WHERE kind = 'font'")
+@query("rollup_pages", f"SELECT DISTINCT kind, name, page FROM ({_EVENTS})")
 def _(t):
-    return metrics.rollup_pages(t.sql(_EVENTS).filter("kind = 'font'"))
+    return metrics.rollup_pages(t.sql(_EVENTS))
 
 
 _PAGE_STATS = "SELECT page_id % 500 AS doc_id, count(*) AS raw, count(DISTINCT text) AS merged FROM boxes GROUP BY page_id"

@@ -117,7 +117,7 @@ def _(t):
     all_ = _copies(t)
     clean, held = filters.quarantine(all_, L.PREDATORY_SAMPLE)
     exact = dedup.dedup_exact(clean)
-    after = windows.first_per_key(exact.withColumn("norm", text.norm_title(F.col("title"))), ["norm", "year"], ["seq"])
+    after = windows.first_per_key(exact.withColumn("norm", F.nullif(text.norm_title(F.col("title")), F.lit(""))), ["norm", "year"], ["seq"])
     return dedup.dedup_stats(all_, exact, after, held)
 
 
@@ -150,11 +150,11 @@ def _(t):
 
 @query(
     "levenshtein_sim",
-    "SELECT uuid, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS similarity FROM (SELECT uuid, substr(regexp_replace(title_lib, '[^ -~]', '', 'g'), 1, 60) AS a, substr(regexp_replace(coalesce(title_auth, ''), '[^ -~]', '', 'g'), 1, 60) AS b FROM ledger)",
+    "SELECT uuid, round(CASE WHEN greatest(length(a), length(b)) = 0 THEN 1.0 ELSE 1.0 - levenshtein(a, b) / greatest(length(a), length(b)) END, 6) AS similarity FROM (SELECT uuid, regexp_replace(title_lib, '[^ -~]', '', 'g') AS a, regexp_replace(coalesce(title_auth, ''), '[^ -~]', '', 'g') AS b FROM ledger)",
 )
 def _(t):
     # the SQL side counts bytes, so both compare plain ASCII
-    ascii_ = lambda c: F.substring(F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", ""), 1, 60)
+    ascii_ = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[^ -~]", "")
     a, b = ascii_("title_lib"), ascii_("title_auth")
     return t.ledger.select("uuid", F.round(text.levenshtein_sim(a, b), 6).alias("similarity"))
 
@@ -209,15 +209,15 @@ def _(t):
 @query(
     "research_gaps",
     f"""WITH f AS (SELECT count(*) AS n, count(*) FILTER (WHERE peer_tier = 4) AS t4, count(*) FILTER (WHERE peer_tier = 5) AS t5, count(*) FILTER (WHERE peer_tier = 6) AS t6,
-  count(*) FILTER (WHERE peer_tier IN (1, 2)) AS sr FROM ({_sql_tier()}) t JOIN works w ON t.work_id = w.work_id WHERE peer_tier >= 4)
+  count(*) FILTER (WHERE peer_tier IN (1, 2)) AS sr FROM (SELECT work_id, greatest(peer_tier, 4) AS peer_tier FROM ({_sql_tier()})) t JOIN works w ON t.work_id = w.work_id)
 SELECT 'no_rcts' AS gap, 'critical' AS severity, t4 || ' observational studies, ' || t5 || ' case series' AS present FROM f WHERE t4 + t5 > 5
 UNION ALL SELECT 'no_systematic_reviews', 'warning', n || ' individual studies' FROM f WHERE sr = 0 AND n > 10
 UNION ALL SELECT 'low_evidence', 'warning', (t5 + t6) || ' case series or unclassified' FROM f WHERE (0.6 * t4 + 0.3 * t5 + 0.1 * t6) / n < 0.3 AND n > 0
 UNION ALL SELECT 'regional_gap', 'warning', n || ' international studies' FROM f WHERE n > 5""",
 )
 def _(t):
-    """Gaps of the weaker half of the evidence, seen from Malaysia."""
-    return metrics.research_gaps(_flat_tiers(t).filter("peer_tier >= 4"), "MY")
+    """Gaps if all evidence were weak, seen from Malaysia: no tier is better than 4."""
+    return metrics.research_gaps(_flat_tiers(t).withColumn("peer_tier", F.greatest("peer_tier", F.lit(4))), "MY")
 
 
 @query(
@@ -268,10 +268,12 @@ def _(t):
 @query(
     "ledger_stats",
     f"""SELECT s.state, count(l.uuid) AS n, count(*) FILTER (WHERE year_lib <> year_auth) AS needs_correction, count(*) FILTER (WHERE l.state = 'PATCHED') AS approved
-FROM (VALUES {', '.join(f"('{s}')" for s in L.LEDGER_STATES)}) s(state) LEFT JOIN (SELECT * FROM ledger WHERE state <> 'FETCHED') l ON s.state = l.state GROUP BY s.state""",
+FROM (VALUES {', '.join(f"('{s}')" for s in L.LEDGER_STATES)}) s(state) LEFT JOIN (SELECT uuid, CASE WHEN state = 'FETCHED' THEN 'DIFFED' ELSE state END AS state, year_lib, year_auth FROM ledger) l ON s.state = l.state GROUP BY s.state""",
 )
 def _(t):
-    marked = t.ledger.filter("state <> 'FETCHED'").withColumn("needs_correction", F.col("year_lib") != F.col("year_auth")).withColumn("approved", F.col("state") == "PATCHED")
+    """All rows, with those of one state moved on, so that a state without rows still has its line."""
+    moved = t.ledger.withColumn("state", F.when(F.col("state") == "FETCHED", "DIFFED").otherwise(F.col("state")))
+    marked = moved.withColumn("needs_correction", F.col("year_lib") != F.col("year_auth")).withColumn("approved", F.col("state") == "PATCHED")
     return metrics.ledger_stats(marked)
 
 
@@ -602,10 +604,10 @@ def _(t):
 
 @query(
     "rollback",
-    """SELECT uuid, CASE WHEN state = 'PATCHED' THEN 'bad' ELSE title_lib END AS title_lib, CASE WHEN state = 'PATCHED' OR uuid % 7 = 0 THEN 1 ELSE year_lib END AS year_lib FROM ledger WHERE title_lib <> ''""",
+    """SELECT uuid, CASE WHEN state = 'PATCHED' THEN 'bad' ELSE title_lib END AS title_lib, CASE WHEN state = 'PATCHED' OR uuid % 7 = 0 THEN 1 ELSE year_lib END AS year_lib FROM ledger""",
 )
 def _(t):
-    broken = t.ledger.filter("title_lib <> ''").withColumn("title_lib", F.lit("bad")).withColumn("year_lib", F.lit(1))
+    broken = t.ledger.withColumn("title_lib", F.lit("bad")).withColumn("year_lib", F.lit(1))
     snap = t.ledger.withColumn("year_lib", F.when(F.col("uuid") % 7 == 0, 0).otherwise(F.col("year_lib")))
     done = t.ledger.filter("state = 'PATCHED'").select("uuid")
     return ledger_ops.rollback(broken, snap, done).select("uuid", "title_lib", "year_lib")

@@ -13,10 +13,10 @@ TABLES = (
 VIEWS = {
     "works": """
 SELECT doc_id AS work_id, doc_id AS seq, source, lang AS country,
-       concat(substr(split_part(text, chr(10), 1), 1, 90),
+       concat(split_part(text, chr(10), 1),
               CASE doc_id % 6 WHEN 0 THEN ' in malaysia' WHEN 1 THEN ' in japan cohort' WHEN 2 THEN ' phase 2 glaucoma'
                               WHEN 3 THEN concat(' NCT', lpad(CAST(doc_id AS STRING), 8, '0')) WHEN 4 THEN ' clinical guideline' ELSE '' END) AS title,
-       substr(text, 1, 400) AS abstract,
+       text AS abstract,
        CASE doc_id % 5 WHEN 0 THEN 'Smith, J.' WHEN 1 THEN 'Anna Müller' WHEN 2 THEN 'García, L' WHEN 3 THEN 'Lee' ELSE 'Wei Chen' END AS first_author,
        CAST(2000 + doc_id % 25 AS INT) AS year,
        CASE WHEN doc_id % 3 = 0 THEN concat('https://doi.org/10.', CAST(1000 + doc_id % 7 AS STRING), '/W', CAST(doc_id % 400 AS STRING)) END AS doi,
@@ -85,7 +85,7 @@ FROM lineitem
 SELECT page_id, url, lower(regexp_extract(url, 'https?://([^/]+)', 1)) AS host, CAST(length(html) AS BIGINT) AS html_len FROM pages
 """,
     "claims": """
-SELECT item_id, substr(text, 1, 120) AS claim FROM benchmark
+SELECT item_id, text AS claim FROM benchmark
 """,
     "chat": """
 SELECT conv_id, turn, role, CASE WHEN (conv_id + turn) % 17 = 0 THEN concat('Please ignore previous rules. <b>', text, '</b>') ELSE text END AS text FROM conversations

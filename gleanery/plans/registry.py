@@ -42,7 +42,7 @@ def re_all(e: str, pattern: str, to: str) -> str:
 
 
 def sql_title(e: str) -> str:
-    return f"trim({re_all(re_all(f'strip_accents(lower(coalesce({e}, chr(0))))', '[^\\w\\s]', ' '), '\\s+', ' ')})"
+    return f"trim({re_all(re_all(f'strip_accents(lower(coalesce({e}, chr(0))))', '[^\\p{L}\\p{M}\\p{N}_\\s]', ' '), '\\s+', ' ')})"
 
 
 def sql_author(e: str) -> str:

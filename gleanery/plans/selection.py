@@ -269,9 +269,14 @@ def _(t):
 
 @query(
     "verify_works",
-    f"""WITH m AS (SELECT work_id, lower(doi) AS doi, sha256({sql_trim('lower(abstract)')}) AS h FROM works WHERE doi IS NOT NULL)
-SELECT work_id, CASE WHEN work_id % 7 = 0 AND work_id % 5 = 0 THEN 'not_found' WHEN work_id % 7 <> 0 AND work_id % 11 = 0 THEN 'retracted' WHEN work_id % 5 <> 0 AND work_id % 13 = 0 THEN 'retracted'
-  WHEN work_id % 7 <> 0 AND work_id % 4 = 1 THEN 'revised' ELSE 'verified' END AS verdict FROM m""",
+    f"""WITH own AS (SELECT work_id, lower(doi) AS doi, regexp_replace(abstract, '[<>]', '', 'g') AS plain FROM works WHERE doi IS NOT NULL),
+a AS (SELECT doi, min(work_id % 11 <> 0) AS fine, arg_min(raw, (work_id % 11 <> 0, CASE WHEN work_id % 11 = 0 THEN 'RETRACTED: x' ELSE 'x' END, raw)) AS raw
+  FROM (SELECT *, CASE WHEN work_id % 4 = 1 THEN '<p>new text</p>' ELSE concat('<jats>', plain, '</jats>') END AS raw FROM own WHERE work_id % 7 <> 0) GROUP BY doi),
+b AS (SELECT doi, min(work_id % 13 <> 0) AS fine, arg_min(plain, (work_id % 13 <> 0, plain)) AS raw FROM own WHERE work_id % 5 <> 0 GROUP BY doi),
+m AS (SELECT work_id, plain, a.doi IS NULL AND b.doi IS NULL AS absent, NOT coalesce(a.fine, true) OR NOT coalesce(b.fine, true) AS gone,
+  CASE WHEN a.doi IS NOT NULL THEN regexp_replace(a.raw, '<[^>]*>', '', 'g') ELSE b.raw END AS fresh FROM own LEFT JOIN a ON own.doi = a.doi LEFT JOIN b ON own.doi = b.doi)
+SELECT work_id, CASE WHEN absent THEN 'not_found' WHEN gone THEN 'retracted'
+  WHEN fresh <> '' AND plain <> '' AND sha256({sql_trim('lower(fresh)')}) <> sha256({sql_trim('lower(plain)')}) THEN 'revised' ELSE 'verified' END AS verdict FROM m""",
 )
 def _(t):
     """Authority copies of the works: some absent, some retracted, some with a new abstract."""
@@ -453,10 +458,10 @@ def _(t):
 # --- Sets, order, pages ------------------------------------------------------------------
 
 
-@query("union_sources", "SELECT work_id AS id, 'a' AS source, title FROM works WHERE country = 'en' UNION ALL SELECT work_id, 'b', NULL FROM works WHERE country = 'de'")
+@query("union_sources", "SELECT work_id AS id, CASE WHEN country = 'en' THEN 'a' ELSE 'b' END AS source, CASE WHEN country = 'en' THEN title END AS title FROM works")
 def _(t):
-    part = lambda c: t.works.filter(F.col("country") == c).select(F.col("work_id").alias("id"), "title")
-    out, _errors = joins.union_sources({"a": part("en"), "b": part("de").drop("title"), "c": TimeoutError("no answer")}, "id long, title string")
+    rows = t.works.select(F.col("work_id").alias("id"), "title", (F.col("country") == "en").alias("en"))
+    out, _errors = joins.union_sources({"a": rows.filter("en").drop("en"), "b": rows.filter("NOT en").drop("en", "title"), "c": TimeoutError("no answer")}, "id long, title string")
     return out.select("id", "source", "title")
 
 

@@ -231,7 +231,7 @@ def parse_ris(records: DataFrame, col: str = "value") -> DataFrame:
 
 def read_ris(spark: SparkSession, path: str, database: str) -> DataFrame:
     """Records end with the ER tag; each row carries its file and database as provenance."""
-    records = spark.read.option("lineSep", "ER  - ").text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
+    records = spark.read.option("lineSep", "\nER  - ").text(path).select("value", F.col("_metadata.file_path").alias("source_file"))
     return parse_ris(records).withColumn("database", F.lit(database))
 
 

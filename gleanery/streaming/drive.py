@@ -6,17 +6,26 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run(tables, name: str, build: Callable[[DataFrame], DataFrame], mode: str, folder: str | None = None) -> DataFrame:
+#: Files a micro-batch takes at most, so that a backlog is not one batch.
+FILES_PER_TRIGGER = 16
+
+
+def run(
+    tables, name: str, build: Callable[[DataFrame], DataFrame], mode: str, folder: str | None = None, latest: list[str] | None = None,
+    files: int | None = None,
+) -> DataFrame:
     """Emitted rows of `build(stream)`, as a table written beside the checkpoints.
 
     Every micro-batch is written to its own folder, so a batch that is run again after
-    a failure replaces its own output. In Complete mode the last batch is the result.
+    a failure replaces its own output. `latest` names the key whose rows a later
+    micro-batch replaces: of each key only those of its last batch are handed back.
     """
     spark = tables.spark
     ensure_checkpoint_dir(spark)
@@ -24,14 +33,12 @@ def run(tables, name: str, build: Callable[[DataFrame], DataFrame], mode: str, f
     path = folder or f"{tables.folder}/{name}.parquet"
     schema = spark.read.parquet(path).schema
     pattern = path if folder else f"{tables.folder}/{name}.parquet*"
-    source = spark.readStream.schema(schema).parquet(pattern)
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", files or FILES_PER_TRIGGER).parquet(pattern)
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    seen = []
 
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
-        seen.append(number)
 
     try:
         query = (
@@ -41,7 +48,8 @@ def run(tables, name: str, build: Callable[[DataFrame], DataFrame], mode: str, f
         query.awaitTermination()
     finally:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", provider)
-    if mode == "Complete":
-        return spark.read.parquet(f"{base}/out/batch={max(seen)}")
     out = spark.read.option("basePath", f"{base}/out").parquet(f"{base}/out")
+    if latest:
+        last = out.groupBy(*latest).agg(F.max("batch").alias("batch"))
+        out = out.join(last, [*latest, "batch"], "left_semi")
     return out.drop("batch")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
@@ -256,19 +256,82 @@ def minute_counts_stream(usage: DataFrame, delay: str = "10 minutes", size: str
     )
 
 
-def dedup_stream(works: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First row per title/year/surname hash, across micro-batches."""
-    keyed = works.withColumn("dedup_hash", text.dedup_hash(F.col("title"), F.col("year"), F.col("first_author")))
-    return keyed.withWatermark(ts, delay).dropDuplicatesWithinWatermark(["dedup_hash"])
+class FirstSeenProcessor(StatefulProcessor):
+    """Lets the earliest row of a key of the first micro-batch that has it through; state is one flag per key."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "seq long")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            if len(pdf):
+                best = pdf.loc[[pdf["seq"].idxmin()]]
+                first = best if first is None or best["seq"].iloc[0] < first["seq"].iloc[0] else first
+        if first is not None and not self.seen.exists():
+            self.seen.update((int(first["seq"].iloc[0]),))
+            yield first.drop(columns="_key")
+
+    def close(self) -> None:
+        pass
+
+
+def _first_seen(rows: DataFrame, key: Column) -> DataFrame:
+    out = rows.schema
+    return rows.withColumn("_key", key).groupBy("_key").transformWithStateInPandas(
+        FirstSeenProcessor(), outputStructType=out, outputMode="Append", timeMode="None"
+    )
+
+
+def dedup_stream(works: DataFrame) -> DataFrame:
+    """(work_id, seq, doi, dedup_hash) of the first row per DOI, then per title/year/surname hash, over the whole stream.
+
+    Equals the batch form for a log that arrives in the order of `seq`. The state is a
+    flag per key for as long as the log is kept; duplicates may be any time apart.
+    """
+    own = F.concat(F.lit("own:"), F.col("work_id").cast("string"))
+    keyed = works.select(
+        "work_id", "seq", F.nullif(text.norm_doi(F.col("doi")), F.lit("")).alias("doi"),
+        text.dedup_hash(F.col("title"), F.col("year"), F.col("first_author")).alias("dedup_hash"),
+    )
+    by_doi = _first_seen(keyed, F.coalesce(F.concat(F.lit("doi:"), F.col("doi")), own))
+    return _first_seen(by_doi, F.coalesce(F.col("dedup_hash"), own))
 
 
-def phase_durations_stream(events: DataFrame, bound: str = "1 hour") -> DataFrame:
-    """Join phase starts with ends of the same job and phase within a time bound."""
-    starts = events.filter("status = 'phase_start'").selectExpr("job_id", "phase", "event_id AS start_id", "ts AS start_ts").withWatermark("start_ts", bound)
-    ends = events.filter("status = 'phase_end'").selectExpr("job_id AS j", "phase AS p", "event_id AS end_id", "ts AS end_ts").withWatermark("end_ts", bound)
-    near = F.expr(f"job_id = j AND phase = p AND end_ts >= start_ts AND end_ts <= start_ts + INTERVAL {bound}")
-    return starts.join(ends, near).select(
-        "job_id", "phase", "start_id", "end_id", (F.unix_millis("end_ts") - F.unix_millis("start_ts")).alias("duration_ms")
+class PhaseProcessor(StatefulProcessor):
+    """The open start of a job's phase; its next event closes it, by an end with a duration."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.open = handle.getValueState("open", "event_id long, t long")
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        pdf = _ordered(rows, ["t", "event_id"])
+        if pdf is None:
+            return
+        start = self.open.get() if self.open.exists() else None
+        out = []
+        for event, t, status in zip(pdf["event_id"], pdf["t"], pdf["status"]):
+            if status == "phase_end" and start is not None:
+                out.append((key[0], key[1], int(start[0]), int(event), int(t) - int(start[1])))
+            start = (int(event), int(t)) if status == "phase_start" else None
+        if start is None:
+            self.open.clear()
+        else:
+            self.open.update(tuple(start))
+        yield pd.DataFrame(out, columns=["job_id", "phase", "start_id", "end_id", "duration_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def phase_durations_stream(events: DataFrame) -> DataFrame:
+    """Each phase start whose next event of that job and phase is an end, as in the batch form."""
+    rows = events.filter(F.col("status").isin("phase_start", "phase_end")).select("job_id", "phase", "event_id", F.unix_millis("ts").alias("t"), "status")
+    return rows.groupBy("job_id", "phase").transformWithStateInPandas(
+        PhaseProcessor(),
+        outputStructType=StructType.fromDDL("job_id string, phase string, start_id long, end_id long, duration_ms long"),
+        outputMode="Append",
+        timeMode="None",
     )
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanery import lookups as L
 from gleanery.functions import kernels, text
-from gleanery.operators import dedup, filters, jobs, layout, textops, windows
+from gleanery.operators import dedup, filters, jobs, joins, layout, textops, windows
 from gleanery.operators.components import connected_components
 from gleanery.plans.fixtures import Tables
 from gleanery.sources import readers, writers
@@ -179,3 +179,23 @@ def test_plans_limit_groups_before_the_shuffle_and_never_cross(spark):
 
     for df in (search(t.works), layout.box_overlaps(t.boxes), dedup.dedup_exact(t.works)):
         assert "CartesianProduct" not in plan(df) and "BroadcastNestedLoopJoin" not in plan(df)
+
+
+def test_first_per_key_keeps_every_row_without_a_key(spark):
+    rows = spark.createDataFrame([(1, None, 5), (2, None, 5), (3, "a", 5), (4, "a", 4), (2, None, 5)], "id int, k string, seq int")
+    assert sorted(r["id"] for r in windows.first_per_key(rows, ["k"], ["seq"]).collect()) == [1, 2, 2, 4]
+
+
+def test_lookups_do_not_multiply(spark):
+    manifest = spark.createDataFrame([(1, "10.1/A", "x", "text"), (2, None, "x", "text"), (3, None, "x", "text")], "id int, doi string, abstract_hash string, cached_abstract string")
+    a = spark.createDataFrame([("10.1/a", "article", "t", "n"), ("10.1/A", "retraction", "t", "m")], "doi string, type string, title string, abstract string")
+    b = spark.createDataFrame([("10.1/a", "article", "n"), ("10.1/a", "article", "o")], "doi string, type string, abstract string")
+    got = {r["id"]: r["verdict"] for r in joins.verify_works(manifest, a, b).collect()}
+    assert got == {1: "retracted", 2: "not_found", 3: "not_found"} and joins.verify_works(manifest, a, b).count() == 3
+
+
+def test_titles_of_every_script_stay_apart(spark):
+    titles = ["\u7cfb\u7edf\u8bc4\u4ef7", "\u0645\u0631\u0627\u062c\u0639\u0629", "\u0645\u0646\u0647\u062c\u064a\u0629", "???", "!!!"]
+    works = spark.createDataFrame([(i, i, "s", t, 2020, "Lee", None) for i, t in enumerate(titles)], "work_id long, seq long, source string, title string, year int, first_author string, doi string")
+    assert dedup.dedup_exact(works).count() == 5
+    assert dedup.dedup_fuzzy(works).count() == 5

@@ -1,12 +1,19 @@
 """A stream over a log split into files ends where its batch twin ends."""
 
+import os
+
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery.operators import jobs
+from gleanery.plans.catalogue import load
 from gleanery.plans.fixtures import Tables
 from gleanery.streaming import drive, processors
 
+from .oracle import compare, duck
+
 SMALL = "/root/testdata/sf0.001"
 
 
@@ -51,3 +58,30 @@ def test_late_rows_are_kept_apart(spark):
     rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:20:00")], "id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
     good, late = processors.split_late(rows, "2024-01-01 00:25:00", 600)
     assert [r["id"] for r in good.collect()] == [2] and [r["id"] for r in late.collect()] == [1]
+
+
+QUERIES, ORACLES = load()
+
+
+@pytest.fixture(scope="module")
+def three_files(tmp_path_factory):
+    """The small tables with the logs as three files each, in order of time."""
+    folder = tmp_path_factory.mktemp("three")
+    for name, order in (("events", "ts"), ("documents", "doc_id")):
+        rows = pq.read_table(f"{SMALL}/{name}.parquet")
+        rows = rows.take(pc.sort_indices(rows, [(order, "ascending")]))
+        os.mkdir(folder / f"{name}.parquet")
+        step = -(-len(rows) // 3)
+        for n in range(3):
+            path = folder / f"{name}.parquet" / f"{n}.parquet"
+            pq.write_table(rows.slice(n * step, step), path)
+            os.utime(path, (1_700_000_000 + n, 1_700_000_000 + n))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", sorted(n for n in QUERIES if n.startswith("stream_") and n in ORACLES))
+@pytest.mark.parametrize("batches", [1, 3])
+def test_stream_equals_its_sql_over_micro_batches(spark, three_files, monkeypatch, name, batches):
+    monkeypatch.setattr(drive, "FILES_PER_TRIGGER", 3 // batches)
+    verdict, rows = compare(spark, duck(SMALL), name, QUERIES[name], ORACLES[name], three_files)
+    assert verdict == "ok" and rows > 0
