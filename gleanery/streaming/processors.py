@@ -270,7 +270,7 @@ class FirstSeenProcessor(StatefulProcessor):
                 first = best if first is None or best["seq"].iloc[0] < first["seq"].iloc[0] else first
         if first is not None and not self.seen.exists():
             self.seen.update((int(first["seq"].iloc[0]),))
-            yield first.drop(columns="_key")
+            yield first
 
     def close(self) -> None:
         pass
