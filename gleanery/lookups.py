@@ -6,73 +6,68 @@ text and kept apart from the logic that reads it.
 
 from __future__ import annotations
 
+# --- Fixed values: title entities ------------------------------------------------
 
-def _lines(block: str) -> list[str]:
-    return [piece.strip() for line in block.strip().splitlines() for piece in line.split("|") if piece.strip()]
-
+GEO_ENTITIES = [
+    "malaysia", "singapore", "indonesia", "thailand", "philippines", "vietnam",
+    "china", "japan", "korea", "india", "pakistan", "bangladesh", "sri lanka",
+    "usa", "united states", "us", "uk", "united kingdom", "canada", "australia",
+    "germany", "france", "italy", "spain", "netherlands", "sweden", "norway",
+    "brazil", "mexico", "argentina", "colombia", "chile", "peru",
+    "egypt", "south africa", "nigeria", "kenya", "ethiopia", "ghana",
+    "saudi arabia", "uae", "qatar", "kuwait", "oman", "bahrain",
+    "turkey", "iran", "iraq", "israel", "jordan", "lebanon",
+    "russia", "ukraine", "poland", "czech", "hungary", "romania",
+    "taiwan", "hong kong", "macau",
+    "urban", "rural", "suburban", "metropolitan",
+    "asian", "african", "european", "american", "middle eastern",
+    "tropical", "temperate",
+]
 
-# --- Fixed values: title entities ------------------------------------------------
+METHOD_ENTITIES = [
+    "phase i", "phase 1", "phase ii", "phase 2", "phase iii", "phase 3",
+    "phase iv", "phase 4", "pilot", "feasibility",
+    "rct", "randomized controlled trial", "randomised controlled trial",
+    "cohort", "prospective", "retrospective", "cross sectional",
+    "case control", "longitudinal",
+    "meta analysis", "systematic review",
+    "network meta analysis", "umbrella review",
+    "case series", "case report", "case study",
+    "open label", "double blind",
+    "single blind", "sham controlled",
+    "treatment", "intervention", "therapy",
+    "placebo", "vehicle", "active comparator",
+]
 
-GEO_ENTITIES = _lines("""
-malaysia | singapore | indonesia | thailand | philippines | vietnam
-china | japan | korea | india | pakistan | bangladesh | sri lanka
-usa | united states | us | uk | united kingdom | canada | australia
-germany | france | italy | spain | netherlands | sweden | norway
-brazil | mexico | argentina | colombia | chile | peru
-egypt | south africa | nigeria | kenya | ethiopia | ghana
-saudi arabia | uae | qatar | kuwait | oman | bahrain
-turkey | iran | iraq | israel | jordan | lebanon
-russia | ukraine | poland | czech | hungary | romania
-taiwan | hong kong | macau
-urban | rural | suburban | metropolitan
-asian | african | european | american | middle eastern
-tropical | temperate
-""")
-
-METHOD_ENTITIES = _lines("""
-phase i | phase 1 | phase ii | phase 2 | phase iii | phase 3
-phase iv | phase 4 | pilot | feasibility
-rct | randomized controlled trial | randomised controlled trial
-cohort | prospective | retrospective | cross sectional
-case control | longitudinal
-meta analysis | systematic review
-network meta analysis | umbrella review
-case series | case report | case study
-open label | double blind
-single blind | sham controlled
-treatment | intervention | therapy
-placebo | vehicle | active comparator
-""")
-
-DIAGNOSTIC_ENTITIES = _lines("""
-glaucoma | cataract | cataracts | macular degeneration | amd
-diabetic retinopathy | retinal detachment | retinal vein occlusion
-keratoconus | dry eye | dry eye disease | blepharitis
-conjunctivitis | uveitis | iritis | episcleritis | scleritis
-strabismus | amblyopia | ptosis | chalazion | hordeolum
-corneal ulcer | corneal erosion | fuchs dystrophy
-keratitis | endophthalmitis | vitrectomy | retinopathy
-presbyopia | myopia | hyperopia | astigmatism
-optic neuritis | optic neuropathy | papilledema
-nystagmus | color vision deficiency | visual field defect
-diabetes | diabetes mellitus | type 1 diabetes | type 2 diabetes
-hypertension | hypotension | obesity | bmi
-alzheimer | alzheimer disease | parkinson | parkinson disease
-stroke | myocardial infarction | heart failure
-asthma | copd | pneumonia | bronchitis
-arthritis | rheumatoid arthritis | osteoarthritis
-depression | anxiety | bipolar | schizophrenia
-epilepsy | seizure | migraine | headache
-chronic pain | fibromyalgia | neuropathy
-anemia | leukemia | lymphoma | melanoma
-pregnancy | gestational | prenatal | postpartum
-pediatric | neonatal | geriatric | elderly
-laser | photocoagulation | cryotherapy | cryopexy
-intravitreal | subconjunctival | topical | systemic
-surgical | phacoemulsification | trabeculectomy
-implant | injection | drops | ointment
-photodynamic therapy | radiation therapy | chemotherapy
-""")
+DIAGNOSTIC_ENTITIES = [
+    "glaucoma", "cataract", "cataracts", "macular degeneration", "amd",
+    "diabetic retinopathy", "retinal detachment", "retinal vein occlusion",
+    "keratoconus", "dry eye", "dry eye disease", "blepharitis",
+    "conjunctivitis", "uveitis", "iritis", "episcleritis", "scleritis",
+    "strabismus", "amblyopia", "ptosis", "chalazion", "hordeolum",
+    "corneal ulcer", "corneal erosion", "fuchs dystrophy",
+    "keratitis", "endophthalmitis", "vitrectomy", "retinopathy",
+    "presbyopia", "myopia", "hyperopia", "astigmatism",
+    "optic neuritis", "optic neuropathy", "papilledema",
+    "nystagmus", "color vision deficiency", "visual field defect",
+    "diabetes", "diabetes mellitus", "type 1 diabetes", "type 2 diabetes",
+    "hypertension", "hypotension", "obesity", "bmi",
+    "alzheimer", "alzheimer disease", "parkinson", "parkinson disease",
+    "stroke", "myocardial infarction", "heart failure",
+    "asthma", "copd", "pneumonia", "bronchitis",
+    "arthritis", "rheumatoid arthritis", "osteoarthritis",
+    "depression", "anxiety", "bipolar", "schizophrenia",
+    "epilepsy", "seizure", "migraine", "headache",
+    "chronic pain", "fibromyalgia", "neuropathy",
+    "anemia", "leukemia", "lymphoma", "melanoma",
+    "pregnancy", "gestational", "prenatal", "postpartum",
+    "pediatric", "neonatal", "geriatric", "elderly",
+    "laser", "photocoagulation", "cryotherapy", "cryopexy",
+    "intravitreal", "subconjunctival", "topical", "systemic",
+    "surgical", "phacoemulsification", "trabeculectomy",
+    "implant", "injection", "drops", "ointment",
+    "photodynamic therapy", "radiation therapy", "chemotherapy",
+]
 
 PHASE_PATTERN = r"phase\s*(i{1,4}v?|1|2|3|4)"
 
@@ -166,16 +161,16 @@ GREY_TEXT_PATTERNS = [
     (r"training\s+(module|manual|handbook)", 4),
 ]
 
-INSTITUTIONS = _lines("""
-ministry of health | department of health | world health organization | who | nice
-national institute | centers for disease control | cdc | food and drug administration | fda
-american academy of ophthalmology | aao | royal australian | ranzco | college of optometrists
-optometric association | optical council | joint technical committee | british standards
-iso | ansi | institution of engineers | national health service | nhs
-tear film and ocular surface society | tfos | international dry eye workshop | dews
-ocular surface | asia-pacific academy of ophthalmology | apiaao
-european society of cataract and refractive surgeons | escrs
-""")
+INSTITUTIONS = [
+    "ministry of health", "department of health", "world health organization", "who", "nice",
+    "national institute", "centers for disease control", "cdc", "food and drug administration", "fda",
+    "american academy of ophthalmology", "aao", "royal australian", "ranzco", "college of optometrists",
+    "optometric association", "optical council", "joint technical committee", "british standards",
+    "iso", "ansi", "institution of engineers", "national health service", "nhs",
+    "tear film and ocular surface society", "tfos", "international dry eye workshop", "dews",
+    "ocular surface", "asia-pacific academy of ophthalmology", "apiaao",
+    "european society of cataract and refractive surgeons", "escrs",
+]
 
 TIER_LABELS = {
     1: "Systematic Review",
@@ -271,9 +266,26 @@ DESIGN_SCORES = {
 }
 
 GEO_SCORES = {
-    **dict.fromkeys("MY SG TH ID PH VN BN MM KH LA".split(), 1.0),
-    **dict.fromkeys("JP KR TW CN IN".split(), 0.7),
-    **dict.fromkeys("GB US AU NZ CA".split(), 0.4),
+    "MY": 1.0,
+    "SG": 1.0,
+    "TH": 1.0,
+    "ID": 1.0,
+    "PH": 1.0,
+    "VN": 1.0,
+    "BN": 1.0,
+    "MM": 1.0,
+    "KH": 1.0,
+    "LA": 1.0,
+    "JP": 0.7,
+    "KR": 0.7,
+    "TW": 0.7,
+    "CN": 0.7,
+    "IN": 0.7,
+    "GB": 0.4,
+    "US": 0.4,
+    "AU": 0.4,
+    "NZ": 0.4,
+    "CA": 0.4,
 }
 GEO_DEFAULT = 0.3
 
@@ -300,7 +312,10 @@ SOURCE_FACTS = {
 
 # --- Fixed values: geographic equity ---------------------------------------------
 
-EQUITY_REGIONS = "MY SG ID TH PH VN MM KH LA BN CN TW HK IN PK BD LK NP EG NG KE ZA BR MX CO AR".split()
+EQUITY_REGIONS = [
+    "MY", "SG", "ID", "TH", "PH", "VN", "MM", "KH", "LA", "BN", "CN", "TW", "HK",
+    "IN", "PK", "BD", "LK", "NP", "EG", "NG", "KE", "ZA", "BR", "MX", "CO", "AR",
+]
 REGIONAL_REGISTRIES = ["ChiCTR", "IRCT", "CTRI", "JPRN", "ReBEC", "ACTRN", "CTR"]
 EQUITY_DIVISORS = {"citation_impact": 0.3, "journal_quality": 0.2}
 EQUITY_BOOSTS = {"keyword_match": 1.3, "recency": 1.2, "open_access": 1.1}
@@ -356,20 +371,20 @@ INJECTION_PATTERN = (
     r"|you\s+are\s+now|override\s+instructions|new\s+instructions|system\s+prompt\s+override"
 )
 
-DOMAIN_KEYWORDS = _lines("""
-dry eye | dry eye disease | dry eye syndrome | keratoconjunctivitis sicca | meibomian gland | mgd
-tear film | nibut | tbut | osmolarity | artificial tears | cyclosporine ophthalmic | lifitegrast
-punctal plug | ocular surface | osdi | ded | des | sicca | sjogren | night driving
-visual performance | tear break-up | corneal staining
-""")
-DOMAIN_PHRASES = _lines("""
-dry eye disease | dry eye syndrome | dry eye | tear film instability | tear film break-up time | tear film
-visual function | functional visual acuity | night driving difficulty | night driving
-self-esteem | quality of life | vision-related quality of life | osmolarity | keratoconjunctivitis sicca
-meibomian gland dysfunction | meibomian gland | artificial tears | punctal plug | corneal staining
-ocular surface disease index | dry eye questionnaire | foreign body sensation | burning sensation
-visual fluctuation | glare sensitivity | tear meniscus height | non-invasive tear break-up time
-""")
+DOMAIN_KEYWORDS = [
+    "dry eye", "dry eye disease", "dry eye syndrome", "keratoconjunctivitis sicca", "meibomian gland", "mgd",
+    "tear film", "nibut", "tbut", "osmolarity", "artificial tears", "cyclosporine ophthalmic", "lifitegrast",
+    "punctal plug", "ocular surface", "osdi", "ded", "des", "sicca", "sjogren", "night driving",
+    "visual performance", "tear break-up", "corneal staining",
+]
+DOMAIN_PHRASES = [
+    "dry eye disease", "dry eye syndrome", "dry eye", "tear film instability", "tear film break-up time", "tear film",
+    "visual function", "functional visual acuity", "night driving difficulty", "night driving",
+    "self-esteem", "quality of life", "vision-related quality of life", "osmolarity", "keratoconjunctivitis sicca",
+    "meibomian gland dysfunction", "meibomian gland", "artificial tears", "punctal plug", "corneal staining",
+    "ocular surface disease index", "dry eye questionnaire", "foreign body sensation", "burning sensation",
+    "visual fluctuation", "glare sensitivity", "tear meniscus height", "non-invasive tear break-up time",
+]
 
 PROXIMITY_PATTERN = (
     r'(?i)\b(NEAR|NEXT|ONEAR|ADJ|SAME|AROUND)\s*/?\s*\d*|(\bW/\d+)|(\bPRE/\d+)|"\s*[^"]+"\s*~\s*\d+|:\s*~\s*\d+|~\d+'
@@ -382,11 +397,11 @@ MESH_PATTERN = r"(?i)(\[mesh(:noexp)?\]|\[majr\]|\[sh\]|\bexp\s+\S+/|\*\S+/)"
 
 # --- Fixed values: record schema -------------------------------------------------
 
-PUBLICATION_TYPES = _lines("""
-journal_article | review | systematic_review | meta_analysis | rct | cohort | case_control | cross_sectional
-case_report | conference_paper | thesis | book_chapter | book | technical_report | preprint | dataset
-editorial | letter | commentary | protocol | correction | retraction | expression_of_concern
-""")
+PUBLICATION_TYPES = [
+    "journal_article", "review", "systematic_review", "meta_analysis", "rct", "cohort", "case_control", "cross_sectional",
+    "case_report", "conference_paper", "thesis", "book_chapter", "book", "technical_report", "preprint", "dataset",
+    "editorial", "letter", "commentary", "protocol", "correction", "retraction", "expression_of_concern",
+]
 YEAR_RANGE = (1900, 2100)
 
 # --- Fixed values: correction ledger ---------------------------------------------
