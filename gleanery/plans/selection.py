@@ -33,7 +33,9 @@ def _(t):
 
 @query(
     "superset_filter",
-    f"SELECT work_id, {sql_spec(SPEC)} AS exact FROM works WHERE {sql_spec(filters.superset_filter(SPEC))}",
+    """SELECT work_id, contains(h, 'the') AND (contains(h, 'and') OR contains(h, 'for')) AND NOT contains(h, 'zebra') AS exact
+FROM (SELECT work_id, lower(concat_ws(' ', coalesce(title, ''), coalesce(abstract, ''))) AS h FROM works)
+WHERE contains(h, 'the') OR contains(h, 'and') OR contains(h, 'for') OR NOT contains(h, 'zebra')""",
 )
 def _(t):
     wide = filters.boolean_filter(t.works, filters.superset_filter(SPEC))
@@ -241,7 +243,13 @@ def _(t):
     return t.chat.select("conv_id", "turn", text.detect_features(F.col("text")).alias("f")).select("conv_id", "turn", "f.has_star", "f.has_qmark", "f.has_dollar_hash", "f.has_or")
 
 
-@query("detect_features_all")
+@query(
+    "detect_features_all",
+    f"""SELECT conv_id, turn, contains(text, '*') AS has_star, contains(text, '?') AS has_qmark, contains(text, '$') OR contains(text, '#') AS has_dollar_hash,
+  regexp_matches(text, {lit(L.PROXIMITY_PATTERN)}) AS has_proximity, regexp_matches(text, {lit(L.FIELD_PATTERN)}) AS has_field, regexp_matches(text, {lit(L.MESH_PATTERN)}) AS has_mesh,
+  regexp_matches(concat(' ', upper(text), ' '), '\\bOR\\b') AS has_or, regexp_matches(concat(' ', upper(text), ' '), '\\bNOT\\b') OR regexp_matches(text, '(^|\\s)-["\\w]') AS has_not,
+  contains(text, '*') AND regexp_matches(lower(text), '\\[ *(ti|tiab|ad) *:~\\d+ *\\]') AS proximity_truncation_conflict FROM chat""",
+)
 def _(t):
     return t.chat.select("conv_id", "turn", text.detect_features(F.col("text")).alias("f")).select("conv_id", "turn", "f.*")
 
@@ -673,9 +681,10 @@ def _(t):
 _FROZEN = scores.freeze_weights(L.MODE_WEIGHTS["evidence"], ["crossref", "pubmed"])
 
 
+# two sources take relevance, keywords, citations and journal out; peer review 0.15 and recency 0.05 are left of 0.5
 @query(
     "freeze_weights",
-    f"""SELECT work_id, round(floor(((CASE WHEN type IS NOT NULL THEN 1.0 ELSE 0.0 END)::DOUBLE * {_FROZEN['peer_review']!r}::DOUBLE + {_RECENCY} * {_FROZEN['recency']!r}::DOUBLE) * 1000 + 0.5) / 1000.0, 3) AS score FROM works""",
+    f"""SELECT work_id, round(floor(((CASE WHEN type IS NOT NULL THEN 1.0 ELSE 0.0 END)::DOUBLE * 0.3::DOUBLE + {_RECENCY} * 0.1::DOUBLE) * 1000 + 0.5) / 1000.0, 3) AS score FROM works""",
 )
 def _(t):
     """Composite under weights frozen while two sources are degraded."""
