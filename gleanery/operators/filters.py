@@ -134,49 +134,72 @@ def drop_incomplete(df: DataFrame, title: str = "title", year: str = "year") ->
     return marked.filter("reject_reason IS NULL").drop("reject_reason"), marked.filter("reject_reason IS NOT NULL")
 
 
-def predatory_match(
-    entries: list[tuple[str, str, float]],
-    doi: Column,
-    publisher: Column,
-    issn: Column,
-    threshold: float = L.PREDATORY_CONFIDENCE,
-) -> Column:
-    """Struct (field, pattern, confidence) of the first hit: host, publisher, ISSN; else null.
+_KIND_ORDER = {"host": 0, "publisher": 1, "issn": 2}
+
+
+def _ranked(entries, threshold: float) -> list[tuple[int, int, str, str, float]]:
+    """(kind order, ordinal, kind, pattern, confidence) of the entries that count, strongest first."""
+    return sorted((_KIND_ORDER[k], n, k, p, float(c)) for n, (k, p, c) in enumerate(entries) if c >= threshold)
 
-    The list is small by nature and checked, so it becomes part of the expression
-    and the test stays a narrow, codegen'd projection.
-    """
-    if len(entries) > 5000:
-        raise ValueError("list too long for an expression; join it on the exact host instead")
-    host = text.host_of(doi)
-    low = F.lower(F.coalesce(publisher, F.lit("")))
-    plain_issn = F.lower(F.regexp_replace(F.coalesce(issn, F.lit("")), "-", ""))
 
-    def hit(kind: str, pattern: str) -> Column:
+def _plain_issn(issn: Column) -> Column:
+    return F.lower(F.regexp_replace(F.coalesce(issn, F.lit("")), "-", ""))
+
+
+def _hit(ranked, doi: Column, publisher: Column, issn: Column) -> Column:
+    """Struct (order, ordinal, field, pattern, confidence) of the first entry that matches, else null."""
+    host, low, plain = text.host_of(doi), F.lower(F.coalesce(publisher, F.lit(""))), _plain_issn(issn)
+
+    def test(kind: str, pattern: str) -> Column:
         if kind == "publisher":
             return low.contains(pattern)
         if kind == "issn":
-            return plain_issn == pattern.replace("-", "").lower()
-        if "*" in pattern:
-            return host.rlike("(?i)^" + pattern.replace("*", ".*") + "$")
-        return host == pattern
+            return plain == pattern.replace("-", "").lower()
+        return host.rlike("(?i)^" + pattern.replace("*", ".*") + "$") if "*" in pattern else host == pattern
+
+    out = F.lit(None).cast("struct<o:int,n:int,field:string,pattern:string,confidence:double>")
+    for o, n, kind, pattern, confidence in reversed(ranked):
+        found = F.struct(F.lit(o).alias("o"), F.lit(n).alias("n"), F.lit(kind).alias("field"), F.lit(pattern).alias("pattern"), F.lit(confidence).alias("confidence"))
+        out = F.when(test(kind, pattern), found).otherwise(out)
+    return out
 
-    order = {"host": 0, "publisher": 1, "issn": 2}
-    out = None
-    for kind, pattern, confidence in sorted(entries, key=lambda e: order[e[0]]):
-        if confidence < threshold:
-            continue
-        found = F.struct(F.lit(kind).alias("field"), F.lit(pattern).alias("pattern"), F.lit(float(confidence)).alias("confidence"))
-        out = F.when(hit(kind, pattern), found) if out is None else out.when(hit(kind, pattern), found)
-    return out if out is not None else F.lit(None).cast("struct<field:string,pattern:string,confidence:double>")
+
+def predatory_match(entries, doi: Column, publisher: Column, issn: Column, threshold: float = L.PREDATORY_CONFIDENCE) -> Column:
+    """Struct (field, pattern, confidence) of the first hit: host, publisher, ISSN; else null.
+
+    One branch per entry; `quarantine` takes lists of any length.
+    """
+    hit = _hit(_ranked(entries, threshold), doi, publisher, issn)
+    return F.when(hit.isNotNull(), F.struct(hit["field"].alias("field"), hit["pattern"].alias("pattern"), hit["confidence"].alias("confidence")))
+
+
+def _looked_up(df: DataFrame, value: Column, exact, name: str) -> DataFrame:
+    """df with the entry whose key equals `value` as struct `name`; rows without a value get a key of their own."""
+    shape = "key string, o int, n int, field string, pattern string, confidence double"
+    table = df.sparkSession.createDataFrame([(key, *e) for key, e in exact], shape).select(F.col("key").alias("_key"), F.struct("o", "n", "field", "pattern", "confidence").alias(name))
+    own = F.concat(F.lit("none:"), F.monotonically_increasing_id().cast("string"))
+    keyed = df.withColumn("_key", F.coalesce(F.nullif(value, F.lit("")), own))
+    return keyed.join(table.groupBy("_key").agg(F.min(name).alias(name)), "_key", "left").drop("_key")
 
 
 def quarantine(
-    df: DataFrame, entries: list[tuple[str, str, float]], doi: str = "doi", publisher: str = "publisher", issn: str = "issn"
+    df: DataFrame, entries: list[tuple[str, str, float]], doi: str = "doi", publisher: str = "publisher", issn: str = "issn",
+    threshold: float = L.PREDATORY_CONFIDENCE,
 ) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, log of the rows held back)."""
+    """(clean rows, log of the rows held back).
+
+    Exact hosts and ISSNs of the list are met by equi-join, so it may be long; only host
+    wildcards and publisher texts, which need a test per entry, are part of the expression.
+    """
     issn_col = F.col(issn) if issn in df.columns else F.lit(None).cast("string")
-    marked = df.withColumn("predatory", predatory_match(entries, F.col(doi), F.col(publisher), issn_col))
+    ranked = _ranked(entries, threshold)
+    hosts = [(e[3], e) for e in ranked if e[2] == "host" and "*" not in e[3]]
+    issns = [(e[3].replace("-", "").lower(), e) for e in ranked if e[2] == "issn"]
+    loose = [e for e in ranked if e[2] == "publisher" or (e[2] == "host" and "*" in e[3])]
+    marked = _looked_up(df, text.host_of(F.col(doi)), hosts, "_host") if hosts else df.withColumn("_host", _hit([], F.lit(None), F.lit(None), F.lit(None)))
+    marked = _looked_up(marked, _plain_issn(issn_col), issns, "_issn") if issns and issn in df.columns else marked.withColumn("_issn", _hit([], F.lit(None), F.lit(None), F.lit(None)))
+    first = F.array_min(F.array_compact(F.array("_host", "_issn", _hit(loose, F.col(doi), F.col(publisher), issn_col))))
+    marked = marked.withColumn("predatory", first).drop("_host", "_issn")
     log = marked.filter("predatory IS NOT NULL").select(
         F.substring(F.coalesce("title", F.lit("")), 1, 80).alias("title"),
         F.col(doi).alias("doi"),

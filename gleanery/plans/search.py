@@ -17,7 +17,7 @@ SPEC = filters.all_of("the", filters.any_of("and", "for"))
 
 
 def search(works: DataFrame, spec=SPEC, mode: str = "systematic_review", k: int = 20, entries=L.PREDATORY_SAMPLE) -> DataFrame:
-    """k best works that match `spec`, one per study, with tier and composite score.
+    """k best works that match `spec`, one per DOI and per title, year and surname, with tier and composite score.
 
     The cheap narrow tests come first, so each later step sees fewer rows. The only
     full shuffles are the two dedup keys; the top k needs no global sort.

@@ -199,3 +199,16 @@ def test_titles_of_every_script_stay_apart(spark):
     works = spark.createDataFrame([(i, i, "s", t, 2020, "Lee", None) for i, t in enumerate(titles)], "work_id long, seq long, source string, title string, year int, first_author string, doi string")
     assert dedup.dedup_exact(works).count() == 5
     assert dedup.dedup_fuzzy(works).count() == 5
+
+
+def test_quarantine_takes_a_list_of_any_length(spark):
+    rows = spark.createDataFrame(
+        [(1, "t", "10.9/x", "Fine House", "1111-2222", "s"), (2, "t", "10.5/x", "Fine House", None, "s"), (3, "t", None, "Bad Press Ltd", None, "s"), (4, "t", None, None, None, "s"),
+         (5, "t", "10.5/x", "Bad Press", "11112222", "s")],
+        "id int, title string, doi string, publisher string, issn string, source string",
+    )
+    entries = [("publisher", "bad press", 0.9), ("issn", "1111-2222", 0.9), ("host", "10.5", 0.9), ("host", "10.5", 0.95)] + [("host", f"h{i}.org", 0.9) for i in range(7000)]
+    clean, log = filters.quarantine(rows, entries)
+    assert [r["id"] for r in clean.collect()] == [4]
+    assert sorted((r["matched_field"], r["doi"]) for r in log.collect() if r["doi"]) == [("host", "10.5/x"), ("host", "10.5/x"), ("issn", "10.9/x")]
+    assert log.filter("confidence = 0.95").count() == 0
