@@ -62,7 +62,7 @@ class RollingHash:
     def load(self, data: np.ndarray) -> None:
         n = len(data) + 1
         if n > len(self.powers):
-            size = max(n, 2 * BLOCK)
+            size = max(n, min(2 * n, BLOCK))
             for name, base in (("powers", self.BASE), ("inverse", pow(self.BASE, -1, 2**64))):
                 row = np.full(size, base, np.uint64)
                 row[0] = 1
