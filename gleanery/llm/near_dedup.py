@@ -7,15 +7,16 @@
    pigeonhole, up to ERRORS values in some chunk. Every chunk is indexed once for each choice of
    ERRORS values left out, so every pair within distance d shares a key. Pairs further
    apart may share one too; nothing is lost by that, as links are confirmed.
-3. A key's members are not paired with each other. They are all paired with one of them; the
-   pairs are confirmed on the full sets, and linked members become one component. Only keys
-   that still hold several components go on: there, pairs across components are tried, in
-   large keys nearest signatures first and more in every round, until no key has an untried
-   pair within the distance. So components equal those of all links found by the index, and a group of n
-   near copies costs about n confirmations.
+3. A key's members are not paired with each other. They are all paired with one of them,
+   drawn by a hash; pairs are confirmed on the full sets, and linked members become one
+   component. Only keys that still hold several components go on: there, every pair across
+   components that is close enough is tried, each at the first key it shares. So the
+   components equal those of all links between pairs that the index brings together, and a
+   group of n near copies costs a few n confirmations beside those between its components.
 
-With 65 values a pair of similarity 0.8 differs in 13 on average; more than 25 has a
-probability of about 1 in 10,000, and less above 0.8.
+Of 65 indexed values a pair of similarity 0.8 differs in 13 on average; more than 25 has a
+probability of about 1 in 10,000. Before a pair is confirmed, 256 values in all may differ in 79:
+51 on average at 0.8, more than 79 with about 1 in 100,000. Both fall quickly above 0.8.
 
 Defined results: words are split at ASCII white space after lower-casing A-Z; a text
 with fewer words than a shingle is one shingle; a null or blank text has an empty set and
@@ -27,6 +28,7 @@ result; other columns are not looked at. Shingles are compared by 64-bit hashes.
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +40,13 @@ from .common import stored
 
 SHINGLE, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS, SEED = 13, 5, 1, 20240
-DISTANCE = CHUNKS * (ERRORS + 1) - 1
+INDEXED, DISTANCE = CHUNKS * WIDTH, CHUNKS * (ERRORS + 1) - 1
+#: Values in all, the further ones of 8 bits, and how many may differ before a pair is confirmed.
+WHOLE, WHOLE_DISTANCE = 256, 79
 #: Bytes of text hashed at a time in a task.
 BLOCK = 1_000_000
+#: Orders of chance in which a key's first partner is drawn; each member of a group meets about as many.
+CENTRES = 4
 #: Keys with this many members at most have the pairs across their components tried at once;
 #: in larger ones the nearest are tried first. A matter of speed: both try all that is left.
 SMALL = 64
@@ -125,17 +131,18 @@ def _blocks(texts: list[str | None]):
         yield at, len(texts)
 
 
-def signature(own: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:
-    """MinHash values of a set, 16 bits of each."""
+def signature(own: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> bytes:
+    """MinHash values of a set: 16 bits of the indexed ones, 8 bits of the others."""
     short = (own >> np.uint64(32)).astype(np.uint32)
     out = np.empty(len(factors), np.uint32)
-    step = max(1, 1 << 22 >> max(1, len(short).bit_length()))
+    step = max(1, (1 << 16) // max(1, len(short)))
     for at in range(0, len(factors), step):
         out[at : at + step] = (short[None, :] * factors[at : at + step, None] + shifts[at : at + step, None]).min(axis=1)
-    return (out * np.uint32(2654435769) >> np.uint32(16)).astype("<u2")
+    out *= np.uint32(2654435769)
+    return (out[:INDEXED] >> np.uint32(16)).astype("<u2").tobytes() + (out[INDEXED:] >> np.uint32(24)).astype(np.uint8).tobytes()
 
 
-def _functions(n: int = CHUNKS * WIDTH, seed: int = SEED):
+def _functions(n: int = WHOLE, seed: int = SEED):
     rng = np.random.default_rng(seed + 1)
     return rng.integers(1, 2**32, n, np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, np.uint32)
 
@@ -152,7 +159,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(keys[a:b], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
                      pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                     pa.array([signature(s, factors, shifts).tobytes() if len(s) else None for s in sets], pa.binary())],
+                     pa.array([signature(s, factors, shifts) if len(s) else None for s in sets], pa.binary())],
                     names=["doc_id", "n_shingles", "same", "signature"],
                 )
 
@@ -177,16 +184,14 @@ def full_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
 
 
 def index_keys(signed: DataFrame) -> DataFrame:
-    """(key, doc_id): for each chunk, one key per choice of ERRORS values left out of it."""
-    from itertools import combinations
-
+    """(index, key, doc_id): for each chunk, one key per choice of ERRORS values left out of it."""
     piece = lambda i: F.substring("signature", 2 * i + 1, 2)
     keys = []
     for c in range(CHUNKS):
         for out in combinations(range(WIDTH), ERRORS):
             kept = [piece(c * WIDTH + i) for i in range(WIDTH) if i not in out]
             keys.append(F.xxhash64(F.lit(c), F.lit(",".join(map(str, out))), F.concat(*kept)))
-    return signed.select(F.explode(F.array(*keys)).alias("key"), "doc_id")
+    return signed.select(F.posexplode(F.array(*keys)).alias("index", "key"), "doc_id")
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -209,16 +214,22 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     return decided.groupBy("u", "v").agg(F.max("linked").alias("linked"))  # an id may have several texts
 
 
+def _unpacked(signatures: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexed values and further values of signatures, one row each."""
+    rows = np.frombuffer(b"".join(signatures), np.uint8).reshape(len(signatures), -1)
+    return np.ascontiguousarray(rows[:, : 2 * INDEXED]).view("<u2"), rows[:, 2 * INDEXED :]
+
+
 def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
-    """Pairs whose signatures are within DISTANCE and whose set sizes allow a link."""
+    """Pairs whose signatures are close enough and whose set sizes allow a link."""
     column = lambda n: signed.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("signature").alias(f"s_{n}"))
 
     def measure(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = pa.array((a != b).sum(axis=1) <= DISTANCE)
+            (a, x), (b, y) = (_unpacked(batch.column(i).to_pylist()) for i in (2, 3))
+            keep = pa.array(((a != b).sum(axis=1) <= DISTANCE) & ((a != b).sum(axis=1) + (x != y).sum(axis=1) <= WHOLE_DISTANCE))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["u", "v"])
 
     sized = pairs.join(column("u"), "u").join(column("v"), "v").filter(
@@ -227,36 +238,45 @@ def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return sized.select("u", "v", "s_u", "s_v").mapInArrow(measure, "u BIGINT, v BIGINT").distinct()
 
 
-def _across(members: DataFrame, most: int) -> DataFrame:
-    """(u, v, more) across components of a key: each member with its `most` nearest of every other component.
+def _across(members: DataFrame) -> DataFrame:
+    """(u, v): close pairs across the components of a key, each at the first key that the two share.
 
-    `more` tells that a member had further ones. A large key is dealt to several tasks,
-    each of which compares its share of the members with all of them.
+    A large key is dealt to several tasks, each of which compares its share of the members
+    outside the largest component with all members.
     """
     sizes = members.groupBy("key").agg((F.count("*") / SPLIT).cast("int").alias("last"))
     dealt = members.join(sizes, "key").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    outs = list(combinations(range(WIDTH), ERRORS))
+    rest = [[i for i in range(WIDTH) if i not in out] for out in outs]
 
     def pair(pdf):
         import pandas as pd
 
         share, parts = pdf["share"].iloc[0], pdf["last"].iloc[0] + 1
-        ids, labels = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy()
-        sigs = np.frombuffer(b"".join(pdf["signature"]), "<u2").reshape(len(pdf), -1)
-        names, own = np.unique(labels, return_inverse=True)
+        chunk, out = divmod(int(pdf["index"].iloc[0]), len(outs))
+        ids, labels, sizes = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy(), pdf["n_shingles"].to_numpy()
+        indexed, further = _unpacked(pdf["signature"].tolist())
+        _, own = np.unique(labels, return_inverse=True)
         largest = np.bincount(own).argmax()
-        us, vs, more = [], [], []
+        us, vs = [], []
         for i in np.flatnonzero((own != largest) & (ids % parts == share)):
-            far = (sigs != sigs[i]).sum(axis=1)
-            near = np.flatnonzero((far <= DISTANCE) & (own != own[i]))
-            near = near[np.lexsort((ids[near], far[near], own[near]))]
-            rank = np.arange(len(near)) - np.searchsorted(own[near], own[near])
-            us += [ids[i]] * int((rank < most).sum())
-            vs += ids[near[rank < most]].tolist()
-            more += [bool((rank >= most).any())] * int((rank < most).sum())
-        u, v = np.minimum(us, vs), np.maximum(us, vs)
-        return pd.DataFrame({"u": np.array(u, np.int64), "v": np.array(v, np.int64), "more": np.array(more, bool)})
-
-    return dealt.groupBy("key", "share").applyInPandas(pair, "u BIGINT, v BIGINT, more BOOLEAN")
+            fits = 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
+            at = np.flatnonzero((own != own[i]) & ((own == largest) | (ids > ids[i])) & fits)
+            off = indexed[at] != indexed[i]
+            far = off.sum(axis=1)
+            near = (far <= DISTANCE) & (far + (further[at] != further[i]).sum(axis=1) <= WHOLE_DISTANCE)
+            at, off = at[near], off[near].reshape(-1, CHUNKS, WIDTH)
+            met = off.sum(axis=2) <= ERRORS
+            first = met.argmax(axis=1) == chunk
+            at, off = at[first], off[first][:, chunk]
+            shares = np.stack([~off[:, kept].any(axis=1) for kept in rest], axis=1)
+            at = at[shares.argmax(axis=1) == out]
+            us += [ids[i]] * len(at)
+            vs += ids[at].tolist()
+        us, vs = np.array(us, np.int64), np.array(vs, np.int64)
+        return pd.DataFrame({"u": np.minimum(us, vs), "v": np.maximum(us, vs)})
+
+    return dealt.groupBy("key", "share").applyInPandas(pair, "u BIGINT, v BIGINT")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -271,9 +291,11 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     classes = stored(classes, "near-classes")
     leaders = classes.select(F.col("class_id").alias("doc_id"), "n_shingles", "signature")
     keys = index_keys(classes.withColumnRenamed("class_id", "doc_id"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).filter("centre <> other")
+    # a member by chance, not always the least, so that a large group is tried against several
+    chance = F.xxhash64("doc_id", F.pmod("key", F.lit(CENTRES)))
+    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min_by("doc_id", chance).alias("centre")).filter("a <> b")
     members = stored(keys.join(shared.select("key", "centre"), "key"), "near-members")
-    pairs = members.filter("doc_id <> centre").select(F.col("centre").alias("u"), F.col("doc_id").alias("v")).distinct()
+    pairs = members.filter("doc_id <> centre").select(F.least("centre", "doc_id").alias("u"), F.greatest("centre", "doc_id").alias("v")).distinct()
     pairs = stored(_near(pairs, leaders), "near-pairs")
     wanted = members.select("doc_id").distinct()
     sets = stored(full_sets(docs.join(wanted, docs[key].cast("long") == wanted["doc_id"], "left_semi"), key, text, shingle), "near-sets")
@@ -288,38 +310,20 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))
         return stored(connected_components(links), "near-labels")
 
-    def split_keys(labels: DataFrame) -> DataFrame:
-        """Members, with their component, of the keys that hold several components."""
-        named = members.join(labels, members["doc_id"] == labels["node"], "left").select(
-            "key", "doc_id", F.coalesce("component", "doc_id").alias("label")
-        )
-        several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2")
-        return named.join(several.select("key", "n"), "key")  # a key of two members has been tried already
-
-    def try_pairs(pairs: DataFrame, tried: DataFrame) -> tuple[DataFrame, bool]:
-        """Confirm the pairs not tried yet; (all tried pairs, whether new links came)."""
-        fresh = stored(_near(pairs.distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"), leaders), "near-fresh")
-        if fresh.isEmpty():
-            return tried, False
-        decided = stored(confirm(fresh, sets), "near-tried")
-        return tried.unionByName(decided), not decided.filter("linked").isEmpty()
-
     labels = labelled(tried)
-    small = split_keys(labels).filter(F.col("n") <= SMALL)
-    one, two = (small.select("key", F.col("doc_id").alias(n), F.col("label").alias(f"label_{n}")) for n in "uv")
-    tried, linked = try_pairs(one.join(two, "key").filter("u < v AND label_u <> label_v").select("u", "v"), tried)
-    most = 8
-    while True:
-        labels = labelled(tried) if linked else labels
-        large = split_keys(labels).filter(F.col("n") > SMALL).drop("n")
-        if large.isEmpty():
-            break
-        across = stored(_across(large.join(leaders.select("doc_id", "signature"), "doc_id"), most), "near-across")
-        tried, linked = try_pairs(across.select("u", "v"), tried)
-        if not linked:
-            if across.filter("more").isEmpty():
-                break
-            most *= 8
+    named = members.join(labels, members["doc_id"] == labels["node"], "left").select(
+        "key", "index", "doc_id", F.coalesce("component", "doc_id").alias("label")
+    )
+    several = named.groupBy("key").agg(F.min("label").alias("a"), F.max("label").alias("b"), F.count("*").alias("n")).filter("a <> b AND n > 2")
+    open_ = stored(named.join(several.select("key", "n"), "key"), "near-open")  # a key of two members has been tried already
+    one, two = (open_.filter(F.col("n") <= SMALL).select("key", F.col("doc_id").alias(n), F.col("label").alias(f"label_{n}")) for n in "uv")
+    few = _near(one.join(two, "key").filter("u < v AND label_u <> label_v").select("u", "v").distinct(), leaders)
+    many = _across(open_.filter(F.col("n") > SMALL).join(leaders, "doc_id"))
+    fresh = stored(few.unionByName(many).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"), "near-fresh")
+    if not fresh.isEmpty():
+        decided = stored(confirm(fresh, sets), "near-tried")
+        if not decided.filter("linked").isEmpty():
+            labels = labelled(tried.unionByName(decided))
     ends = signed.join(classes.select("same", "class_id"), "same", "left").join(labels, F.col("class_id") == F.col("node"), "left")
     return ends.select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"),
