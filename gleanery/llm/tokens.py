@@ -34,6 +34,22 @@ class PieceIds(dict):
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit into 16 bits")
         self.words: dict[str, bytes] = {"": b""}
+        ends = np.zeros(65536, bool)
+        ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.ends = ends
+
+    def _ask(self, fresh: list[str]) -> None:
+        """Encode words of one run each, many to a call; an id that ends a word tells where to cut."""
+        groups = [fresh[i : i + 25] for i in range(0, len(fresh), 25)]
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, "<u2")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 2
+            if len(cuts) != len(group):
+                raise ValueError("the tokenizer does not end every word once")
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(group, cuts.tolist()):
+                self.words[word] = raw[at:cut]
+                at = cut
 
     def learn(self, pieces: set[str]) -> None:
         """Fill in the pieces not known yet."""
@@ -41,16 +57,19 @@ class PieceIds(dict):
             self.clear()
         if len(self.words) > KEPT_WORDS:
             self.words = {"": b""}
-        words, parts = self.words, []
+        words, parts, others = self.words, [], []
         for p in pieces:
             if p not in self:
                 m = _PLAIN.fullmatch(p)
-                parts.append((p, m[1].lower(), m[2]) if m else (p, p, ""))
-        fresh = list({w for _, a, b in parts for w in (a, b) if w not in words})
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)):
-            words[w] = array("H", e.ids).tobytes()
+                if m:
+                    parts.append((p, m[1].lower(), m[2]))
+                else:
+                    others.append(p)
+        self._ask(list({w for _, a, b in parts for w in (a, b) if w not in words}))
         for p, a, b in parts:
             self[p] = words[a] + words[b] if b else words[a]
+        for p, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self[p] = array("H", e.ids).tobytes()
 
 
 def piece_ids(path: str) -> PieceIds:
