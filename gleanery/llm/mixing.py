@@ -115,13 +115,27 @@ def _position(start: Column, target: Column, schedule: Column) -> Column:
     return _time_of(share, schedule["first"], schedule["last"])
 
 
-def curriculum(mixed: DataFrame) -> DataFrame:
-    """One row per taken copy, range-sorted by training time: (position, doc_id, source, copy, size)."""
+def curriculum(mixed: DataFrame, *also: str) -> DataFrame:
+    """One row per taken copy, range-sorted by training time: (position, doc_id, source, copy, size) and the columns `also`."""
     copies = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)))
     start = F.col("starts_at") + F.col("copy") * F.col("source_size")
     return (
         copies.withColumn("position", _position(start, F.col("target"), F.col("schedule")))
-        .select("position", "doc_id", "source", "copy", "size")
+        .select("position", "doc_id", "source", "copy", "size", *also)
         .repartitionByRange("position", "doc_id", "copy")
         .sortWithinPartitions("position", "doc_id", "copy")
     )
+
+
+def mixed_by_curriculum(mixed: DataFrame) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken, position) of every row of a mix, the last three from its curriculum.
+
+    The range-sorted copies are stored with their times; a row that has no copy is taken 0 times and has no position.
+    """
+    rows = stored(mixed.drop("taken", "position").withColumn("_row", F.monotonically_increasing_id()), "mix-counted")
+    order = stored(curriculum(rows, "_row"), "mix-curriculum")
+    taken = order.groupBy("_row").agg(F.count("*").alias("copies"), F.sum("size").alias("taken"), F.min("position").alias("position"))
+    return rows.drop("copies").join(taken, "_row", "left").select(
+        "doc_id", "source", "size", "source_size", "target",
+        F.coalesce("copies", F.lit(0)).alias("copies"), F.coalesce("taken", F.lit(0)).alias("taken"), "position",
+    )

@@ -77,7 +77,7 @@ FROM taken
 
 @query("op2_mix_sources", SQL_MIX)
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, folder, "documents"))
+    mixed = mixing.mixed_by_curriculum(mixing.mix(table(spark, folder, "documents")))
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 

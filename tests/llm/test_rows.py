@@ -6,6 +6,7 @@ import re
 import pytest
 
 from gleanery.llm import chat, exact, mixing, quality
+from gleanery.llm.queries import QUERIES
 from gleanery.session import ensure_checkpoint_dir
 
 from .cases import awkward, prose, table
@@ -126,6 +127,24 @@ def test_curriculum_follows_the_schedule(spark):
     assert abs(early[0] - 0.5) < 0.03 and early[1] > 0.7  # the integral of 2 - 1.9 t over the first half is 0.73 of the whole
 
 
+def test_mix_query_stores_its_curriculum(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(mixing, "stored", lambda df, label, store=mixing.stored: kept.setdefault(label, store(df, label)))
+    got = QUERIES["op2_mix_sources"](spark, "/root/testdata/sf0.001").collect()
+    order = kept["mix-curriculum"].collect()
+    assert order and all(0 <= r["position"] <= 1 for r in order)
+    assert sum(r["size"] for r in order) == sum(g["taken"] for g in got)
+
+
+def test_mix_by_curriculum_keeps_every_row(spark):
+    rows = [(i % 90, prose(20 + 37 * i % 90, i), ("a", "b", "c", None)[i * i % 4]) for i in range(150)]
+    rows += [(900, None, "e"), (900, None, "e"), (901, "", "a"), (901, "", "a"), (None, "x y", "b"), (None, "x y", "b")]
+    mixed = mixing.mix(table(spark, rows)).cache()
+    names = ["doc_id", "source", "size", "source_size", "target", "copies", "taken", "position"]
+    text = lambda found: sorted(map(repr, map(tuple, found)))
+    assert text(mixing.mixed_by_curriculum(mixed).select(names).collect()) == text(mixed.select(names).collect())
+
+
 def test_mix_empty_table(spark):
     assert mixing.mix(table(spark, [])).count() == 0
 
