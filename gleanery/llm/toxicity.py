@@ -8,8 +8,10 @@
    meant, and nothing for what only separates; Viterbi decoding under the language
    model and the channel's costs gives the word. Other pieces stand for themselves.
 3. Restored texts are scored by a logistic model over word beginnings. Beginnings are
-   chosen by how much more often toxic rows have them; the model is fitted on at most
-   `TRAIN_ROWS` labelled rows.
+   counted, and chosen by how much more often toxic rows have them, over all labelled rows.
+   For the fit, rows with equal features and label are one row with a weight; if these
+   are more than `TRAIN_ROWS`, rows are drawn by the rarest feature they have, so that rare
+   features are fitted too, and each weighs as much more as it was less likely to be drawn.
 
 Defined results: null and empty texts have no word, so they get the model's base score;
 labels without a text and rows with a null label teach nothing; repeated label rows count
@@ -23,13 +25,14 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
-#: Bound on the labelled rows that the classifier is fitted on, and on its features.
+#: Bound on the (weighted) rows that the classifier is fitted on, on average over draws, and on its features.
 TRAIN_ROWS, FEATURES = 30_000, 4_000
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
@@ -186,18 +189,25 @@ class Finder:
         return sorted(found)
 
 
-def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, steps: int = 400, shrink: float = 1.0) -> tuple[np.ndarray, float]:
-    """Weights and intercept of a ridge logistic model on present features, by accelerated gradient steps."""
+def fit_logistic(
+    rows: list[list[int]], labels: np.ndarray, n: int, steps: int = 400, shrink: float = 1.0, stands_for: np.ndarray | None = None
+) -> tuple[np.ndarray, float]:
+    """Weights and intercept of a ridge logistic model on present features, by accelerated gradient steps.
+
+    `stands_for`: of how many labelled rows each row is the image; one by default.
+    """
+    stands_for = np.ones(len(labels)) if stands_for is None else stands_for
+    toxic, every = (stands_for * labels).sum(), stands_for.sum()
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     column = np.array([i for r in rows for i in r], np.int64)
-    weights, bias = np.zeros(n), math.log((labels.sum() + 1) / (len(labels) - labels.sum() + 1))
+    weights, bias = np.zeros(n), math.log((toxic + 1) / (every - toxic + 1))
     most = max((len(r) for r in rows), default=0) + 1
     rate = 4.0 / most
     look, look_bias, before, before_bias = weights.copy(), bias, weights, bias
-    scale = len(labels) / 100.0
+    scale = every / 100.0
     for step in range(steps):
         score = np.bincount(at, look[column], len(rows)) + look_bias
-        miss = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels
+        miss = (1 / (1 + np.exp(-np.clip(score, -30, 30))) - labels) * stands_for
         weights = look - rate * (np.bincount(column, miss[at], n) + shrink * look) / scale
         bias = look_bias - rate * miss.sum() / scale / 10
         pull = step / (step + 3)
@@ -206,6 +216,30 @@ def fit_logistic(rows: list[list[int]], labels: np.ndarray, n: int, steps: int =
     return weights, float(bias)
 
 
+def fitting_rows(seen: DataFrame, often: np.ndarray, bound: int) -> DataFrame:
+    """(y, found, stands_for) to fit on, about `bound` rows at most, from (y, found) of every labelled row.
+
+    Equal rows are put together. `often` has the number of rows of each feature; a row that
+    is put together from c rows and whose rarest feature is in m is drawn with probability
+    c * k / m (at most 1) for the largest power of two k that keeps to the bound.
+    """
+    rows = stored(seen.groupBy("y", "found").agg(F.count("*").alias("n")), "toxic-rows")
+    if rows.count() <= bound:
+        return rows.withColumn("stands_for", F.col("n").cast("double"))
+
+    @F.pandas_udf("double")
+    def rarest(found: pd.Series) -> pd.Series:
+        return found.map(lambda f: float(often[list(f)].min()) if len(f) else 1.0)
+
+    share = F.col("n") / rarest("found")
+    ks = [2.0**e for e in range(-20, 21)]
+    sums = rows.withColumn("_share", share).agg(*[F.sum(F.least(F.lit(1.0), F.col("_share") * k)) for k in ks]).first()
+    k = max((k for k, total in zip(ks, sums) if total <= bound), default=ks[0])
+    chance = rows.withColumn("_chance", F.least(F.lit(1.0), share * k))
+    draw = F.pmod(F.xxhash64("y", "found", F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    return chance.filter(draw < F.col("_chance")).withColumn("stands_for", F.col("n") / F.col("_chance")).drop("_chance")
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame, teach=None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
     """(doc_id, score, predicted). `teach`: condition on label rows that may be learned from."""
     spark = docs.sparkSession
@@ -217,30 +251,36 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, teach=None, key: str = "d
     if teach is not None:
         marks = marks.filter(teach(F.col("_id")))
     marks = marks.groupBy("_id").agg(F.max("_y").alias("_y"))
-    share = TRAIN_ROWS / max(1, marks.count())
-    drawn = marks.filter(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(1_000_000)) < int(min(1.0, share) * 1_000_000))
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(drawn, "_id")
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(marks, "_id")
     taught = stored(rows.dropDuplicates(["text"]).select("text", "_y"), "toxic-taught")
     model = CharacterModel(counts)
 
     def features(batches):
         known: dict[str, str] = {}
         tally: dict[str, list[int]] = {}
+
+        def told():
+            return pa.RecordBatch.from_arrays(
+                [pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())],
+                names=["feature", "clean", "toxic"],
+            )
+
         for batch in batches:
             for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for f in beginnings(restore(t, model, known)):
                     tally.setdefault(f, [0, 0])[y > 0] += 1
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(list(tally)), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())],
-            names=["feature", "clean", "toxic"],
-        )
+                if len(tally) > 500_000:  # the counts are summed later
+                    yield told()
+                    tally.clear()
+        yield told()
 
     tally = taught.mapInArrow(features, "feature STRING, clean BIGINT, toxic BIGINT").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     total = taught.agg(F.count_if(F.col("_y") <= 0), F.count_if(F.col("_y") > 0)).first()
     odds = F.log((F.col("toxic") + 0.5) / (total[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (total[0] + 1.0))
     telling = tally.filter(F.col("toxic") >= 4).withColumn("odds", odds).filter("odds > 1.5")
     best = telling.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "feature").limit(FEATURES)
-    chosen = [r["feature"] for r in best.collect()]
+    best = best.collect()
+    chosen, often = [r["feature"] for r in best], np.array([r["toxic"] + r["clean"] for r in best], float)
 
     def present(batches):
         finder, known = Finder(chosen), {}
@@ -248,9 +288,9 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, teach=None, key: str = "d
             found = [finder.find(restore(t, model, known)) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
 
-    seen = taught.mapInArrow(present, "y INT, found ARRAY<INT>").collect()  # at most TRAIN_ROWS rows
-    y = np.array([r["y"] > 0 for r in seen], float)
-    weights, bias = fit_logistic([list(r["found"]) for r in seen], y, len(chosen)) if len(y) else (np.zeros(0), -30.0)
+    seen = fitting_rows(taught.mapInArrow(present, "y INT, found ARRAY<INT>"), often, TRAIN_ROWS).collect()  # about TRAIN_ROWS rows at most
+    y, stands_for = np.array([r["y"] > 0 for r in seen], float), np.array([r["stands_for"] for r in seen], float)
+    weights, bias = fit_logistic([list(r["found"]) for r in seen], y, len(chosen), stands_for=stands_for) if len(y) else (np.zeros(0), -30.0)
     weights = weights.astype(np.float64)
 
     def score(batches):

@@ -274,6 +274,25 @@ def test_toxicity_on_held_out_and_disguised_texts(spark):
     assert all(got[r[0] + 5000]["predicted"] == 0 for r in awkward())
 
 
+def test_toxicity_counts_words_over_all_labelled_rows(spark, monkeypatch):
+    """A sample for the fit, here of 60 rows, must not decide which words are known."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", 60)
+    rows, labels = toxic_case()
+    rare = [(600 + i, f"{prose(30, 600 + i)} numskull {prose(30, 700 + i)}") for i in range(8)]
+    probe = [(1000, f"{prose(30, 1)} numskull {prose(30, 2)}"), (1001, prose(60, 3))]
+    marks = spark.createDataFrame(labels + [(i, 1) for i, _ in rare], "doc_id BIGINT, toxic INT")
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(table(spark, rows + rare + probe), marks).collect()}
+    assert (got[1000], got[1001]) == (1, 0)
+
+
+def test_fitting_rows_keep_rare_features_and_the_bound(spark):
+    rows = [(0, [0, i]) for i in range(1, 400)] * 3 + [(1, [400])] * 4 + [(0, [])] * 900
+    often = np.array([1197.0] + [3.0] * 399 + [4.0])
+    kept = toxicity.fitting_rows(spark.createDataFrame(rows, "y INT, found ARRAY<INT>"), often, 200).collect()
+    assert 50 < len(kept) <= 260 and [r["stands_for"] for r in kept if not r["found"]] == [900.0]
+    assert sum(r["stands_for"] for r in kept) == pytest.approx(len(rows), rel=0.3)
+
+
 def test_toxicity_without_labels_and_on_an_empty_table(spark):
     none = spark.createDataFrame([], "doc_id BIGINT, toxic INT")
     assert all(r["score"] < 1e-9 for r in toxicity.score_toxicity(table(spark, [(1, "a b"), (2, None)]), none).collect())
