@@ -288,11 +288,12 @@ def dedup_stream(works: DataFrame) -> DataFrame:
 
     Equals the batch form for a log that arrives in the order of `seq`. The state is a
     flag per key for as long as the log is kept; duplicates may be any time apart.
+    A title without a letter or digit is no title: such works have no hash and all pass it.
     """
     own = F.concat(F.lit("own:"), F.col("work_id").cast("string"))
     keyed = works.select(
         "work_id", "seq", F.nullif(text.norm_doi(F.col("doi")), F.lit("")).alias("doi"),
-        text.dedup_hash(F.col("title"), F.col("year"), F.col("first_author")).alias("dedup_hash"),
+        F.when(text.norm_title(F.col("title")) != "", text.dedup_hash(F.col("title"), F.col("year"), F.col("first_author"))).alias("dedup_hash"),
     )
     by_doi = _first_seen(keyed, F.coalesce(F.concat(F.lit("doi:"), F.col("doi")), own))
     return _first_seen(by_doi, F.coalesce(F.col("dedup_hash"), own))

@@ -1,13 +1,14 @@
 """A stream over a log split into files ends where its batch twin ends."""
 
 import os
+from types import SimpleNamespace
 
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.operators import jobs
+from gleanery.operators import dedup, jobs
 from gleanery.plans.catalogue import load
 from gleanery.plans.fixtures import Tables
 from gleanery.streaming import drive, processors
@@ -60,6 +61,15 @@ def test_late_rows_are_kept_apart(spark):
     assert [r["id"] for r in good.collect()] == [2] and [r["id"] for r in late.collect()] == [1]
 
 
+def test_dedup_stream_keeps_works_without_a_title(spark, tmp_path):
+    rows = [(i, i, t, 2020, "Lee, A", d) for i, (t, d) in enumerate([(None, None), (None, None), ("", None), ("?!", None), ("A title", None), ("a title", None), (None, "10.1/a"), ("?", "10.1/A")])]
+    works = spark.createDataFrame(rows, "work_id long, seq long, title string, year int, first_author string, doi string")
+    works.coalesce(1).write.parquet(f"{tmp_path}/works")
+    live = drive.run(SimpleNamespace(spark=spark), "works", processors.dedup_stream, "Append", f"{tmp_path}/works")
+    kept = {r["work_id"] for r in live.select("work_id").collect()}
+    assert kept == {0, 1, 2, 3, 4, 6} == {r["work_id"] for r in dedup.dedup_exact(works).collect()}
+
+
 QUERIES, ORACLES = load()
 
 
