@@ -6,7 +6,9 @@
    three times or more in a row, single letters set apart) is a noisy reading of a word.
    Its lattice holds, for each character, the letters it may stand for, whether a repeat was
    meant, and nothing for what only separates; Viterbi decoding under the language
-   model and the channel's costs gives the word. Other pieces stand for themselves.
+   model and the channel's costs gives the word. Pieces of any length are decoded, those of
+   over `LONG` characters part by part between separators. A letter outside the model
+   stands for itself. Other pieces stand for themselves.
 3. Restored texts are scored by a logistic model over word beginnings. Beginnings are
    counted, and chosen by how much more often toxic rows have them, over all labelled rows.
    For the fit, rows with equal features and label are one row with a weight; if these
@@ -50,6 +52,10 @@ _HINT = re.compile(r"[0-9@$!|+(<€*]|(\w)\1\1|(?<!\w)\w(?:[ ._*-]\w){2,}(?!\w)"
 _SPACED = re.compile(r"(?<![^\s])[^\W_](?:([ ._*-])[^\W_])(?:\1[^\W_])+(?![^\s.,!?;:])")
 _WORD = re.compile(r"[^\W\d_]+")
 _RUN = re.compile(r"(.)\1\1")
+_STRETCHED = re.compile(r"(.)\1{3,}")
+_SEPARATORS = re.compile(r"([^\w@$!|+(<€*]+|_+)")
+#: Pieces with more characters than this, runs folded, are cut at separators and their parts decoded.
+LONG = 40
 _EDGE = ".,;:!?\"'()#%&*<>[]{}|-_"
 
 
@@ -107,28 +113,38 @@ class CharacterModel:
             while run < len(seen) and seen[run] == seen[at]:
                 run += 1
             c, n = seen[at], run - at
+            if c.isalpha() and c not in self.index:
+                # a letter the model does not know stands for itself, once if it is stretched
+                lattice.append([(c if n > 2 else c * n, [0], 0.0)])
+                at = run
+                continue
             own = [(self.index[c], 0.0)] if c in self.index else [(self.index[x], SIGN) for x in READINGS.get(c, "")]
             # one or two of a run were meant; a sign may also mean nothing
-            ways = [([i], cost + REPEAT * (n > 1)) for i, cost in own]
-            ways += [([i, i], 2 * cost + REPEAT * (n > 2)) for i, cost in own if n > 1]
+            ways = [(LETTERS[i - 1], [i], cost + REPEAT * (n > 1)) for i, cost in own]
+            ways += [(LETTERS[i - 1] * 2, [i, i], 2 * cost + REPEAT * (n > 2)) for i, cost in own if n > 1]
             if c not in self.index:
-                ways.append(([], DROP if own else 0.0))
+                ways.append(("", [], DROP if own else 0.0))
             lattice.append(ways)
             at = run
-        paths = {(0, 0): (0.0, ())}
+        # a path's word is a chain (earlier, letters), so a step costs the same however long the piece is
+        paths = {(0, 0): (0.0, None)}
         for ways in lattice:
-            after: dict[tuple[int, int], tuple[float, tuple]] = {}
+            after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
             for (a, b), (score, word) in paths.items():
-                for letters, cost in ways:
+                for letters, codes, cost in ways:
                     x, y, s = a, b, score + cost
-                    for i in letters:
-                        s += self.logs[x, y, i]
+                    for i in codes:
+                        s += self.logs[x, y, i] if i else 0.0
                         x, y = y, i
                     if (x, y) not in after or after[x, y][0] < s:
-                        after[x, y] = (s, word + tuple(letters))
+                        after[x, y] = (s, (word, letters) if letters else word)
             paths = after
-        best = max(((s + self.logs[a, b, 0], w) for (a, b), (s, w) in paths.items()), default=(0.0, ()))
-        return "".join(LETTERS[i - 1] for i in best[1])
+        word = max(((s + self.logs[a, b, 0], w) for (a, b), (s, w) in paths.items()), key=lambda p: p[0])[1]
+        out = []
+        while word is not None:
+            word, letters = word
+            out.append(letters)
+        return "".join(reversed(out))
 
 
 def disguised(piece: str) -> bool:
@@ -148,16 +164,40 @@ def restore(text: str | None, model: CharacterModel, known: dict[str, str]) -> s
         if core[-3:] in ("$$$", "@@@", "+++"):
             core = core.rstrip("$@+")
         if core and not core.isalpha() or _RUN.search(core):
-            if disguised(core) and len(core) <= 40:
-                if core not in known:
-                    if len(known) > 200_000:
-                        known.clear()
-                    known[core] = model.decode(core)
-                piece = known[core]
+            core = _STRETCHED.sub(r"\1\1\1", core)  # decoding takes longer runs for the same
+            if len(core) > LONG:
+                piece = "".join(_decoded(part, model, known) for part in _parts(core))
+            elif disguised(core):
+                piece = _decoded(core, model, known)
         out.append(piece)
     return "".join(out)
 
 
+def _parts(core: str) -> list[str]:
+    """A long piece cut at its separators, which are parts too; parts of one or two characters that follow each other are one part."""
+    found = _SEPARATORS.split(core)
+    out = found[:1]
+    for at in range(1, len(found) - 1, 2):
+        if len(found[at + 1]) <= 2 and len(found[at - 1]) <= 2 and out[-1]:
+            out[-1] += found[at] + found[at + 1]
+        else:
+            out += found[at : at + 2]
+    return out
+
+
+def _decoded(part: str, model: CharacterModel, known: dict[str, str]) -> str:
+    spelled = _SEPARATORS.search(part) is not None
+    if not disguised(part) and not (spelled and sum(c.isalpha() for c in part) >= 2):
+        return part
+    if len(part) > LONG:  # not worth remembering
+        return model.decode(part)
+    if part not in known:
+        if len(known) > 200_000:
+            known.clear()
+        known[part] = model.decode(part)
+    return known[part]
+
+
 # --- the classifier -------------------------------------------------------------------
 
 

@@ -310,3 +310,20 @@ def test_decoder_prefers_likely_words():
         assert model.decode(seen) == word
     known = {}
     assert toxicity.restore("say h3llo and 1234 to a@b", model, known).startswith("say hello and 1234")
+
+
+def test_long_pieces_and_letters_outside_the_model_are_restored():
+    base = len(toxicity.LETTERS) + 1
+    counts = np.zeros(base**3, np.int64)
+    for word in ["hello", "dunce", "letter"] * 50:
+        c = toxicity._codes(f"  {word} ")
+        np.add.at(counts, (c[:-2] * base + c[1:-1]) * base + c[2:], 1)
+    model = toxicity.CharacterModel(counts)
+    read = lambda text: toxicity.restore(text, model, {})
+    assert read("d" + "u" * 60 + "nce") == "dunce"
+    long = "/".join(["some", "path", "of", "many", "words", "that", "hides", "a", "duuuunce", "and.h3llo", "in", "it"])
+    assert len(long) > 40 and {"dunce", "hello", "path", "words"} <= set(re.split(r"\W", read(long)))
+    assert "dunce" in read("many,words,come,before,that,is,spelled,d.u.n.c.e,here,and,here")
+    assert read("д" + "у" * 5 + "рак") == "дурак" and read("\u0153" * 4 + "uf") == "\u0153uf"
+    assert toxicity.beginnings(read("głuuupiec")) >= {"głup"}
+    assert len(read("h3llo" * 4000)) >= 4000
