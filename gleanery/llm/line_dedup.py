@@ -50,8 +50,11 @@ class CuckooFilter:
         return cls(np.zeros((buckets, cls.WIDTH), np.uint16))
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> "CuckooFilter":
+    def build(cls, keys: np.ndarray, least: int = 0) -> "CuckooFilter":
+        """A filter of all keys, of `least` buckets or more (a power of two)."""
         made = cls.sized(len(keys))
+        if len(made.cells) < least:
+            made = cls(np.zeros((least, cls.WIDTH), np.uint16))
         while not all(made.insert(int(k)) for k in keys):
             made = cls(np.zeros((2 * len(made.cells), cls.WIDTH), np.uint16))
         return made
@@ -133,16 +136,28 @@ def references(docs: DataFrame, least: int, key: str = "doc_id", text: str = "te
 
 
 class LineIndex:
-    """Reference counts and filters in a shared folder. `generation` names the current filters."""
+    """Reference counts and filters in a shared folder. `generation` is the last finished change.
+
+    A change writes its part of the log, then the counts, then the filters, all under the
+    next number. One that fails is not counted: the next change writes the same places anew.
+    """
 
     def __init__(self, spark: SparkSession, folder: str | None = None, least: int = 40, repeats: int = 5, shards: int | None = None):
         self.spark, self.folder = spark, folder or shared_folder(spark, "line-index")
         self.least, self.repeats = least, repeats
-        self.shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.generation = 0
+        while folder and self._finished(f"filters/{self.generation + 1}"):
+            self.generation += 1
+        kept = self.filters().count() if self.generation else None
+        self.shards = kept or shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _finished(self, part: str) -> bool:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{part}/_SUCCESS")
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
-    def _log(self) -> DataFrame:
-        return self.spark.read.schema("doc_id BIGINT, digest BINARY, delta INT").parquet(f"{self.folder}/log")
+    def _log(self, upto: int | None = None) -> DataFrame:
+        log = self.spark.read.schema("doc_id BIGINT, digest BINARY, delta INT, batch INT").parquet(f"{self.folder}/log")
+        return log.filter(F.col("batch") <= (self.generation if upto is None else upto)).drop("batch")
 
     def counts(self) -> DataFrame:
         """(digest, n_docs, last_doc): exact, from net references."""
@@ -154,64 +169,76 @@ class LineIndex:
         return self.spark.read.parquet(f"{self.folder}/filters/{self.generation}")
 
     def add(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
-        self._change(docs, 1, key, text)
+        self._change(references(docs, self.least, key, text), 1)
 
     def remove(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> None:
         """Take documents out again; pass the same rows that were added."""
-        self._change(docs, -1, key, text)
+        self._change(references(docs, self.least, key, text), -1)
+
+    def rebuild(self) -> None:
+        """Make all filters anew from the exact counts, in sizes that fit them: a change without documents."""
+        self._change(self.spark.createDataFrame([], "doc_id BIGINT, digest BINARY"), 1, anew=True)
 
-    def _change(self, docs: DataFrame, delta: int, key: str, text: str) -> None:
+    def _change(self, refs: DataFrame, delta: int, anew: bool = False) -> None:
+        number = self.generation + 1
         before = self.counts().filter(F.col("n_docs") >= self.repeats).select("digest")
-        references(docs, self.least, key, text).withColumn("delta", F.lit(delta)).write.mode("append").parquet(f"{self.folder}/log")
+        refs.withColumn("delta", F.lit(delta)).write.mode("overwrite").parquet(f"{self.folder}/log/batch={number}")
         if not self.generation:
             # one batch: a document's references are distinct already, unless rows share an id
-            net = self._log().select("doc_id", "digest").distinct() if delta > 0 else self._log().limit(0)
+            net = self._log(number).select("doc_id", "digest").distinct() if delta > 0 else self._log(number).limit(0)
         else:
-            net = self._log().groupBy("digest", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
+            net = self._log(number).groupBy("digest", "doc_id").agg(F.sum("delta").alias("n")).filter("n > 0")
         counts = net.groupBy("digest").agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("last_doc"))
-        after_path = f"{self.folder}/counts/{self.generation + 1}"
-        counts.write.parquet(after_path)
+        after_path = f"{self.folder}/counts/{number}"
+        counts.write.mode("overwrite").parquet(after_path)
         after = self.spark.read.parquet(after_path).filter(F.col("n_docs") >= self.repeats).select("digest")
-        self._turn_filters(before, after)
-        self.generation += 1
+        if anew or not self.generation:
+            made = self._built(self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"), F.lit(0).alias("least")), after)
+        else:
+            made = self._turned(before, after, number)
+        made.write.mode("overwrite").parquet(f"{self.folder}/filters/{number}")
+        self.generation = number
+
+    def _dealt(self, keys: DataFrame, *also: str) -> DataFrame:
+        return keys.select(_shard(F.col("digest"), self.shards).alias("shard"), F.xxhash64("digest").alias("h"), *also)
 
-    def _turn_filters(self, before: DataFrame, after: DataFrame) -> None:
-        """New filters: keys that became repeated are inserted, those that no longer are get deleted."""
+    def _built(self, shards: DataFrame, keys: DataFrame) -> DataFrame:
+        """New filters of `shards` (shard, least number of buckets) over all their keys."""
+
+        def build(key, asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+            if not len(asked):
+                return pd.DataFrame({"shard": [], "cells": []}).astype({"shard": "int32", "cells": object})
+            made = CuckooFilter.build(held["h"].to_numpy().astype(np.uint64), int(asked["least"].iloc[0]))
+            return pd.DataFrame({"shard": [key[0]], "cells": [made.dump()]})
+
+        return shards.groupBy("shard").cogroup(self._dealt(keys).groupBy("shard")).applyInPandas(build, "shard INT, cells BINARY")
+
+    def _turned(self, before: DataFrame, after: DataFrame, number: int) -> DataFrame:
+        """Keys that became repeated are inserted, those that no longer are get deleted; a filter that is full is built anew, twice as large."""
         came = after.join(before, "digest", "left_anti").select("digest", F.lit(True).alias("insert"))
         went = before.join(after, "digest", "left_anti").select("digest", F.lit(False).alias("insert"))
-        moved = came.unionByName(went) if self.generation else came
-        moved = moved.select(_shard(F.col("digest"), self.shards).alias("shard"), F.xxhash64("digest").alias("h"), "insert")
-        every = self.spark.range(self.shards).select(F.col("id").cast("int").alias("shard"))
-        if self.generation:
-            old = every.join(self.filters(), "shard", "left")
-        else:
-            old = every.withColumn("cells", F.lit(None).cast("binary"))
+        moved = self._dealt(came.unionByName(went), "insert")
 
         def turn(key, held: pd.DataFrame, changes: pd.DataFrame) -> pd.DataFrame:
-            cells = held["cells"].iloc[0] if len(held) and held["cells"].iloc[0] is not None else None
             new = changes["h"].to_numpy()[changes["insert"].to_numpy().astype(bool)].astype(np.uint64)
             gone = changes["h"].to_numpy()[~changes["insert"].to_numpy().astype(bool)].astype(np.uint64)
-            made = CuckooFilter.load(cells) if cells is not None else CuckooFilter.build(new)
-            if cells is not None:
-                for h in gone:
-                    made.delete(int(h))
-                for h in new:
-                    if not made.insert(int(h)):
-                        raise ValueError("a filter is full: call rebuild()")
-            return pd.DataFrame({"shard": [key[0]], "cells": [made.dump()]})
-
-        out = old.groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(turn, "shard INT, cells BINARY")
-        out.write.parquet(f"{self.folder}/filters/{self.generation + 1}")
-
-    def rebuild(self) -> None:
-        """Make the filters anew from the exact counts, for example when one is full."""
-        now = self.counts().filter(F.col("n_docs") >= self.repeats).select("digest")
-        kept, self.generation = self.generation, 0
-        folder, self.folder = self.folder, self.folder + "/rebuilt"
-        self._turn_filters(now.limit(0), now)
-        made = self.spark.read.parquet(f"{self.folder}/filters/1")
-        self.folder, self.generation = folder, kept
-        made.write.mode("overwrite").parquet(f"{self.folder}/filters/{self.generation}")
+            made = CuckooFilter.load(held["cells"].iloc[0])
+            buckets = len(made.cells)
+            for h in gone:
+                made.delete(int(h))
+            full = not all(made.insert(int(h)) for h in new)
+            return pd.DataFrame({"shard": [key[0]], "cells": [None if full else made.dump()], "least": [2 * buckets]})
+
+        path = f"{self.folder}/turned/{number}"
+        out = self.filters().groupBy("shard").cogroup(moved.groupBy("shard")).applyInPandas(turn, "shard INT, cells BINARY, least INT")
+        out.write.mode("overwrite").parquet(path)
+        turned = self.spark.read.parquet(path)
+        full = turned.filter("cells IS NULL").select("shard", "least")
+        kept = turned.filter("cells IS NOT NULL").select("shard", "cells")
+        if full.isEmpty():
+            return kept
+        keys = after.withColumn("shard", _shard(F.col("digest"), self.shards)).join(full, "shard", "left_semi").select("digest")
+        return kept.unionByName(self._built(full, keys))
 
     def candidates(self, refs: DataFrame) -> DataFrame:
         """References that the filter of their shard lets through: all repeated keys and few others."""

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -57,6 +58,26 @@ def test_lines_equal_brute_force_and_deletion_undoes_insertion(spark):
     assert cleaned(index, table(spark, rows)) == brute_lines(rows)
 
 
+def test_a_later_batch_may_bring_many_more_repeated_lines(spark, monkeypatch):
+    first = [(i, prose(9, i)) for i in range(5)]
+    late = [(100 + i, "\n".join(prose(9, 1000 + k) for k in range(120))) for i in range(6)]
+    index = line_dedup.LineIndex(spark, shards=2)
+    index.add(table(spark, first))
+    with monkeypatch.context() as broken:  # a change that fails half-way and is made again counts once
+        broken.setattr(line_dedup.LineIndex, "_turned", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            index.add(table(spark, late))
+    index.add(table(spark, late))
+    assert cleaned(index, table(spark, first + late)) == brute_lines(first + late)
+    again = line_dedup.LineIndex(spark, index.folder)
+    assert (again.generation, again.shards) == (2, 2)
+    again.rebuild()
+    again.rebuild()
+    again.remove(table(spark, late[:2]))
+    assert again.counts().filter("n_docs >= 5").count() == 0
+    assert cleaned(again, table(spark, first + late[2:])) == brute_lines(first + late[2:])
+
+
 def test_lines_empty_table(spark):
     index = line_dedup.LineIndex(spark, shards=2)
     index.add(table(spark, []))
