@@ -1,4 +1,4 @@
-"""Removal of repeated byte strings by prefix-free parsing.
+"""Removal of repeated byte strings by triggers and hash matching, without suffix arrays.
 
 Every string of LENGTH bytes is to go that also starts earlier in the corpus. Sorting all
 suffixes would say which; sorting every suffix of a corpus is what the parse avoids:
@@ -10,12 +10,10 @@ suffixes would say which; sorting every suffix of a corpus is what the parse avo
 2. The dictionary: the starts that share a trigger occurrence form a segment, and equal
    segments (by content) are one entry with its first occurrence. All starts of a later
    occurrence are repeats, which settles copies of any size without comparing their
-   bytes. Equal segments of a batch are merged before the shuffle.
-3. Only entries that share a trigger and differ are put in suffix order: a start in front of a
-   trigger is a suffix of the dictionary phrase there (its bytes up to the trigger)
-   followed by the parse's suffix (the bytes after it). Entries are sorted, for every length
-   of the phrase suffix, by both together; neighbours that agree over LENGTH bytes are
-   repeats, all but the first in corpus order. A trigger with very many entries is split
+   bytes. Such segments are flagged; they go through the shuffle like the others.
+3. Only entries that share a trigger and differ are compared further: for every number of
+   bytes in front of the trigger, the LENGTH bytes from there are sorted by a 64-bit hash,
+   not in suffix order; equal neighbours are repeats, all but the first in corpus order. A trigger with very many entries is split
    by the bytes before or after it, whichever side the string has more of.
 4. The repeated starts of a text, as ranges, give the bytes to remove.
 
