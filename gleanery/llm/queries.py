@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_store, toxicity
+from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_store, toxicity, window_packing
 from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -217,3 +217,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     out = substring_dedup.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op13_window_packing")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    packed = window_packing.window_pack(table(spark, folder, "documents").select("doc_id", "text"))
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
