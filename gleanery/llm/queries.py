@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, token_store, toxicity, window_packing
+from . import chat, exact, line_dedup, manifest, mixing, near_dedup, packing, quality, substring_dedup, token_store, toxicity, window_packing
 from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -223,3 +223,78 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     packed = window_packing.window_pack(table(spark, folder, "documents").select("doc_id", "text"))
     return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+def _sql_crc(of: str, key: str) -> str:
+    """CTEs `crc_table` and `crcs` (key, h): the unsigned crc32 of the UTF-8 strings `key` of the CTE `of`."""
+    step = "CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"""
+crc_steps AS (
+  SELECT i AS b, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL SELECT b, k + 1, {step} FROM crc_steps WHERE k < 8
+), crc_table AS (
+  SELECT b, c FROM crc_steps WHERE k = 8
+), crc_run AS (
+  SELECT {key} AS key, hex(encode({key})) AS h, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT {key} FROM {of})
+  UNION ALL
+  SELECT r.key, r.h, r.i + 1, xor(r.c // 256, t.c) FROM crc_run r JOIN crc_table t
+    ON t.b = xor(r.c % 256, CAST('0x' || substr(r.h, 2 * r.i + 1, 2) AS BIGINT)) WHERE 2 * r.i < length(r.h)
+), crcs AS (
+  SELECT key, xor(c, 4294967295) AS h FROM crc_run WHERE 2 * i = length(h)
+)"""
+
+
+_SQL_LEAF = lambda text: "sha256(" + " || ".join(
+    f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in [*manifest.COLUMNS[:-1], text]
+) + ")"
+
+SQL_MANIFEST = f"""
+WITH RECURSIVE keys AS (
+  SELECT CAST(doc_id AS VARCHAR) AS k FROM documents WHERE doc_id IS NOT NULL
+), {_sql_crc("keys", "k")}, leaves AS (
+  SELECT doc_id, lang, {_SQL_LEAF("text")} AS leaf, h % 3 = 0 AS touched,
+         {_SQL_LEAF("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS lowered
+  FROM documents LEFT JOIN crcs ON CAST(doc_id AS VARCHAR) = key
+), numbered AS (
+  SELECT *, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS tree, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos FROM leaves
+), nodes AS (
+  SELECT 0 AS level, tree, pos, leaf AS d, count(*) OVER (PARTITION BY tree) AS n FROM numbered
+  UNION ALL
+  SELECT level + 1, tree, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM nodes WHERE n > 1 GROUP BY level, tree, pos // 8
+), subroots AS (
+  SELECT tree, level AS height, d FROM nodes WHERE n = 1
+), tops AS (
+  SELECT 0 AS level, tree - 1 AS pos, d, (SELECT count(*) FROM subroots) AS n FROM subroots
+  UNION ALL
+  SELECT level + 1, pos // 8, sha256(string_agg(d, '' ORDER BY pos)), (any_value(n) + 7) // 8 FROM tops WHERE n > 1 GROUP BY level, pos // 8
+), ladder AS (
+  SELECT n.tree, n.level, n.pos, n.d, s.height FROM nodes n JOIN subroots s ON n.tree = s.tree WHERE n.n > 1
+  UNION ALL SELECT s.tree, s.height + t.level, t.pos, t.d, s.height FROM subroots s, tops t WHERE t.n > 1
+), proofs AS (
+  SELECT b.tree, b.pos, string_agg(l.d, '' ORDER BY l.level, l.pos) AS siblings
+  FROM numbered b JOIN subroots s ON b.tree = s.tree JOIN ladder l ON l.tree = b.tree
+   AND l.pos // 8 = CASE WHEN l.level < l.height THEN b.pos // CAST(8 ** l.level AS BIGINT) ELSE (b.tree - 1) // CAST(8 ** (l.level - l.height) AS BIGINT) END // 8
+   AND l.pos <> CASE WHEN l.level < l.height THEN b.pos // CAST(8 ** l.level AS BIGINT) ELSE (b.tree - 1) // CAST(8 ** (l.level - l.height) AS BIGINT) END
+  GROUP BY b.tree, b.pos
+), climb AS (
+  SELECT b.tree, b.pos, 0 AS level, s.height, CASE WHEN s.height = 0 THEN b.tree - 1 ELSE b.pos END AS own, CASE WHEN b.touched THEN b.lowered ELSE b.leaf END AS f
+  FROM numbered b JOIN subroots s ON b.tree = s.tree
+  UNION ALL
+  SELECT c.tree, c.pos, c.level + 1, c.height, CASE WHEN c.level + 1 = c.height THEN c.tree - 1 ELSE c.own // 8 END,
+         sha256(string_agg(CASE WHEN l.pos = c.own THEN c.f ELSE l.d END, '' ORDER BY l.pos))
+  FROM climb c JOIN ladder l ON l.tree = c.tree AND l.level = c.level AND l.pos // 8 = c.own // 8 GROUP BY c.tree, c.pos, c.level, c.height, c.own
+), folded AS (
+  SELECT tree, pos, arg_max(f, level) AS f FROM climb GROUP BY tree, pos
+), whole AS (
+  SELECT d FROM tops WHERE n = 1
+)
+SELECT b.doc_id, b.leaf, s.d AS subroot, w.d AS root, sha256(coalesce(p.siblings, '')) AS proof_sha256, f.f AS folded_root, f.f = w.d AS verified
+FROM numbered b JOIN subroots s ON b.tree = s.tree JOIN folded f ON f.tree = b.tree AND f.pos = b.pos CROSS JOIN whole w
+LEFT JOIN proofs p ON p.tree = b.tree AND p.pos = b.pos
+"""
+
+
+@query("op11_merkle_manifest", SQL_MANIFEST)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select(*manifest.COLUMNS)
+    return manifest.verify(docs, manifest.lower_cased_third())
