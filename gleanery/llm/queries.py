@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, line_dedup, manifest, mixing, near_dedup, packing, quality, substring_dedup, token_store, toxicity, window_packing
+from . import chat, exact, line_dedup, manifest, mixing, near_dedup, packing, quality, spelling, substring_dedup, token_store, toxicity, window_packing
 from .common import stored
 from .registry import ORACLES, QUERIES, query, table  # noqa: F401
 
@@ -298,3 +298,38 @@ LEFT JOIN proofs p ON p.tree = b.tree AND p.pos = b.pos
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select(*manifest.COLUMNS)
     return manifest.verify(docs, manifest.lower_cased_third())
+
+
+SQL_SPELLING = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]{{7,}}')) AS run FROM documents
+), hashed AS (
+  SELECT run, coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS k FROM runs
+), {_sql_crc("hashed", "k")}, words AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2) ELSE run END AS word
+  FROM hashed JOIN crcs ON k = key
+), vocab AS (
+  SELECT word, count(*) AS n FROM words WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2
+), cuts AS (
+  SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocab)
+), pairs AS (
+  SELECT a.word AS u, b.word AS v, b.n FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cuts a JOIN vocab b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cuts a JOIN vocab b ON a.rest = b.word
+), best AS (
+  SELECT u, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY u
+), chosen AS (
+  SELECT p.u, min(p.v COLLATE "C") AS form, any_value(b.most) AS form_n FROM pairs p JOIN best b ON p.u = b.u AND p.n = b.most JOIN vocab w ON w.word = p.u
+  WHERE b.most >= 10 * w.n GROUP BY p.u
+), walk AS (
+  SELECT word, word AS root, 0 AS steps FROM vocab
+  UNION ALL SELECT w.word, c.form, w.steps + 1 FROM walk w JOIN chosen c ON w.root = c.u
+)
+SELECT w.word, c.form, (SELECT arg_max(root, steps) FROM walk x WHERE x.word = w.word) AS root, w.n, coalesce(b.n_near, 0) AS n_near, c.form_n
+FROM vocab w LEFT JOIN best b ON w.word = b.u LEFT JOIN chosen c ON w.word = c.u
+"""
+
+
+@query("op12_spelling_variants", SQL_SPELLING)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.vocabulary(spelling.slipped(table(spark, folder, "documents").select("doc_id", "text"))))
