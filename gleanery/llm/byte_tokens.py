@@ -19,6 +19,8 @@ import numpy as np
 
 #: Pieces kept by a worker, as they stand in texts and without stops. A full store is emptied; this affects speed only.
 KEPT = 1_200_000
+#: Texts whose new pieces are learnt together.
+BLOCK = 64
 _PIECE = re.compile(r"[ \n\r\t]*[^ \n\r\t]+|[ \n\r\t]+")
 _MIXED = ("  ", "\n\n", " \n", "\n ", "\t", "\r")
 #: White space of other kinds; texts with it, or with a special token, are encoded whole.
@@ -57,9 +59,6 @@ class BytePieces:
         starts[[i for token, i in self.tokenizer.get_vocab().items() if token.startswith("Ġ")]] = True  # a space
         self.starts = starts
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
-
     def _ask(self, words: list[str]) -> None:
         """Encode words, each behind a space, many to a call; that space tells where to cut."""
         groups = [words[i : i + 200] for i in range(0, len(words), 200)]
@@ -71,12 +70,11 @@ class BytePieces:
             raw = ids.tobytes()
             self.known.update(zip(group, [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]))
 
-    def learn(self, keys: set[str]) -> None:
-        """Fill in the pieces not known yet."""
-        if len(self.known) > KEPT:
-            self.known.clear()
+    def learn(self, fresh: set[str]) -> None:
+        """Fill in pieces not known yet."""
         known = self.known
-        fresh = keys.difference(known)
+        if len(known) > KEPT:
+            known.clear()
         plain = [m for m in map(_PLAIN.fullmatch, fresh) if m]
         stopped = [(m[0], m[1], "\r" + m[2]) for m in plain if m[2]]
         others = list(fresh.difference([m[0] for m in plain]).union({stops for _key, _word, stops in stopped}.difference(known)))
@@ -86,6 +84,28 @@ class BytePieces:
         for key, word, stops in stopped:
             known[key] = known[word] + known[stops]
 
+    def ids(self, texts: list[str]) -> list[bytes]:
+        """Ids of some texts. Each is looked up as soon as it is cut, while its pieces are at hand; new ones are learnt together."""
+        cut, fresh = [], set()
+        for text in texts:
+            if _OTHER_SPACE.search(text) or any(s in text for s in self.special):
+                cut.append((None, self.tokenizer.encode(text, add_special_tokens=False).ids))
+                continue
+            keys = keys_of(text)
+            found = list(map(self.known.get, keys))
+            if None in found:
+                fresh.update([k for k, ids in zip(keys, found) if ids is None])
+                cut.append((keys, found))
+            else:
+                cut.append(((), b"".join(found)))
+        if fresh:
+            self.learn(fresh)
+        get = self.known.get
+        return [
+            np.array(found, "<u2").tobytes() if keys is None else b"".join([ids or get(k) for k, ids in zip(keys, found)]) if keys else found
+            for keys, found in cut
+        ]
+
 
 def byte_pieces(path: str) -> BytePieces:
     """The worker's store for a tokenizer file. Functions travel to workers by value, so the
@@ -104,13 +124,8 @@ def byte_pieces(path: str) -> BytePieces:
 def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as unsigned 16-bit bytes; null is an empty text."""
     store = byte_pieces(path)
-    for at in range(0, len(texts), 256):
-        block = [t or "" for t in texts[at : at + 256]]
-        split = [None if _OTHER_SPACE.search(t) or any(s in t for s in store.special) else keys_of(t) for t in block]
-        store.learn(set().union(*(s for s in split if s)))
-        find = store.known.__getitem__
-        for text, keys in zip(block, split):
-            yield store.whole(text) if keys is None else b"".join(map(find, keys))
+    for at in range(0, len(texts), BLOCK):
+        yield from store.ids([t or "" for t in texts[at : at + BLOCK]])
 
 
 def default_path() -> str:
