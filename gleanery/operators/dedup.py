@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import lookups as L
 from ..functions import text
-from ..functions.kernels import jaro_winkler
 from ..session import cut_lineage
 from .components import connected_components
+from .title_join import EditDistance, JaroWinkler, title_pairs
 from .windows import first_per_key
 
 
@@ -37,9 +37,9 @@ def title_shingles(norm: Column, n: int = 3) -> Column:
 
 
 def block_keys(df: DataFrame, norm: str = "norm", bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:
-    """One row per (record, block): MinHash bands over title trigrams.
+    """One row per (record, block): MinHash bands over title trigrams, for callers that want likely pairs only.
 
-    Titles that share most trigrams meet in some band with a chance of
+    `similar_pairs` and `title_lev_pairs` are complete and do not use them. Titles that share most trigrams meet in some band with a chance of
     1 - (1 - J^rows)^bands for trigram overlap J; unrelated titles do not meet.
     """
     shingles = title_shingles(F.col(norm))
@@ -65,86 +65,36 @@ def _prepared(df: DataFrame) -> DataFrame:
     )
 
 
-def _reach(a_len: Column, b_len: Column, floor: float) -> Column:
-    """Can two titles of these lengths reach the similarity at all?
-
-    With every letter of the shorter one matched and the best prefix bonus, the
-    measure is at most 1 - 0.6 * (1 - short/long) / 3.
-    """
-    return 1 - 0.6 * (1 - F.least(a_len, b_len) / F.greatest(a_len, b_len)) / 3 >= floor
-
-
-def _scored(pairs: DataFrame, floor: float) -> DataFrame:
-    """Similarity of candidate pairs at or above `floor`; the kernel sees only those in reach."""
-    near = pairs.filter(_reach(F.length("a.norm"), F.length("b.norm"), floor))
-    flat = near.select(
-        F.col("a.id").alias("left_id"),
-        F.col("b.id").alias("right_id"),
-        F.col("a.seq").alias("left_seq"),
-        F.col("b.seq").alias("right_seq"),
-        (F.col("a.year") == F.col("b.year")).alias("year_match"),
-        ((F.col("a.author") != "") & (F.col("a.author") == F.col("b.author"))).alias("author_match"),
-        text.entity_conflict(F.col("a.ent"), F.col("b.ent")).alias("conflict"),
-        jaro_winkler(F.col("a.norm"), F.col("b.norm")).alias("similarity"),
-    )
-    return flat.filter(F.col("similarity") >= floor)
-
-
 def _earlier(a: str, b: str) -> Column:
     return F.col(f"{a}.seq") < F.col(f"{b}.seq")
 
 
-#: Rows of a block that one task compares with another slice; larger blocks are cut. No pair is lost.
-HOT_BLOCK = 2000
-
-
-def _block_pairs(keyed: DataFrame) -> DataFrame:
-    """Earlier/later pairs that share a block within one year.
-
-    Blocks are split by year first. A block that is still large is cut into slices
-    and its pairs are spread over slice pairs, so no task holds the whole block.
-    """
-    sized = keyed.groupBy("block", "year").agg(F.count("*").alias("_n"))
-    slices = sized.select("block", "year", F.greatest(F.lit(1), F.ceil(F.col("_n") / HOT_BLOCK)).cast("int").alias("_k"))
-    sliced = keyed.join(slices, ["block", "year"]).withColumn("_slice", F.pmod(F.xxhash64("id"), F.col("_k")).cast("int"))
-    a = sliced.select("block", F.col("year").alias("_year"), "_slice", F.struct(keyed.columns).alias("a"))
-    # the later side visits each slice of each year within reach
-    visits = (
-        keyed.withColumn("_year", F.explode(F.sequence(F.col("year") - 1, F.col("year") + 1)))
-        .join(slices.select("block", F.col("year").alias("_year"), "_k"), ["block", "_year"])
-        .withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-    )
-    b = visits.select("block", "_year", "_slice", F.struct(keyed.columns).alias("b"))
-    return a.join(b, ["block", "_year", "_slice"]).filter(_earlier("a", "b"))
-
-
 def _first_titles(df: DataFrame) -> DataFrame:
     """The first work of each title and year; works without a title are all kept."""
     return first_per_key(_prepared(df), [F.nullif("norm", F.lit("")), "year"], ["seq"])
 
 
-def _candidates(rows: DataFrame, exhaustive: bool = False) -> DataFrame:
-    """Distinct pairs (a, b) of rows that share a block. Only ids and blocks meet; titles join the distinct pairs."""
-    if exhaustive:
-        keyed = rows.select("id", "seq", "year", F.lit(0).cast("long").alias("block"))
-    else:
-        keyed = block_keys(rows.select("id", "seq", "year", "norm")).drop("norm")
-    met = _block_pairs(cut_lineage(keyed)).select(F.col("a.id").alias("_a"), F.col("b.id").alias("_b")).distinct()
-    side = lambda n: rows.select(F.col("id").alias(f"_{n}"), F.struct(rows.columns).alias(n))
-    return met.join(side("a"), "_a").join(side("b"), "_b").select("a", "b")
+def _described(pairs: DataFrame, rows: DataFrame) -> DataFrame:
+    """Scored id pairs with what a verdict needs of their two works. Only works that have a pair are joined."""
+    side = lambda n: rows.select(F.col("id").alias(f"{n}_id"), F.struct("seq", "year", "author", "ent").alias(n))
+    a, b = F.col("left"), F.col("right")
+    return pairs.join(side("left"), "left_id").join(side("right"), "right_id").select(
+        "left_id", "right_id", a["seq"].alias("left_seq"), b["seq"].alias("right_seq"),
+        (a["year"] == b["year"]).alias("year_match"),
+        ((a["author"] != "") & (a["author"] == b["author"])).alias("author_match"),
+        text.entity_conflict(a["ent"], b["ent"]).alias("conflict"), "similarity",
+    )
 
 
-def similar_pairs(df: DataFrame, floor: float = L.GREY_SIMILARITY, exhaustive: bool = False) -> DataFrame:
-    """Pairs of works (earlier, later) within one year whose titles score at least `floor`.
+def similar_pairs(df: DataFrame, floor: float = L.GREY_SIMILARITY) -> DataFrame:
+    """Pairs of works (earlier, later) within one year whose titles score at least `floor`: all of them.
 
     Works with the same normalised title and year are represented by the first of
-    them: the others score exactly the same. `exhaustive` compares every pair of a
-    year band instead of block mates; it is meant for small inputs.
+    them: the others score exactly the same. Entities are only compared for pairs that score,
+    and equal titles of neighbouring years meet by equi-join.
     """
     rows = cut_lineage(_first_titles(df))
-    near = _candidates(rows, exhaustive).filter(F.col("a.norm") != F.col("b.norm"))
-    once = _scored(near, floor)
-    # equal titles in neighbouring years need no block
+    near = _described(title_pairs(rows, JaroWinkler(floor)), rows)
     titled = rows.filter("norm <> ''")
     a = titled.select("norm", F.col("year").alias("_year"), F.struct(rows.columns).alias("a"))
     b = titled.select("norm", F.explode(F.array(F.col("year") - 1, F.col("year"), F.col("year") + 1)).alias("_year"), F.struct(rows.columns).alias("b"))
@@ -156,7 +106,7 @@ def similar_pairs(df: DataFrame, floor: float = L.GREY_SIMILARITY, exhaustive: b
         F.lit(False).alias("conflict"),
         F.lit(1.0).alias("similarity"),
     )
-    return once.unionByName(equal)
+    return near.unionByName(equal)
 
 
 def title_duplicates(pairs: DataFrame, threshold: float = L.MERGE_SIMILARITY) -> DataFrame:
@@ -280,14 +230,16 @@ def dedup_hierarchical(df: DataFrame, levels: list[tuple[str, Column]], fuzzy: D
 
 
 def title_lev_pairs(df: DataFrame, floor: float = L.HIERARCHY_SIMILARITY) -> DataFrame:
-    """Level 5 of the hierarchy: block mates whose normalised titles are > `floor` alike by edit distance."""
+    """Level 5 of the hierarchy: works within one year whose normalised titles are > `floor` alike by edit distance.
+
+    Of equal titles of a year only the first is looked at; equal ones of neighbouring years are pairs.
+    """
     rows = cut_lineage(_first_titles(df))
-    a = F.col("a.norm")
-    b = F.col("b.norm")
-    longest = F.greatest(F.length(a), F.length(b))
-    near = F.least(F.length(a), F.length(b)) > floor * longest
-    pairs = _candidates(rows).filter(near & (text.levenshtein_sim(a, b) > floor))
-    return pairs.select(F.col("a.id").alias("left_id"), F.col("b.id").alias("right_id")).distinct()
+    near = title_pairs(rows, EditDistance(floor)).select("left_id", "right_id")
+    titled = rows.filter("norm <> ''").select("norm", "year", "id", "seq")
+    later = titled.select("norm", F.explode(F.array(F.col("year") - 1, F.col("year") + 1)).alias("year"), F.col("id").alias("right_id"), F.col("seq").alias("right_seq"))
+    same = titled.join(later, ["norm", "year"]).filter("seq < right_seq")
+    return near.unionByName(same.select(F.col("id").alias("left_id"), "right_id"))
 
 
 def doi_intersection(works: DataFrame, hits: DataFrame, n_terms: int) -> DataFrame:

@@ -74,7 +74,48 @@ def _(t):
     return both.select("uuid", text.entity_conflict(F.col("a"), F.col("b")).alias("conflict"))
 
 
-@query("jaro_winkler")
+def _sql_jaro_winkler(pairs: str) -> str:
+    """CTEs up to `jw` (x, y, similarity) for the CTE `pairs` (x, y, a, b) of two strings each.
+
+    Letters are independent of each other: for each one, a pointer walks over its places in b,
+    at most one on from the later of where it is and where the window begins, at most to where the window ends.
+    """
+    return f"""
+jw_sized AS (
+  SELECT x, y, a, b, length(a) AS na, length(b) AS nb, greatest(length(a), length(b)) // 2 - 1 AS reach,
+         CASE WHEN left(a, 1) <> left(b, 1) THEN 0 WHEN left(a, 2) <> left(b, 2) THEN 1 WHEN left(a, 3) <> left(b, 3) THEN 2 WHEN left(a, 4) <> left(b, 4) THEN 3
+              ELSE least(4, length(a), length(b)) END AS shared FROM {pairs}
+), jw_strings AS (
+  SELECT a AS s FROM jw_sized UNION SELECT b FROM jw_sized
+), jw_places AS (
+  SELECT s, ch, list(i ORDER BY i) AS places FROM (SELECT s, i, substr(s, i, 1) AS ch FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM jw_strings)) GROUP BY s, ch
+), jw_steps AS (
+  SELECT p.x, p.y, l.ch, l.places AS ia, r.places AS ib, list_transform(l.places, lambda i: struct_pack(
+           low := CAST(len(list_filter(r.places, lambda j: j < i - p.reach)) AS BIGINT), up := CAST(len(list_filter(r.places, lambda j: j <= i + p.reach)) AS BIGINT))) AS steps
+  FROM jw_sized p JOIN jw_places l ON l.s = p.a JOIN jw_places r ON r.s = p.b AND r.ch = l.ch WHERE p.reach >= 0
+), jw_walked AS (
+  SELECT x, y, ch, ia[k] AS i, ib, steps[k].up AS up,
+         greatest(list_reduce(steps[1:k - 1], lambda q, e: least(greatest(q, e.low) + 1, e.up), 0::BIGINT), steps[k].low) AS q
+  FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS k FROM jw_steps)
+), jw_met AS (
+  SELECT x, y, ch, i, ib[q + 1] AS j FROM jw_walked WHERE q < up
+), jw_ranked AS (
+  SELECT x, y, ch, row_number() OVER (PARTITION BY x, y ORDER BY i) AS ri, row_number() OVER (PARTITION BY x, y ORDER BY j) AS rj FROM jw_met
+), jw_swaps AS (
+  SELECT a.x, a.y, count(*) AS m, count_if(a.ch <> b.ch) AS swapped FROM jw_ranked a JOIN jw_ranked b ON a.x = b.x AND a.y = b.y AND a.ri = b.rj GROUP BY a.x, a.y
+), jw_jaro AS (
+  SELECT p.*, CASE WHEN m > 0 THEN (m::DOUBLE / na + m::DOUBLE / nb + (m - swapped / 2.0::DOUBLE) / m) / 3 ELSE 0.0 END AS jaro
+  FROM jw_sized p LEFT JOIN jw_swaps s ON p.x = s.x AND p.y = s.y
+), jw AS (
+  SELECT x, y, CASE WHEN a = b THEN 1.0::DOUBLE WHEN jaro = 0 THEN 0.0 ELSE jaro + shared * 0.1::DOUBLE * (1 - jaro) END AS similarity FROM jw_jaro
+)"""
+
+
+@query(
+    "jaro_winkler",
+    f"""WITH p AS (SELECT uuid AS x, uuid AS y, {sql_title('title_lib')} AS a, {sql_title('title_auth')} AS b FROM ledger WHERE title_auth IS NOT NULL),
+{_sql_jaro_winkler('p')} SELECT x AS uuid, similarity FROM jw""",
+)
 def _(t):
     from ..functions.kernels import jaro_winkler
 
@@ -82,7 +123,44 @@ def _(t):
     return pairs.select("uuid", jaro_winkler(F.col("a"), F.col("b")).alias("similarity"))
 
 
-@query("similar_titles")
+def _sql_firsts(source: str) -> str:
+    """CTEs `prepared` and `firsts`, the first work of each title and year of `source`."""
+    return f"""prepared AS (SELECT work_id AS id, seq, year, {sql_title('title')} AS norm, {sql_surname('first_author')} AS author, {_entities_sql('title')} FROM {source}),
+firsts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY norm, year ORDER BY seq) AS rn FROM prepared) WHERE rn = 1 OR norm = '')"""
+
+
+def _sql_similar(source: str, floor: float) -> str:
+    """CTEs up to `alike`: pairs of works of `source` within a year that score at least `floor`.
+
+    Two strings that share too few letters to reach it are not scored.
+    """
+    bound = lambda l: f"{3 * (floor - l / 10) / (1 - l / 10) - 1 - 1e-9:.12f}"
+    return f"""{_sql_firsts(source)},
+near AS (SELECT a.id AS x, b.id AS y, a.norm AS a, b.norm AS b FROM firsts a JOIN firsts b ON b.year BETWEEN a.year - 1 AND a.year + 1 AND a.seq < b.seq WHERE a.norm <> '' AND b.norm <> ''),
+tally AS (SELECT id, ch, count(*) AS n FROM (SELECT id, unnest(string_split(norm, '')) AS ch FROM firsts WHERE norm <> '') GROUP BY id, ch),
+shares AS (SELECT x, y, sum(least(l.n, r.n)) AS common FROM near JOIN tally l ON l.id = x JOIN tally r ON r.id = y AND r.ch = l.ch GROUP BY x, y),
+hopeful AS (SELECT near.* FROM near JOIN shares ON near.x = shares.x AND near.y = shares.y WHERE common::DOUBLE / length(a) + common::DOUBLE / length(b) >=
+  CASE WHEN left(a, 1) <> left(b, 1) THEN {bound(0)} WHEN left(a, 2) <> left(b, 2) THEN {bound(1)} WHEN left(a, 3) <> left(b, 3) THEN {bound(2)} WHEN left(a, 4) <> left(b, 4) THEN {bound(3)} ELSE {bound(4)} END),
+{_sql_jaro_winkler('hopeful')},
+alike AS (SELECT x AS left_id, y AS right_id, a.seq AS left_seq, b.seq AS right_seq, a.year = b.year AS year_match, a.author <> '' AND a.author = b.author AS author_match,
+  a.norm <> b.norm AND ((len(a.geo) > 0 AND len(b.geo) > 0 AND NOT list_has_any(a.geo, b.geo)) OR (len(a.method) > 0 AND len(b.method) > 0 AND NOT list_has_any(a.method, b.method))
+  OR (len(a.diagnostic) > 0 AND len(b.diagnostic) > 0 AND NOT list_has_any(a.diagnostic, b.diagnostic))) AS conflict, similarity
+  FROM jw JOIN firsts a ON a.id = x JOIN firsts b ON b.id = y WHERE similarity >= {floor})"""
+
+
+#: CTEs up to `fallen` (the ids in `gone`): row by row, a work falls if an earlier one that stands is its duplicate.
+_SQL_GREEDY = f"""duplicates AS (SELECT left_id, right_id, left_seq, right_seq FROM alike WHERE similarity >= {L.MERGE_SIMILARITY} AND NOT conflict),
+queue AS (SELECT right_id, list(left_id) AS before, row_number() OVER (ORDER BY right_seq, right_id) AS turn FROM duplicates GROUP BY right_id, right_seq),
+loop AS (SELECT 0::BIGINT AS turn, []::BIGINT[] AS gone UNION ALL
+  SELECT l.turn + 1, CASE WHEN len(list_filter(q.before, lambda i: NOT list_contains(l.gone, i))) > 0 THEN list_append(l.gone, q.right_id) ELSE l.gone END
+  FROM loop l JOIN queue q ON q.turn = l.turn + 1),
+fallen AS (SELECT unnest(gone) AS id FROM loop WHERE turn = (SELECT max(turn) FROM loop))"""
+
+
+@query(
+    "similar_titles",
+    f"WITH c AS ({_COPIES}), {_sql_similar('c', L.GREY_SIMILARITY)} SELECT left_id, right_id, left_seq, right_seq, year_match, author_match, conflict, similarity FROM alike",
+)
 def _(t):
     return dedup.similar_pairs(_copies(t))
 
@@ -93,12 +171,22 @@ def _(t):
     return dedup.block_keys(rows).select("work_id", "block")
 
 
-@query("dedup_fuzzy")
+@query(
+    "dedup_fuzzy",
+    f"WITH c AS ({_COPIES}), {_sql_similar('c', L.MERGE_SIMILARITY)}, {_SQL_GREEDY} SELECT id AS work_id FROM firsts WHERE id NOT IN (SELECT id FROM fallen)",
+)
 def _(t):
     return dedup.dedup_fuzzy(_copies(t)).select("work_id")
 
 
-@query("shadow_pairs")
+@query(
+    "shadow_pairs",
+    f"""WITH c AS ({_COPIES}), {_sql_similar('c', L.GREY_SIMILARITY)}, {_SQL_GREEDY},
+hits AS (SELECT right_id, min(left_seq) AS hit FROM duplicates WHERE left_id NOT IN (SELECT id FROM fallen) GROUP BY right_id)
+SELECT s.left_id, s.right_id, similarity, concat_ws(',', 'title_similarity_' || printf('%.3f', similarity), CASE WHEN year_match THEN 'year_match' END, CASE WHEN author_match THEN 'author_match' END) AS reasons,
+  s.right_id IN (SELECT id FROM fallen) AS later_dropped
+FROM alike s LEFT JOIN hits h ON s.right_id = h.right_id WHERE similarity < {L.MERGE_SIMILARITY} AND (year_match OR author_match) AND s.left_id NOT IN (SELECT id FROM fallen) AND (hit IS NULL OR left_seq < hit)""",
+)
 def _(t):
     out = dedup.shadow_pairs(_copies(t))
     return out.select("left_id", "right_id", "similarity", F.array_join("reasons", ",").alias("reasons"), "later_dropped")
@@ -139,7 +227,16 @@ def _(t):
     return out.select("work_id", "group_id", "group_size", "is_canonical")
 
 
-@query("hierarchy_review")
+@query(
+    "hierarchy_review",
+    f"""WITH c AS ({_COPIES}), {_sql_firsts('c')},
+near AS (SELECT a.id AS x, b.id AS y, a.norm AS a, b.norm AS b, greatest(length(a.norm), length(b.norm)) AS longest FROM firsts a JOIN firsts b ON b.year BETWEEN a.year - 1 AND a.year + 1 AND a.seq < b.seq
+  WHERE a.norm <> '' AND b.norm <> '' AND least(length(a.norm), length(b.norm)) > {L.HIERARCHY_SIMILARITY} * greatest(length(a.norm), length(b.norm))),
+marked AS (SELECT x, y FROM near WHERE 1.0::DOUBLE - levenshtein(a, b)::DOUBLE / longest > {L.HIERARCHY_SIMILARITY}),
+g AS (SELECT {_DOI_KEY} AS k, min(work_id) AS group_id, count(*) AS n, arg_min(work_id, seq) AS canonical_id FROM c WHERE {_DOI_KEY} IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+SELECT c.work_id, coalesce(g.group_id, c.work_id) AS group_id, coalesce(g.canonical_id, c.work_id) = c.work_id AS is_canonical, CASE WHEN g.k IS NOT NULL THEN 'doi' END AS matched_level,
+  c.work_id IN (SELECT x FROM marked UNION SELECT y FROM marked) AS needs_review FROM c LEFT JOIN g ON g.k = {_DOI_KEY}""",
+)
 def _(t):
     """Level 5 of the hierarchy: near-equal titles are only marked for review."""
     works = _copies(t)

@@ -1,13 +1,14 @@
 """Operators on small known inputs and against brute force."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from gleanery import lookups as L
 from gleanery.functions import kernels, text
-from gleanery.operators import dedup, filters, jobs, joins, layout, textops, windows
+from gleanery.operators import dedup, filters, jobs, joins, layout, textops, title_join, windows
 from gleanery.operators.components import connected_components
 from gleanery.plans.fixtures import Tables
 from gleanery.sources import readers, writers
@@ -48,27 +49,60 @@ def copies(spark):
 def test_fuzzy_dedup_equals_the_sequential_loop(spark, copies):
     rows = [r.asDict(recursive=True) for r in dedup._prepared(copies).collect()]
     expected = sequential_loop(rows)
-    blocked = {r[0] for r in dedup.dedup_fuzzy(copies).select("work_id").collect()}
-    exhaustive = {r[0] for r in dedup.dedup_fuzzy(copies, dedup.similar_pairs(copies, L.MERGE_SIMILARITY, exhaustive=True)).select("work_id").collect()}
-    assert exhaustive == expected
-    assert blocked == expected
-
-
-def test_hot_block_is_sliced(spark, monkeypatch):
-    monkeypatch.setattr(dedup, "HOT_BLOCK", 3)
-    works = works_of(spark, [f"the same long title of a study number {i:02d}" for i in range(20)])
-    kept = dedup.dedup_fuzzy(works).select("work_id").collect()
-    assert [r[0] for r in kept] == [0]
+    assert {r[0] for r in dedup.dedup_fuzzy(copies).select("work_id").collect()} == expected
+
+
+@pytest.mark.parametrize("floor", [0.85, 0.92])
+@pytest.mark.parametrize("slice_", [7, 1024])
+def test_similar_pairs_are_all_pairs(spark, monkeypatch, floor, slice_):
+    monkeypatch.setattr(title_join, "SLICE", slice_)
+    rng = random.Random(slice_)
+    words = "dry eye outcomes in older adults after surgery of the lens and cornea".split()
+    titles = [" ".join(rng.sample(words, rng.randint(1, 8))) for _ in range(60)]
+    titles += [t[: rng.randint(0, len(t))] + rng.choice("xyz ") + t[rng.randint(0, len(t)) :] for t in titles] + ["", "漢字 の 題", "漢字の題"]
+    years = [rng.choice([2000, 2001, 2003]) for _ in titles]
+    works = works_of(spark, titles, years)
+    rows = {(r["norm"], r["year"]): r for r in sorted(dedup._prepared(works).collect(), key=lambda r: -r["seq"]) if r["norm"]}.values()
+    want = {}
+    for a in rows:
+        for b in rows:
+            if a["seq"] < b["seq"] and abs(a["year"] - b["year"]) <= 1 and (score := kernels.jaro_winkler_score(a["norm"], b["norm"])) >= floor:
+                want[a["id"], b["id"]] = score
+    got = dedup.similar_pairs(works, floor).collect()
+    assert {(r["left_id"], r["right_id"]): r["similarity"] for r in got} == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("slice_", [5, 1024])
+def test_edit_distance_pairs_are_all_pairs(spark, monkeypatch, slice_):
+    monkeypatch.setattr(title_join, "SLICE", slice_)
+    rng = random.Random(slice_)
+    titles = ["".join(rng.choice("abcde ") for _ in range(rng.randint(8, 40))) for _ in range(25)]
+    for t in list(titles):
+        for _ in range(3):
+            at = rng.randrange(len(t))
+            t = t[:at] + rng.choice(["", "q", "qq"]) + t[at + rng.randint(0, 2) :]
+            titles.append(t)
+    works = works_of(spark, titles, [2000 + i % 3 for i in range(len(titles))])
+    rows = {(r["norm"], r["year"]): r for r in sorted(dedup._prepared(works).collect(), key=lambda r: -r["seq"]) if r["norm"]}.values()
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a["seq"] < b["seq"] and abs(a["year"] - b["year"]) <= 1:
+                longest = max(len(a["norm"]), len(b["norm"]))
+                if 1 - kernels.prefix_distances(a["norm"], b["norm"])[-1] / longest > L.HIERARCHY_SIMILARITY:
+                    want.add((a["id"], b["id"]))
+    got = [tuple(r) for r in dedup.title_lev_pairs(works).collect()]
+    assert set(got) == want and len(got) == len(want) and want
 
 
 def test_shadow_pairs_need_a_second_signal(spark):
     a, b = "dry eye outcomes in older adults", "dry eye outcomes in young drivers x"
     similarity = kernels.jaro_winkler_score(a, b)
     assert L.GREY_SIMILARITY <= similarity < L.MERGE_SIMILARITY
-    near = dedup.similar_pairs(works_of(spark, [a, b], [2020, 2021], ["Lee, A", "Kim, B"]), exhaustive=True)
+    near = dedup.similar_pairs(works_of(spark, [a, b], [2020, 2021], ["Lee, A", "Kim, B"]))
     assert dedup.shadow_pairs(works_of(spark, [a, b], [2020, 2021], ["Lee, A", "Kim, B"]), near).count() == 0
     same = works_of(spark, [a, b], [2020, 2021])
-    rows = dedup.shadow_pairs(same, dedup.similar_pairs(same, exhaustive=True)).collect()
+    rows = dedup.shadow_pairs(same, dedup.similar_pairs(same)).collect()
     assert rows[0]["reasons"] == [f"title_similarity_{similarity:.3f}", "author_match"]
 
 
