@@ -89,14 +89,14 @@ jw_sized AS (
   SELECT a AS s FROM jw_sized UNION SELECT b FROM jw_sized
 ), jw_places AS (
   SELECT s, ch, list(i ORDER BY i) AS places FROM (SELECT s, i, substr(s, i, 1) AS ch FROM (SELECT s, unnest(range(1, length(s) + 1)) AS i FROM jw_strings)) GROUP BY s, ch
-), jw_steps AS (
+), jw_steps AS MATERIALIZED (
   SELECT p.x, p.y, l.ch, l.places AS ia, r.places AS ib, list_transform(l.places, lambda i: struct_pack(
            low := CAST(len(list_filter(r.places, lambda j: j < i - p.reach)) AS BIGINT), up := CAST(len(list_filter(r.places, lambda j: j <= i + p.reach)) AS BIGINT))) AS steps
   FROM jw_sized p JOIN jw_places l ON l.s = p.a JOIN jw_places r ON r.s = p.b AND r.ch = l.ch WHERE p.reach >= 0
 ), jw_walked AS (
-  SELECT x, y, ch, ia[k] AS i, ib, steps[k].up AS up,
-         greatest(list_reduce(steps[1:k - 1], lambda q, e: least(greatest(q, e.low) + 1, e.up), 0::BIGINT), steps[k].low) AS q
-  FROM (SELECT *, unnest(range(1, len(steps) + 1)) AS k FROM jw_steps)
+  SELECT x, y, ch, ib, unnest(ia) AS i, unnest(list_transform(steps, lambda e: e.up)) AS up,
+         unnest(list_transform(range(1, len(steps) + 1), lambda k: greatest(qs[k], steps[k].low))) AS q
+  FROM (SELECT *, list_reduce(steps, lambda qs, e: list_append(qs, least(greatest(qs[-1], e.low) + 1, e.up)), [0::BIGINT]) AS qs FROM jw_steps)
 ), jw_met AS (
   SELECT x, y, ch, i, ib[q + 1] AS j FROM jw_walked WHERE q < up
 ), jw_ranked AS (
@@ -106,7 +106,7 @@ jw_sized AS (
 ), jw_jaro AS (
   SELECT p.*, CASE WHEN m > 0 THEN (m::DOUBLE / na + m::DOUBLE / nb + (m - swapped / 2.0::DOUBLE) / m) / 3 ELSE 0.0 END AS jaro
   FROM jw_sized p LEFT JOIN jw_swaps s ON p.x = s.x AND p.y = s.y
-), jw AS (
+), jw AS MATERIALIZED (
   SELECT x, y, CASE WHEN a = b THEN 1.0::DOUBLE WHEN jaro = 0 THEN 0.0 ELSE jaro + shared * 0.1::DOUBLE * (1 - jaro) END AS similarity FROM jw_jaro
 )"""
 
@@ -142,7 +142,7 @@ shares AS (SELECT x, y, sum(least(l.n, r.n)) AS common FROM near JOIN tally l ON
 hopeful AS (SELECT near.* FROM near JOIN shares ON near.x = shares.x AND near.y = shares.y WHERE common::DOUBLE / length(a) + common::DOUBLE / length(b) >=
   CASE WHEN left(a, 1) <> left(b, 1) THEN {bound(0)} WHEN left(a, 2) <> left(b, 2) THEN {bound(1)} WHEN left(a, 3) <> left(b, 3) THEN {bound(2)} WHEN left(a, 4) <> left(b, 4) THEN {bound(3)} ELSE {bound(4)} END),
 {_sql_jaro_winkler('hopeful')},
-alike AS (SELECT x AS left_id, y AS right_id, a.seq AS left_seq, b.seq AS right_seq, a.year = b.year AS year_match, a.author <> '' AND a.author = b.author AS author_match,
+alike AS MATERIALIZED (SELECT x AS left_id, y AS right_id, a.seq AS left_seq, b.seq AS right_seq, a.year = b.year AS year_match, a.author <> '' AND a.author = b.author AS author_match,
   a.norm <> b.norm AND ((len(a.geo) > 0 AND len(b.geo) > 0 AND NOT list_has_any(a.geo, b.geo)) OR (len(a.method) > 0 AND len(b.method) > 0 AND NOT list_has_any(a.method, b.method))
   OR (len(a.diagnostic) > 0 AND len(b.diagnostic) > 0 AND NOT list_has_any(a.diagnostic, b.diagnostic))) AS conflict, similarity
   FROM jw JOIN firsts a ON a.id = x JOIN firsts b ON b.id = y WHERE similarity >= {floor})"""
@@ -150,7 +150,7 @@ alike AS (SELECT x AS left_id, y AS right_id, a.seq AS left_seq, b.seq AS right_
 
 #: CTEs up to `fallen` (the ids in `gone`): row by row, a work falls if an earlier one that stands is its duplicate.
 _SQL_GREEDY = f"""duplicates AS (SELECT left_id, right_id, left_seq, right_seq FROM alike WHERE similarity >= {L.MERGE_SIMILARITY} AND NOT conflict),
-queue AS (SELECT right_id, list(left_id) AS before, row_number() OVER (ORDER BY right_seq, right_id) AS turn FROM duplicates GROUP BY right_id, right_seq),
+queue AS MATERIALIZED (SELECT right_id, list(left_id) AS before, row_number() OVER (ORDER BY right_seq, right_id) AS turn FROM duplicates GROUP BY right_id, right_seq),
 loop AS (SELECT 0::BIGINT AS turn, []::BIGINT[] AS gone UNION ALL
   SELECT l.turn + 1, CASE WHEN len(list_filter(q.before, lambda i: NOT list_contains(l.gone, i))) > 0 THEN list_append(l.gone, q.right_id) ELSE l.gone END
   FROM loop l JOIN queue q ON q.turn = l.turn + 1),
