@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lookups as L
+from ..session import cut_lineage
 from .windows import first_per_key, one_per_key
 
 
@@ -15,20 +16,84 @@ def step_allowed(old: Column, new: Column) -> Column:
     return old.isNull() | (old == new) | F.array_contains(step, F.concat(old, F.lit(">"), new))
 
 
-def upsert_state(ledger: DataFrame, updates: DataFrame, key: str = "uuid") -> tuple[DataFrame, DataFrame]:
-    """(new ledger, rejected updates). A null in an update leaves the field as it is.
+#: Updates of a key that are folded at a time.
+FOLD = 256
+
 
-    Of several updates of one key in a batch the least counts.
+def _step(states: list[str]) -> Column:
+    """Flat table [state now, state wanted] -> state then, or -1 where the step is refused.
+
+    0 is a row that does not exist, len(states) + 1 any state not in `states`; as a wish, 0 keeps the state.
     """
-    fields = [c for c in ledger.columns if c not in (key, "state")]
-    new = updates.select(F.col(key), F.col("state").alias("_state"), *[F.col(c).alias(f"_{c}") for c in fields if c in updates.columns])
-    joined = ledger.join(one_per_key(new, key).withColumn("_given", F.lit(True)), key, "full_outer").withColumn(
-        "_ok", F.col("_given").isNotNull() & step_allowed(F.col("state"), F.col("_state"))
+    n = len(states) + 2
+    allowed = {(states.index(a) + 1, states.index(b) + 1) for a, b in L.LEDGER_STEPS}
+    then = lambda now, want: (
+        (now or -1) if want == 0 else -1 if want == n - 1 else want if now in (0, want) or (now, want) in allowed else -1
     )
-    take = lambda c: F.when(F.col("_ok") & F.col(f"_{c}").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
-    kept = joined.filter("state IS NOT NULL OR _ok")
-    merged = kept.select(key, take("state"), *[take(c) if c in updates.columns else F.col(c) for c in fields])
-    rejected = joined.filter("_given AND NOT _ok").select(key, F.col("state").alias("current_state"), F.col("_state").alias("wanted_state"))
+    return F.array(*[F.lit(then(now, want)) for now in range(n) for want in range(n)])
+
+
+def _code(state: Column, states: list[str]) -> Column:
+    known = F.create_map(*[x for i, s in enumerate(states) for x in (F.lit(s), F.lit(i + 1))])
+    return F.when(state.isNull(), 0).otherwise(F.coalesce(known[state], F.lit(len(states) + 1)))
+
+
+def fold_updates(ledger: DataFrame, updates: DataFrame, key: str = "uuid", order: list[str] | None = None) -> DataFrame:
+    """`updates` with `applied` and `state_before`, each judged on the state that the earlier ones of its key left.
+
+    The updates of a key are cut, in `order`, into runs of FOLD. A run is first reduced to its effect on
+    every state, those effects are chained per key, and then every run is judged from
+    the state it begins with; so a key with most of the updates is spread over many tasks.
+    """
+    states = sorted({x for step in L.LEDGER_STEPS for x in step})
+    n, table = len(states) + 2, _step(states)
+    order = order or sorted(c for c in updates.columns if c != key)
+    sort = [F.col(c).asc_nulls_first() for c in order]
+    named = updates.filter(F.col(key).isNotNull()).withColumn("_row", F.struct(*updates.columns)).withColumn("_want", _code(F.col("state"), states))
+    ranged = cut_lineage(named.repartitionByRange(F.col(key), *sort).withColumn("_part", F.spark_partition_id()))
+    local = Window.partitionBy(key, "_part").orderBy(*sort)
+    numbered = ranged.withColumn("_no", F.row_number().over(local)).withColumn("_run", ((F.col("_no") - 1) / FOLD).cast("int"))
+    runs = numbered.groupBy(key, "_part", "_run").agg(F.sort_array(F.collect_list(F.struct("_no", "_want", "_row"))).alias("_updates"))
+    runs = cut_lineage(runs)
+    then = lambda now, want: F.element_at(table, now * n + want + 1)
+    move = lambda now, u: F.when(then(now, u["_want"]) >= 0, then(now, u["_want"])).otherwise(now)
+    effect = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda start: F.aggregate("_updates", start, move))
+    chained = runs.select(key, "_part", "_run", effect.alias("_effect")).groupBy(key).agg(
+        F.sort_array(F.collect_list(F.struct("_part", "_run", "_effect"))).alias("_chain")
+    )
+    begin = ledger.filter(F.col(key).isNotNull()).select(key, _code(F.col("state"), states).alias("_now"))
+    walked = chained.join(begin, key, "left").withColumn("_now", F.coalesce("_now", F.lit(0)))
+    first = F.struct(F.col("_now").alias("now"), F.array().cast("array<int>").alias("starts"))
+    walk = F.aggregate("_chain", first, lambda w, r: F.struct(F.element_at(r["_effect"], w["now"] + 1).alias("now"), F.concat(w["starts"], F.array(w["now"])).alias("starts")))
+    starts = walked.select(key, F.explode(F.arrays_zip(F.col("_chain"), walk["starts"].alias("start"))).alias("z"))
+    starts = starts.select(key, F.col("z._chain._part").alias("_part"), F.col("z._chain._run").alias("_run"), F.col("z.start").alias("_start"))
+    zero = F.struct(F.col("_start").alias("now"), F.array().cast("array<struct<before:int,applied:boolean>>").alias("seen"))
+    judge = F.aggregate("_updates", zero, lambda w, u: F.struct(
+        move(w["now"], u).alias("now"), F.concat(w["seen"], F.array(F.struct(w["now"].alias("before"), (then(w["now"], u["_want"]) >= 0).alias("applied")))).alias("seen"),
+    ))
+    judged = runs.join(starts, [key, "_part", "_run"]).select(F.explode(F.arrays_zip(F.col("_updates"), judge["seen"].alias("seen"))).alias("z"))
+    names = F.array(F.lit(None).cast("string"), *[F.lit(s) for s in states], F.lit(None).cast("string"))
+    return judged.select("z._updates._row.*", F.element_at(names, F.col("z.seen.before") + 1).alias("state_before"), F.col("z.seen.applied").alias("applied"))
+
+
+def upsert_state(ledger: DataFrame, updates: DataFrame, key: str = "uuid", order: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(new ledger, rejected updates). A null in an update leaves the field as it is.
+
+    Updates of one key are applied one after the other in `order` (by default that of their
+    values); each that would be an illegal step is refused and reported, and the next one
+    is judged on the state left. Of a field, the last applied value stays. A key the ledger has
+    several times is updated in all its rows, from the least of their states. Updates without a key are left out.
+    """
+    fields = [c for c in ledger.columns if c not in (key, "state") and c in updates.columns]
+    held = one_per_key(ledger.select(key, "state"), key)
+    judged = cut_lineage(fold_updates(held, updates, key, order))
+    order = order or sorted(c for c in updates.columns if c != key)
+    last = lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.struct(*[F.col(o) for o in order]))).alias(f"_{c}")
+    applied = judged.filter("applied").groupBy(key).agg(*[last(c) for c in ["state", *fields]])
+    joined = ledger.join(applied, key, "full_outer")
+    take = lambda c: F.coalesce(f"_{c}", c).alias(c)
+    merged = joined.select(key, take("state"), *[take(c) if c in fields else F.col(c) for c in ledger.columns if c not in (key, "state")])
+    rejected = judged.filter("NOT applied").select(key, F.col("state_before").alias("current_state"), F.col("state").alias("wanted_state"))
     return merged, rejected
 
 

@@ -672,6 +672,32 @@ def _(t):
     return new.join(marks, "uuid", "left").withColumn("refused", F.coalesce("refused", F.lit(False)))
 
 
+#: Up to five updates of a job, in order, over a ledger that has some of them.
+_BATCH = """SELECT concat('u', CAST(user_id % 40 AS STRING)) AS uuid, event_id AS no,
+ CASE event_type WHEN 'signup' THEN 'DISCOVERED' WHEN 'view' THEN 'FETCHED' WHEN 'click' THEN 'DIFFED' WHEN 'purchase' THEN 'APPROVED' WHEN 'error' THEN 'PATCHED' END AS state,
+ CASE WHEN event_id % 3 = 0 THEN concat('title ', CAST(event_id AS STRING)) END AS title_lib FROM events"""
+_HELD = "SELECT concat('u', CAST(uuid AS STRING)) AS uuid, state, title_lib FROM ledger WHERE uuid % 3 <> 1"
+
+
+@query(
+    "upsert_batch",
+    f"""WITH u AS ({_BATCH}), h AS ({_HELD}), n AS (SELECT *, row_number() OVER (PARTITION BY uuid ORDER BY no) AS turn FROM u),
+step AS (SELECT k.uuid, 0::BIGINT AS turn, h.state, h.title_lib, NULL::BIGINT AS no, NULL::BOOLEAN AS applied, NULL::VARCHAR AS was FROM (SELECT DISTINCT uuid FROM u) k LEFT JOIN h ON h.uuid = k.uuid
+  UNION ALL SELECT l.uuid, u.turn, CASE WHEN ok THEN coalesce(u.state, l.state) ELSE l.state END, CASE WHEN ok THEN coalesce(u.title_lib, l.title_lib) ELSE l.title_lib END, u.no, ok, l.state
+  FROM (SELECT l.*, n.turn AS next, n.state AS wish, n.title_lib AS given, n.no AS own,
+          CASE WHEN n.state IS NULL THEN l.state IS NOT NULL ELSE l.state IS NULL OR l.state = n.state OR concat(l.state, '>', n.state) IN ({", ".join(lit(f"{a}>{b}") for a, b in L.LEDGER_STEPS)}) END AS ok
+        FROM step l JOIN n ON n.uuid = l.uuid AND n.turn = l.turn + 1) l, LATERAL (SELECT l.next AS turn, l.wish AS state, l.given AS title_lib, l.own AS no) u),
+ends AS (SELECT uuid, arg_max(struct_pack(s := state, t := title_lib), turn) AS e, count_if(NOT applied) AS n_refused FROM step GROUP BY uuid)
+SELECT coalesce(h.uuid, e.uuid) AS uuid, CASE WHEN e.uuid IS NULL THEN h.state ELSE e.e.s END AS state, CASE WHEN e.uuid IS NULL THEN h.title_lib ELSE e.e.t END AS title_lib, CAST(coalesce(n_refused, 0) AS BIGINT) AS n_refused
+FROM h FULL JOIN ends e ON h.uuid = e.uuid""",
+)
+def _(t):
+    """Many updates of a key in one batch, applied one after the other."""
+    new, refused = ledger_ops.upsert_state(t.sql(_HELD), t.sql(_BATCH), order=["no"])
+    counts = refused.groupBy("uuid").agg(F.count("*").alias("n_refused"))
+    return new.join(counts, "uuid", "left").withColumn("n_refused", F.coalesce("n_refused", F.lit(0)).cast("long"))
+
+
 @query("override_lock", "SELECT uuid, last_modified > CAST('2024-01-15' AS DATE) - 180 AS locked FROM ledger")
 def _(t):
     return ledger_ops.override_lock(t.ledger, "2024-01-15 00:00:00").select("uuid", "locked")

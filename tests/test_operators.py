@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from gleanery import lookups as L
 from gleanery.functions import kernels, text
-from gleanery.operators import dedup, filters, jobs, joins, layout, textops, title_join, windows
+from gleanery.operators import dedup, filters, jobs, joins, layout, ledger, textops, title_join, windows
 from gleanery.operators.components import connected_components
 from gleanery.plans.fixtures import Tables
 from gleanery.sources import readers, writers
@@ -246,3 +246,27 @@ def test_quarantine_takes_a_list_of_any_length(spark):
     assert [r["id"] for r in clean.collect()] == [4]
     assert sorted((r["matched_field"], r["doi"]) for r in log.collect() if r["doi"]) == [("host", "10.5/x"), ("host", "10.5/x"), ("issn", "10.9/x")]
     assert log.filter("confidence = 0.95").count() == 0
+
+
+@pytest.mark.parametrize("fold", [2, 256])
+def test_updates_of_a_batch_are_applied_one_after_the_other(spark, monkeypatch, fold):
+    monkeypatch.setattr(ledger, "FOLD", fold)
+    rng = random.Random(fold)
+    wishes = [*L.LEDGER_STATES, None, "ODD"]
+    held = {"a": ("DISCOVERED", "t"), "b": ("PATCHED", None), "c": ("ODD", "x"), "h": ("DISCOVERED", "h")}
+    updates = [("a", 1, "FETCHED", None), ("a", 2, "DIFFED", "new"), ("a", 3, "FETCHED", "no"), ("q", 1, None, "x"), ("c", 1, None, "y"), ("c", 2, "FETCHED", "z"), (None, 1, "FETCHED", "z")]
+    updates += [("h", i, rng.choice(wishes[:3]), f"h{i}" if rng.random() < 0.3 else None) for i in range(40)]
+    updates += [(f"n{i % 5}", i, rng.choice(wishes), rng.choice([None, f"v{i}"])) for i in range(60)]
+    state, refused = dict(held), []
+    for key, _no, want, title in sorted((u for u in updates if u[0]), key=lambda u: (u[0], u[1])):
+        now, old = state.get(key, (None, None))
+        ok = now is not None if want is None else want in L.LEDGER_STATES and (now is None or now == want or (now, want) in L.LEDGER_STEPS)
+        if ok:
+            state[key] = (want or now, old if title is None else title)
+        else:
+            refused.append((key, now if now in L.LEDGER_STATES else None, want))
+    table = spark.createDataFrame([(k, *v) for k, v in held.items()], "uuid string, state string, title_lib string")
+    batch = spark.createDataFrame(updates, "uuid string, no int, state string, title_lib string").repartition(4)
+    new, rejected = ledger.upsert_state(table, batch, order=["no"])
+    assert {r["uuid"]: (r["state"], r["title_lib"]) for r in new.collect()} == state and state["a"] == ("DIFFED", "new")
+    assert sorted(map(tuple, rejected.collect()), key=repr) == sorted(refused, key=repr)
