@@ -9,7 +9,7 @@ from ..functions import text
 from ..functions.breaker import Breaker
 from ..operators import filters, jobs, layout, ledger as ledger_ops, metrics, windows
 from ..streaming import drive, processors
-from .registry import lit, query, sql_doi, sql_hash, sql_map
+from .registry import lit, query, sql_doi, sql_hash, sql_map, sql_title
 from .records import md5
 
 # --- Event logs ------------------------------------------------------------------------
@@ -232,6 +232,21 @@ def _(t):
     return drive.run(t, "events", lambda s: processors.minute_counts_stream(t.over("usage", s)), "Update", latest=["api_key", "start_s"])
 
 
+@query(
+    "stream_late",
+    """WITH h AS (SELECT b.n AS batch, max(e.ts) AS high FROM (SELECT unnest([1, 2]) AS n) b JOIN events e ON e.event_id % 3 < b.n GROUP BY b.n)
+SELECT event_id, event_id % 3 AS batch, coalesce(CAST(ts AS TIMESTAMP) < CAST(high AS TIMESTAMP) - INTERVAL 864000 SECOND, false) AS late FROM events LEFT JOIN h ON batch = event_id % 3""",
+)
+def _(t):
+    """The log as three shuffled files: what comes more than ten days behind goes to the late table."""
+    base = drive.new_base(t.spark)
+    for k in range(3):
+        t.events.filter(F.pmod("event_id", F.lit(3)) == k).coalesce(1).write.parquet(f"{base}/log/{k}")
+    on_time, late = drive.run_split(t, "events", lambda s: s.select("event_id", F.col("ts").cast("timestamp").alias("ts")), 10 * 86400, folder=f"{base}/log/*", files=1)
+    both = on_time.withColumn("late", F.lit(False)).unionByName(late.withColumn("late", F.lit(True)))
+    return both.select("event_id", "batch", "late")
+
+
 @query(
     "stream_dead_letter",
     """SELECT job_id, CAST(rn AS BIGINT) AS failures FROM (SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY ts, event_id) AS rn FROM jobs WHERE status = 'failed') WHERE rn >= 2""",
@@ -265,7 +280,7 @@ def _(t):
 
 @query(
     "stream_dedup",
-    f"""SELECT work_id FROM (SELECT *, row_number() OVER (PARTITION BY {sql_hash()} ORDER BY seq) AS hash_no FROM (
+    f"""SELECT work_id FROM (SELECT *, row_number() OVER (PARTITION BY CASE WHEN {sql_title('title')} <> '' THEN {sql_hash()} ELSE concat('own:', CAST(work_id AS STRING)) END ORDER BY seq) AS hash_no FROM (
   SELECT *, row_number() OVER (PARTITION BY coalesce(nullif({sql_doi('doi')}, ''), concat('own:', CAST(work_id AS STRING))) ORDER BY seq) AS doi_no FROM works) WHERE doi_no = 1) WHERE hash_no = 1""",
 )
 def _(t):

@@ -1,7 +1,7 @@
 """Stateful operators over live logs. Each has a batch twin in `operators.jobs`.
 
 Rows of one key arrive in time order within a micro-batch group after sorting;
-events later than the watermark go to a late table (`split_late`).
+events later than the watermark go to a late table (`drive.run_split`).
 """
 
 from __future__ import annotations
@@ -334,9 +334,3 @@ def phase_durations_stream(events: DataFrame) -> DataFrame:
         outputMode="Append",
         timeMode="None",
     )
-
-
-def split_late(batch: DataFrame, high_ts: str, delay_s: int, ts: str = "ts") -> tuple[DataFrame, DataFrame]:
-    """(on time, late) rows against the highest time seen so far; use it in foreachBatch."""
-    limit = F.lit(high_ts).cast("timestamp") - F.make_dt_interval(secs=F.lit(delay_s))
-    return batch.filter(F.col(ts) >= limit), batch.filter(F.col(ts) < limit)

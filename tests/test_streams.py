@@ -55,10 +55,26 @@ def test_admission_counts_only_admitted_requests():
     ]
 
 
-def test_late_rows_are_kept_apart(spark):
-    rows = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (2, "2024-01-01 00:20:00")], "id int, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
-    good, late = processors.split_late(rows, "2024-01-01 00:25:00", 600)
-    assert [r["id"] for r in good.collect()] == [2] and [r["id"] for r in late.collect()] == [1]
+def test_late_rows_are_kept_apart(spark, tmp_path):
+    """Three files out of order: late rows are those behind the files before, and none is lost."""
+    files = [[(1, 100), (2, 500)], [(3, 450), (4, 399), (5, 2000), (6, None)], [(7, 1000), (8, 1900), (9, 5000)]]
+    for n, rows in enumerate(files):
+        made = spark.createDataFrame(rows, "event_id int, s long").select("event_id", F.timestamp_seconds("s").alias("ts"))
+        made.coalesce(1).write.parquet(f"{tmp_path}/log/{n}")
+    on_time, late = drive.run_split(SimpleNamespace(spark=spark), "log", lambda s: s, 100, folder=f"{tmp_path}/log/*", files=1)
+    assert sorted((r["event_id"], r["batch"]) for r in late.collect()) == [(4, 1), (7, 2)]
+    assert sorted((r["event_id"], r["batch"]) for r in on_time.collect()) == [(1, 0), (2, 0), (3, 1), (5, 1), (6, 1), (8, 2), (9, 2)]
+
+
+def test_a_batch_run_again_replaces_its_rows(spark, tmp_path):
+    split = drive.LateSplit(spark, str(tmp_path), 10, "ts")
+    batch = lambda *s: spark.createDataFrame([(x,) for x in s], "s long").select(F.timestamp_seconds("s").alias("ts"))
+    split(batch(100, 200), 0)
+    for _ in range(2):  # the second time as after a failure
+        split(batch(185, 195, 900), 1)
+    split(batch(195, 895), 2)
+    rows = split.rows(batch(1).schema).select(F.unix_seconds("ts").alias("s"), "late", "batch").collect()
+    assert sorted((r["batch"], r["s"], r["late"]) for r in rows) == [(0, 100, False), (0, 200, False), (1, 185, True), (1, 195, False), (1, 900, False), (2, 195, True), (2, 895, False)]
 
 
 def test_dedup_stream_keeps_works_without_a_title(spark, tmp_path):
