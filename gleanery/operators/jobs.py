@@ -119,6 +119,37 @@ def circuit_health(calls: DataFrame, rule: Breaker = Breaker(), chunk_s: int = 3
 # --- Jobs ----------------------------------------------------------------------------
 
 
+def dead_letter_queue(events: DataFrame, limit: int = L.MAX_FAILURES, ttl_days: int = 7, delay_ms: int = 0) -> DataFrame:
+    """Dead-letter rows of a closed log, as `dead_letter_queue_stream` emits them.
+
+    events: job_id, event_id, ts, kind (failure | phase | retry), phase, size, ms, error. A job starts anew after a
+    retry and after `ttl_days` of quiet. Every failure at or over the limit is `dead`, with what was
+    done until then; what ends by quiet, or is as old at the end of the log, is `expired`.
+    """
+    ttl = ttl_days * 86_400_000
+    at = Window.partitionBy("job_id").orderBy("t", "event_id")
+    end = events.agg((F.max(F.unix_millis("ts")) - delay_ms).alias("_end"))
+    timed = events.withColumn("t", F.unix_millis("ts")).filter("t IS NOT NULL")
+    gap = F.col("t") - F.lag("t").over(at) > ttl
+    marked = timed.withColumn("_new", (F.lag("kind").over(at).isNull() | (F.lag("kind").over(at) == "retry") | gap).cast("int"))
+    marked = marked.withColumn("_next_t", F.lead("t").over(at)).withColumn("_stretch", F.sum("_new").over(at.rowsBetween(Window.unboundedPreceding, 0)))
+    run = Window.partitionBy("job_id", "_stretch").orderBy("t", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    seen = Window.partitionBy("job_id", "_stretch", "kind", "phase").orderBy("t", "event_id")
+    fresh = ((F.col("kind") == "phase") & F.col("phase").isNotNull() & (F.row_number().over(seen) == 1)).cast("int")
+    told = marked.filter("kind <> 'retry'").withColumn("_fresh", fresh)
+    told = told.select(
+        "job_id", "kind", "t", "_next_t", F.sum((F.col("kind") == "failure").cast("long")).over(run).alias("failures"),
+        F.min(F.when(F.col("kind") == "failure", F.col("t"))).over(run).alias("first_t"), F.sum("_fresh").over(run).cast("long").alias("phases_completed"),
+        F.coalesce(F.max("size").over(run), F.lit(0)).cast("long").alias("size"),
+        F.sum(F.when(F.col("kind") == "phase", F.coalesce("ms", F.lit(0.0))).otherwise(0.0)).over(run).alias("total_ms"), F.col("error").alias("last_error"),
+    ).filter(F.col("failures") >= limit)
+    numbers = ["failures", "first_t", "phases_completed", "size", "total_ms"]
+    dead = told.filter("kind = 'failure'").select("job_id", F.lit("dead").alias("kind"), "t", *numbers, "last_error")
+    quiet = told.filter((F.col("_next_t") - F.col("t") > ttl) | (F.col("_next_t").isNull() & (F.col("t") + ttl < end.scalar())))
+    expired = quiet.select("job_id", F.lit("expired").alias("kind"), (F.col("t") + ttl).alias("t"), *numbers, F.lit(None).cast("string").alias("last_error"))
+    return dead.unionByName(expired)
+
+
 def dead_letter(failures: DataFrame, retries: DataFrame | None = None, limit: int = L.MAX_FAILURES, ttl_days: int = 7) -> DataFrame:
     """Jobs with at least `limit` failures: count, first and last failure, last error.
 

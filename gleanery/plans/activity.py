@@ -232,6 +232,36 @@ def _(t):
     return drive.run(t, "events", lambda s: processors.minute_counts_stream(t.over("usage", s)), "Update", latest=["api_key", "start_s"])
 
 
+#: A job's failures, finished phases and retries, with a file size.
+_QUEUE = """SELECT job_id, event_id, ts, CASE status WHEN 'failed' THEN 'failure' WHEN 'phase_end' THEN 'phase' ELSE 'retry' END AS kind, phase, event_id % 1000 AS size, duration_ms AS ms, phase AS error
+FROM jobs WHERE status IN ('failed', 'phase_end') OR (status = 'processing' AND event_id % 2 = 0)"""
+_SQL_QUEUE = f"""WITH q AS ({_QUEUE}), o AS (SELECT *, epoch_us(ts) // 1000 AS t, lag(kind) OVER w AS pk, lag(ts) OVER w AS pt, lead(ts) OVER w AS nt FROM q WINDOW w AS (PARTITION BY job_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CASE WHEN pk IS NULL OR pk = 'retry' OR t - epoch_us(pt) // 1000 > 4 * 86400000 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stretch FROM o),
+r AS (SELECT a.job_id, a.kind, a.t, epoch_us(any_value(a.nt)) // 1000 AS nt, a.error, a.event_id, count_if(b.kind = 'failure') AS failures, min(b.t) FILTER (WHERE b.kind = 'failure') AS first_t, count(DISTINCT b.phase) FILTER (WHERE b.kind = 'phase') AS phases_completed,
+  max(b.size) AS size, coalesce(sum(b.ms) FILTER (WHERE b.kind = 'phase'), 0) AS total_ms FROM s a JOIN s b ON a.job_id = b.job_id AND a.stretch = b.stretch AND (b.t < a.t OR (b.t = a.t AND b.event_id <= a.event_id))
+  WHERE a.kind <> 'retry' AND b.kind <> 'retry' GROUP BY a.job_id, a.kind, a.t, a.error, a.event_id HAVING count_if(b.kind = 'failure') >= 2)
+SELECT job_id, 'dead' AS kind, t, CAST(failures AS BIGINT) AS failures, first_t, phases_completed, size, total_ms, error AS last_error FROM r WHERE kind = 'failure'
+UNION ALL SELECT job_id, 'expired', t + 4 * 86400000, CAST(failures AS BIGINT), first_t, phases_completed, size, total_ms, NULL FROM r WHERE nt - t > 4 * 86400000 OR (nt IS NULL AND t + 4 * 86400000 < (SELECT max(epoch_us(ts) // 1000) FROM q))"""
+
+
+@query("dead_letter_queue", _SQL_QUEUE)
+def _(t):
+    return jobs.dead_letter_queue(t.sql(_QUEUE), limit=2, ttl_days=4)
+
+
+@query("stream_dead_letter_queue", _SQL_QUEUE)
+def _(t):
+    """The same rows from the log as a stream; quiet jobs are forgotten by event-time timers."""
+    build = lambda s: processors.dead_letter_queue_stream(_queue(t.over("jobs", s)), limit=2, ttl_days=4)
+    return drive.run(t, "events", build, "Update")
+
+
+def _queue(rows):
+    kind = F.when(F.col("status") == "failed", "failure").when(F.col("status") == "phase_end", "phase").otherwise("retry")
+    wanted = rows.filter("status IN ('failed', 'phase_end') OR (status = 'processing' AND event_id % 2 = 0)")
+    return wanted.select("job_id", "event_id", "ts", kind.alias("kind"), "phase", (F.col("event_id") % 1000).alias("size"), F.col("duration_ms").alias("ms"), F.col("phase").alias("error"))
+
+
 @query(
     "stream_late",
     """WITH h AS (SELECT b.n AS batch, max(e.ts) AS high FROM (SELECT unnest([1, 2]) AS n) b JOIN events e ON e.event_id % 3 < b.n GROUP BY b.n)

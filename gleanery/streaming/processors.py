@@ -117,6 +117,97 @@ def dead_letter_stream(events: DataFrame, limit: int = L.MAX_FAILURES, ttl_days:
     )
 
 
+class DeadLetterQueueProcessor(StatefulProcessor):
+    """A job's failures, finished phases, size and time; an event-time timer forgets it when it has been quiet for the time to live.
+
+    Emits `dead` for every failure at or over the limit, and `expired` for an entry that
+    ends by quiet. Time is that of the log: the watermark fires the timers, so state is freed
+    without a wall clock.
+    """
+
+    FIELDS = "n long, first_t long, last_t long, phases array<string>, size long, total_ms double"
+
+    def __init__(self, limit: int, ttl_ms: int):
+        self.limit, self.ttl_ms = limit, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("entry", self.FIELDS)
+
+    def _row(self, job: str, kind: str, t: int, held: tuple, error) -> tuple:
+        n, first, _last, phases, size, total = held
+        return job, kind, int(t), int(n), int(first) if n else None, len(phases), int(size), float(total), error
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in DEAD_LETTERS.split(", ")])
+
+    def handleInputRows(self, key, rows, timer_values) -> Iterator[pd.DataFrame]:
+        pdf = _ordered(rows, ["t", "event_id"])
+        if pdf is None:
+            return
+        empty = (0, 0, None, [], 0, 0.0)
+        before = tuple(self.state.get()) if self.state.exists() else empty
+        held, out = before, []
+        for t, kind, phase, size, ms, error in zip(pdf["t"], pdf["kind"], pdf["phase"], pdf["size"], pdf["ms"], pdf["error"]):
+            n, first, last, phases, most, total = held
+            if last is not None and t - last > self.ttl_ms:
+                if n >= self.limit:
+                    out.append(self._row(key[0], "expired", last + self.ttl_ms, held, None))
+                n, first, last, phases, most, total = empty
+            if kind == "retry":
+                held = empty
+                continue
+            if kind == "phase":
+                phases = list(phases) if phase in phases or phase is None else [*phases, phase]
+                total += 0.0 if pd.isna(ms) else float(ms)
+            else:
+                first, n = int(t) if n == 0 else first, n + 1
+            held = (n, first, int(t), list(phases), most if pd.isna(size) else max(int(most), int(size)), total)
+            if kind == "failure" and n >= self.limit:
+                out.append(self._row(key[0], "dead", t, held, error))
+        if held[2] != before[2]:
+            if before[2] is not None:
+                self.handle.deleteTimer(before[2] + self.ttl_ms)
+            if held[2] is not None:
+                self.handle.registerTimer(held[2] + self.ttl_ms)
+        if held[2] is None:
+            self.state.clear()
+        else:
+            self.state.update(held)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():
+            yield self._frame([])
+            return
+        held = tuple(self.state.get())
+        over = held[2] is not None and held[2] + self.ttl_ms == expiredTimerInfo.getExpiryTimeInMs()
+        if over:
+            self.state.clear()
+        yield self._frame([self._row(key[0], "expired", held[2] + self.ttl_ms, held, None)] if over and held[0] >= self.limit else [])
+
+    def close(self) -> None:
+        pass
+
+
+DEAD_LETTERS = "job_id string, kind string, t long, failures long, first_t long, phases_completed long, size long, total_ms double, last_error string"
+
+
+def dead_letter_queue_stream(events: DataFrame, limit: int = L.MAX_FAILURES, ttl_days: int = 7, delay: str = "0 seconds") -> DataFrame:
+    """events: job_id, event_id, ts, kind (failure | phase | retry), phase, size, ms, error.
+
+    A retry clears the job. Rows more than `delay` behind the log are left out by the watermark;
+    `drive.run_split` keeps them in a table of their own.
+    """
+    rows = events.withWatermark("ts", delay).select("job_id", "event_id", "ts", F.unix_millis("ts").alias("t"), "kind", "phase", "size", "ms", "error")
+    return rows.groupBy("job_id").transformWithStateInPandas(
+        DeadLetterQueueProcessor(limit, ttl_days * 86_400_000),
+        outputStructType=StructType.fromDDL(DEAD_LETTERS),
+        outputMode="Update",
+        timeMode="EventTime",
+    )
+
+
 class ReplayProcessor(StatefulProcessor):
     """The last n events per job, kept for a time; each batch emits the buffer as it stands."""
 

@@ -86,6 +86,21 @@ def test_dedup_stream_keeps_works_without_a_title(spark, tmp_path):
     assert kept == {0, 1, 2, 3, 4, 6} == {r["work_id"] for r in dedup.dedup_exact(works).collect()}
 
 
+def test_quiet_jobs_are_forgotten(spark, tmp_path):
+    """After the last expiry the state holds only what the end of the log could still bring back."""
+    rows = [("a", 1, 0, "phase", "x"), ("a", 2, 1, "failure", None), ("a", 3, 2, "failure", None), ("b", 4, 2, "failure", None), ("c", 5, 3, "phase", "x"), ("c", 6, 4, "retry", None)]
+    files = [rows[:3], rows[3:], [("d", 7, 40, "phase", "y")]]
+    for n, part in enumerate(files):
+        made = spark.createDataFrame([(j, e, (d + 100) * 86_400, k, p, 5, 1.0, "e") for j, e, d, k, p in part], "job_id string, event_id long, s long, kind string, phase string, size long, ms double, error string")
+        made.withColumn("ts", F.timestamp_seconds("s")).drop("s").coalesce(1).write.parquet(f"{tmp_path}/log/{n}")
+    base, seen = str(tmp_path / "run"), []
+    build = lambda s: processors.dead_letter_queue_stream(s, 2, 7)
+    drive._to_the_end(SimpleNamespace(spark=spark), "log", build, "update", f"{tmp_path}/log/*", 1, base, lambda batch, _n: seen.extend(batch.collect()))
+    assert [(r["job_id"], r["kind"], r["failures"], r["phases_completed"], r["size"], r["total_ms"]) for r in seen] == [("a", "dead", 2, 1, 5, 1.0), ("a", "expired", 2, 1, 5, 1.0)]
+    held = spark.read.format("statestore").option("stateVarName", "entry").load(f"{base}/checkpoint").select("key.job_id").collect()
+    assert [r["job_id"] for r in held] == ["d"]
+
+
 QUERIES, ORACLES = load()
 
 
