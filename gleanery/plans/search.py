@@ -9,7 +9,7 @@ from .. import lookups as L
 from ..functions import scores
 from ..operators import dedup, filters, windows
 from ..session import cut_lineage
-from .aggregates import _DOI_KEY
+from .aggregates import _DOI_KEY, _SQL_GREEDY, _sql_similar
 from .registry import query, sql_hash
 from .selection import NOW, scored, sql_composite, sql_spec, tiered
 
@@ -45,7 +45,13 @@ def _(t):
     return search(t.works)
 
 
-@query("search_deduplicated")
+@query(
+    "search_deduplicated",
+    f"""WITH m AS (SELECT * FROM works WHERE {sql_spec(SPEC)} AND publisher <> 'Sample Bad Press'), a AS (SELECT *, row_number() OVER (PARTITION BY {_DOI_KEY} ORDER BY seq) AS r1 FROM m),
+b AS (SELECT *, row_number() OVER (PARTITION BY {sql_hash()} ORDER BY seq) AS r2 FROM a WHERE r1 = 1 OR {_DOI_KEY} IS NULL), e AS (SELECT * FROM b WHERE r2 = 1), {_sql_similar('e', L.MERGE_SIMILARITY)}, {_SQL_GREEDY},
+u AS (SELECT * FROM e WHERE work_id IN (SELECT id FROM firsts) AND work_id NOT IN (SELECT id FROM fallen)), s AS ({sql_composite('systematic_review', 'u')})
+SELECT work_id, round(score, 3) AS score FROM s ORDER BY s.score DESC, seq LIMIT 100""",
+)
 def _(t):
     """The same search with the fuzzy pass after the exact one."""
     matched = filters.boolean_filter(t.works, SPEC)
