@@ -124,23 +124,64 @@ def _(t):
 # --- Source health ---------------------------------------------------------------------
 
 
-@query("circuit_state")
+def _sql_machine(fail_at: int = 2, open_ms: int = 60_000, close_after: int = 3) -> str:
+    """CTEs up to `changes`, from `health_calls` (source, event_id, ts, ok): the machine walked call by call.
+
+    was, now: failures while closed, then successes while half open, then the millisecond until which it is open.
+    """
+    half, finite = fail_at, fail_at + close_after
+    named = lambda s: f"CASE WHEN {s} < {half} THEN 'closed' WHEN {s} < {finite} THEN 'half_open' ELSE 'open' END"
+    return f"""turns AS (SELECT source, event_id, epoch_us(ts) // 1000 AS t, ok, row_number() OVER (PARTITION BY source ORDER BY epoch_us(ts) // 1000, event_id) AS turn FROM health_calls),
+walk AS (SELECT DISTINCT source, 0::BIGINT AS turn, NULL::BIGINT AS event_id, NULL::BIGINT AS t, 0::BIGINT AS was, 0::BIGINT AS now FROM turns
+  UNION ALL SELECT c.source, c.turn, c.event_id, c.t, w.now, CASE WHEN w.now >= {finite} AND c.t < w.now THEN w.now
+      WHEN w.now < {half} THEN CASE WHEN c.ok THEN 0 WHEN w.now + 1 < {fail_at} THEN w.now + 1 ELSE c.t + {open_ms} END
+      WHEN NOT c.ok THEN c.t + {open_ms}
+      WHEN CASE WHEN w.now >= {finite} THEN {half} ELSE w.now END + 1 < {finite} THEN CASE WHEN w.now >= {finite} THEN {half} ELSE w.now END + 1 ELSE 0 END
+  FROM walk w JOIN turns c ON c.source = w.source AND c.turn = w.turn + 1),
+steps AS (SELECT *, was >= {finite} AND t >= was AS probing, {named('was')} AS held, {named('now')} AS left_in FROM walk WHERE turn > 0),
+changes AS (SELECT source, event_id, t, turn, 0 AS part, 'open' AS from_state, 'half_open' AS to_state, NULL::VARCHAR AS alert FROM steps WHERE probing
+  UNION ALL SELECT source, event_id, t, turn, 1, CASE WHEN probing THEN 'half_open' ELSE held END, left_in,
+    CASE WHEN NOT probing AND held = 'closed' AND left_in = 'open' THEN 'source_degraded' WHEN left_in = 'closed' THEN 'source_recovered' END
+  FROM steps WHERE left_in <> CASE WHEN probing THEN 'half_open' ELSE held END),
+health AS (SELECT source, arg_max(now, turn) AS s FROM walk GROUP BY source),
+states AS (SELECT source, {named('s')} AS state, CASE WHEN s >= {finite} THEN s END AS open_until_ms FROM health)"""
+
+
+_CALLS = "WITH health_calls AS (SELECT source, event_id, ts, ok FROM calls)"
+
+
+@query(
+    "circuit_state",
+    f"""{_CALLS}, {_sql_machine()} SELECT source, event_id, t, CAST(row_number() OVER (PARTITION BY source, t // 3600000 ORDER BY turn, part) - 1 AS INT) AS step, from_state, to_state, alert FROM changes""",
+)
 def _(t):
     return jobs.circuit_state(t.calls).select("source", "event_id", "t", "step", "from_state", "to_state", "alert")
 
 
-@query("circuit_health")
+@query("circuit_health", f"{_CALLS}, {_sql_machine()} SELECT source, state, open_until_ms FROM states")
 def _(t):
     return jobs.circuit_health(t.calls)
 
 
-@query("circuit_registry_variant")
+@query("circuit_registry_variant", f"{_CALLS}, {_sql_machine(3, 120_000, 1)} SELECT source, state, open_until_ms FROM states")
 def _(t):
     """The registry breaker: three failures, two minutes, one probe."""
     return jobs.circuit_health(t.calls, Breaker(fail_at=3, open_ms=120_000, close_after=1))
 
 
-@query("degraded_weights")
+def _sql_frozen(sources: tuple[str, ...]) -> str:
+    """(source, dimension, weight): the weights that are left when the factors a source feeds are frozen out."""
+    from ..functions import scores
+
+    rows = ", ".join(f"({lit(s)}, {lit(d)}, {float(w)!r}::DOUBLE)" for s in sources for d, w in scores.freeze_weights(L.MODE_WEIGHTS["evidence"], [s]).items())
+    return f"(VALUES {rows}) v(source, dimension, weight)"
+
+
+@query(
+    "degraded_weights",
+    f"""WITH health_calls AS (SELECT CASE source WHEN 's0' THEN 'crossref' WHEN 's1' THEN 'pubmed' ELSE source END AS source, event_id, ts, ok FROM calls), {_sql_machine()}
+SELECT states.source, state, dimension, round(weight, 6) AS weight FROM states JOIN {_sql_frozen(('crossref', 'pubmed'))} ON states.source = v.source""",
+)
 def _(t):
     """Composite weights per source-health snapshot: factors of open sources are frozen out."""
     from ..functions import scores
@@ -209,7 +250,7 @@ def _(t):
 # --- Streams, run to the end of the given table ------------------------------------------
 
 
-@query("stream_circuit")
+@query("stream_circuit", f"{_CALLS}, {_sql_machine()} SELECT source, event_id, t, from_state, to_state, alert FROM changes")
 def _(t):
     return drive.run(t, "events", lambda s: processors.circuit_stream(t.over("calls", s)), "Append")
 
