@@ -102,7 +102,7 @@ class BytePieces:
             self.learn(fresh)
         get = self.known.get
         return [
-            np.array(found, "<u2").tobytes() if keys is None else b"".join([ids or get(k) for k, ids in zip(keys, found)]) if keys else found
+            np.array(found, "<u2").tobytes() if keys is None else b"".join([get(k) if ids is None else ids for k, ids in zip(keys, found)]) if keys else found
             for keys, found in cut
         ]
 
