@@ -93,3 +93,20 @@ def test_weights_sum_to_one(mode):
     assert sum(weights.values()) == pytest.approx(1)
     for source in L.SOURCE_FACTORS:
         assert sum(freeze_weights(weights, [source]).values()) == pytest.approx(1)
+
+
+WORDS = st.text(alphabet="ab é漢😀", max_size=14)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(WORDS, WORDS), max_size=30))
+def test_many_scores_equal_single_ones(pairs):
+    got = kernels.jaro_winkler_many([a for a, _ in pairs], [b for _, b in pairs])
+    assert got.tolist() == [kernels.jaro_winkler_score(a, b) for a, b in pairs]
+
+
+@settings(max_examples=200, deadline=None)
+@given(WORDS, WORDS, st.integers(0, 15))
+def test_banded_edit_distance(a, b, most):
+    exact, found = int(kernels.prefix_distances(a, b)[-1]), kernels.levenshtein_within(a, b, most)
+    assert found == exact if exact <= most else found > most
