@@ -11,13 +11,17 @@
    stands for itself. Other pieces stand for themselves.
 3. Restored texts are scored by a logistic model over word beginnings. Beginnings are
    counted, and chosen by how much more often toxic rows have them, over all labelled rows.
+   Labels of equal texts are added up by digest, so a text is decoded once and weighs as its
+   rows do. Whole texts are shuffled only once for each distinct labelled text: a filter of
+   the wanted ids, of a fixed number of bits, is asked first.
    For the fit, rows with equal features and label are one row with a weight; if these
    are more than `TRAIN_ROWS`, rows are drawn by the rarest feature they have, so that rare
    features are fitted too, and each weighs as much more as it was less likely to be drawn.
 
 Defined results: null and empty texts have no word, so they get the model's base score;
-labels without a text and rows with a null label teach nothing; repeated label rows count
-once; equal texts get equal scores; an empty table gives an empty result, and without
+labels without a text and rows with a null label teach nothing; of several labels of an id
+the highest counts; rows with an equal text count each, with the label of their own id, and
+get equal scores; rows that share an id and differ in text all have its label; an empty table gives an empty result, and without
 labels every score is the base score 0; other columns are not looked at.
 """
 
@@ -36,6 +40,10 @@ from .common import stored
 
 #: Bound on the (weighted) rows that the classifier is fitted on, on average over draws, and on its features.
 TRAIN_ROWS, FEATURES = 30_000, 4_000
+#: A beginning is a feature if it is in this many toxic texts and its log odds are above this.
+LEAST_TOXIC, LEAST_ODDS = 4, 1.5
+#: Bits of the filter of labelled ids, a power of two. Beyond some ten million labels it lets ever more rows through; this affects speed only.
+FILTER_BITS = 1 << 26
 #: Lengths of the word beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 
@@ -257,13 +265,13 @@ def fit_logistic(
 
 
 def fitting_rows(seen: DataFrame, often: np.ndarray, bound: int) -> DataFrame:
-    """(y, found, stands_for) to fit on, about `bound` rows at most, from (y, found) of every labelled row.
+    """(y, found, stands_for) to fit on, about `bound` rows at most, from (y, found, n) of all labelled rows.
 
     Equal rows are put together. `often` has the number of rows of each feature; a row that
     is put together from c rows and whose rarest feature is in m is drawn with probability
     c * k / m (at most 1) for the largest power of two k that keeps to the bound.
     """
-    rows = stored(seen.groupBy("y", "found").agg(F.count("*").alias("n")), "toxic-rows")
+    rows = stored(seen.groupBy("y", "found").agg(F.sum("n").alias("n")), "toxic-rows")
     if rows.count() <= bound:
         return rows.withColumn("stands_for", F.col("n").cast("double"))
 
@@ -280,55 +288,120 @@ def fitting_rows(seen: DataFrame, often: np.ndarray, bound: int) -> DataFrame:
     return chance.filter(draw < F.col("_chance")).withColumn("stands_for", F.col("n") / F.col("_chance")).drop("_chance")
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, teach=None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
-    """(doc_id, score, predicted). `teach`: condition on label rows that may be learned from."""
-    spark = docs.sparkSession
-    size = (len(LETTERS) + 1) ** 3
-    counts = np.zeros(size, np.int64)
-    for r in character_counts(docs, text).collect():  # bounded by the alphabet
-        counts[r["code"]] = r["n"]
-    marks = labels.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL")
-    if teach is not None:
-        marks = marks.filter(teach(F.col("_id")))
-    marks = marks.groupBy("_id").agg(F.max("_y").alias("_y"))
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("text")).join(marks, "_id")
-    taught = stored(rows.dropDuplicates(["text"]).select("text", "_y"), "toxic-taught")
-    model = CharacterModel(counts)
+def _places(ids: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Two bits of the filter for each id."""
+    out = []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        x = ids.astype(np.int64).view(np.uint64) + np.uint64(salt)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        out.append(((x ^ (x >> np.uint64(31))) & np.uint64(bits - 1)).astype(np.int64))
+    return out
+
+
+def labelled_filter(marks: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A filter (64 bits a word) that holds every `_id` of marks; its size does not depend on theirs."""
+
+    def fill(batches):
+        for batch in batches:
+            places = np.concatenate(_places(batch.column(0).to_numpy(), bits))
+            word, back = np.unique(places >> 6, return_inverse=True)
+            held = np.zeros(len(word), np.uint64)
+            np.bitwise_or.at(held, back, np.uint64(1) << (places & 63).astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(held.view(np.int64))], names=["word", "held"])
+
+    found = marks.select("_id").mapInArrow(fill, "word BIGINT, held BIGINT").groupBy("word").agg(F.bit_or("held").alias("held")).toArrow()  # at most bits / 64 rows
+    out = np.zeros(bits >> 6, np.uint64)
+    out[found.column("word").to_numpy()] = found.column("held").to_numpy().view(np.uint64)
+    return out
+
+
+def labelled_texts(docs: DataFrame, marks: DataFrame, key: str, text: str, bits: int = FILTER_BITS) -> DataFrame:
+    """(text, clean, toxic): each distinct text of the rows whose id is in marks (_id, _y), and its labels."""
+    rows = docs.select(F.col(key).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("_id IS NOT NULL")
+
+    def among(ids: DataFrame) -> DataFrame:
+        held = labelled_filter(ids, bits)
+
+        @F.pandas_udf("boolean")
+        def may_hold(ids: pd.Series) -> pd.Series:
+            hit = np.ones(len(ids), bool)
+            for place in _places(ids.to_numpy(np.int64), bits):
+                hit &= (held[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) > 0
+            return pd.Series(hit)
+
+        return rows.filter(may_hold("_id")).select("_id", "text", F.unhex(F.md5("text")).alias("digest"))
+
+    told = among(marks).select("_id", "digest").join(marks.hint("merge"), "_id")
+    texts = told.groupBy("digest").agg(F.min("_id").alias("_id"), F.count_if(F.col("_y") <= 0).alias("clean"), F.count_if(F.col("_y") > 0).alias("toxic"))
+    texts = stored(texts, "toxic-texts")
+    # a text is read from the row of its least id; a row that is there twice is one
+    found = among(texts).join(texts.hint("merge"), ["_id", "digest"])
+    return found.groupBy("_id", "digest").agg(F.first("text").alias("text"), F.first("clean").alias("clean"), F.first("toxic").alias("toxic")).select("text", "clean", "toxic")
+
+
+def telling_beginnings(
+    taught: DataFrame, model: CharacterModel, most: int = FEATURES, least_toxic: int = LEAST_TOXIC, least_odds: float = LEAST_ODDS
+) -> list[tuple[str, int, int]]:
+    """(beginning, clean, toxic rows that have it), the most telling first, `most` at most."""
 
     def features(batches):
         known: dict[str, str] = {}
         tally: dict[str, list[int]] = {}
 
         def told():
+            columns = list(zip(*tally.values())) or [(), (), ()]
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()), pa.array([v[1] for v in tally.values()], pa.int64())],
-                names=["feature", "clean", "toxic"],
+                [pa.array(list(tally), pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["feature", "clean", "toxic", "texts"]
             )
 
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for t, clean, toxic in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for f in beginnings(restore(t, model, known)):
-                    tally.setdefault(f, [0, 0])[y > 0] += 1
+                    seen = tally.setdefault(f, [0, 0, 0])
+                    seen[0] += clean
+                    seen[1] += toxic
+                    seen[2] += toxic > 0
                 if len(tally) > 500_000:  # the counts are summed later
                     yield told()
                     tally.clear()
         yield told()
 
-    tally = taught.mapInArrow(features, "feature STRING, clean BIGINT, toxic BIGINT").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    total = taught.agg(F.count_if(F.col("_y") <= 0), F.count_if(F.col("_y") > 0)).first()
+    told = taught.select("text", "clean", "toxic").mapInArrow(features, "feature STRING, clean BIGINT, toxic BIGINT, texts BIGINT")
+    tally = told.groupBy("feature").agg(*[F.sum(c).alias(c) for c in ("clean", "toxic", "texts")])
+    total = taught.agg(F.coalesce(F.sum("clean"), F.lit(0)), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     odds = F.log((F.col("toxic") + 0.5) / (total[1] + 1.0)) - F.log((F.col("clean") + 0.5) / (total[0] + 1.0))
-    telling = tally.filter(F.col("toxic") >= 4).withColumn("odds", odds).filter("odds > 1.5")
-    best = telling.orderBy((F.col("odds") * F.sqrt("toxic")).desc(), "feature").limit(FEATURES)
-    best = best.collect()
-    chosen, often = [r["feature"] for r in best], np.array([r["toxic"] + r["clean"] for r in best], float)
+    telling = tally.filter(F.col("texts") >= least_toxic).withColumn("odds", odds).filter(F.col("odds") > least_odds)
+    best = telling.orderBy((F.col("odds") * F.sqrt("texts")).desc(), "feature").limit(most)
+    return [(r["feature"], r["clean"], r["toxic"]) for r in best.collect()]
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, teach=None, key: str = "doc_id", text: str = "text", label: str = "toxic") -> DataFrame:
+    """(doc_id, score, predicted). `teach`: condition on label rows that may be learned from."""
+    size = (len(LETTERS) + 1) ** 3
+    counts = np.zeros(size, np.int64)
+    for r in character_counts(docs, text).collect():  # bounded by the alphabet
+        counts[r["code"]] = r["n"]
+    marks = labels.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).filter("_id IS NOT NULL AND _y IS NOT NULL")
+    if teach is not None:
+        marks = marks.filter(teach(F.col("_id")))
+    marks = stored(marks.groupBy("_id").agg(F.max("_y").alias("_y")), "toxic-marks")
+    taught = stored(labelled_texts(docs, marks, key, text), "toxic-taught")
+    model = CharacterModel(counts)
+    best = telling_beginnings(taught, model)
+    chosen, often = [f for f, _c, _t in best], np.array([c + t for _f, c, t in best], float)
 
     def present(batches):
         finder, known = Finder(chosen), {}
         for batch in batches:
             found = [finder.find(restore(t, model, known)) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(found, pa.list_(pa.int32()))], names=["y", "found"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(found, pa.list_(pa.int32()))], names=["clean", "toxic", "found"])
 
-    seen = fitting_rows(taught.mapInArrow(present, "y INT, found ARRAY<INT>"), often, TRAIN_ROWS).collect()  # about TRAIN_ROWS rows at most
+    told = taught.select("text", "clean", "toxic").mapInArrow(present, "clean BIGINT, toxic BIGINT, found ARRAY<INT>")
+    labelled = F.explode(F.array(F.struct(F.lit(0).alias("y"), F.col("clean").alias("n")), F.struct(F.lit(1).alias("y"), F.col("toxic").alias("n")))).alias("label")
+    seen = told.select("found", labelled).select("label.y", "found", "label.n").filter("n > 0")
+    seen = fitting_rows(seen, often, TRAIN_ROWS).collect()  # about TRAIN_ROWS rows at most
+    seen.sort(key=lambda r: (r["y"], r["found"]))  # sums of floats in one order, however the rows came
     y, stands_for = np.array([r["y"] > 0 for r in seen], float), np.array([r["stands_for"] for r in seen], float)
     weights, bias = fit_logistic([list(r["found"]) for r in seen], y, len(chosen), stands_for=stands_for) if len(y) else (np.zeros(0), -30.0)
     weights = weights.astype(np.float64)

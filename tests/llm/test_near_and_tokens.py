@@ -288,7 +288,7 @@ def test_toxicity_counts_words_over_all_labelled_rows(spark, monkeypatch):
 def test_fitting_rows_keep_rare_features_and_the_bound(spark):
     rows = [(0, [0, i]) for i in range(1, 400)] * 3 + [(1, [400])] * 4 + [(0, [])] * 900
     often = np.array([1197.0] + [3.0] * 399 + [4.0])
-    kept = toxicity.fitting_rows(spark.createDataFrame(rows, "y INT, found ARRAY<INT>"), often, 200).collect()
+    kept = toxicity.fitting_rows(spark.createDataFrame([(*r, 1) for r in rows], "y INT, found ARRAY<INT>, n INT"), often, 200).collect()
     assert 50 < len(kept) <= 260 and [r["stands_for"] for r in kept if not r["found"]] == [900.0]
     assert sum(r["stands_for"] for r in kept) == pytest.approx(len(rows), rel=0.3)
 
