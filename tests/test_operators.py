@@ -270,3 +270,22 @@ def test_updates_of_a_batch_are_applied_one_after_the_other(spark, monkeypatch,
     new, rejected = ledger.upsert_state(table, batch, order=["no"])
     assert {r["uuid"]: (r["state"], r["title_lib"]) for r in new.collect()} == state and state["a"] == ("DIFFED", "new")
     assert sorted(map(tuple, rejected.collect()), key=repr) == sorted(refused, key=repr)
+
+
+def test_files_by_the_evidence_ladder(spark, tmp_path):
+    for name, body in {"a/x.txt": b"same", "b/x.txt": b"same", "c/y.bin": b"diff", "d/y.bin": b"longer", "e/z": b"own"}.items():
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"].rsplit("/", 2)[1]: r["verdict"] for r in readers.duplicate_files(spark, str(tmp_path)).collect()}
+    assert got == {"a": "VERIFIED IDENTICAL", "b": "VERIFIED IDENTICAL", "c": "DIFFERENT VERSION", "d": "DIFFERENT VERSION", "e": "UNIQUE/POTENTIALLY UNIQUE"}
+    likely = {r["path"].rsplit("/", 2)[1]: r["verdict"][:6] for r in readers.likely_duplicates(readers.file_inventory(spark, str(tmp_path))).collect()}
+    assert likely == {"a": "LIKELY", "b": "LIKELY", "c": "UNIQUE", "d": "UNIQUE", "e": "UNIQUE"}
+
+
+def test_block_keys_meet_for_near_titles(spark):
+    titles = ["outcomes of dry eye surgery in older adults", "outcomes of dry eye surgery in older adults b", "quite another title about lenses", "outcomes of dry eye surgery in older adults", "x"]
+    rows = spark.createDataFrame(list(enumerate(titles)), "id int, norm string")
+    blocks = {}
+    for r in dedup.block_keys(rows).collect():
+        blocks.setdefault(r["id"], set()).add(r["block"])
+    assert blocks[0] == blocks[3] and blocks[0] & blocks[1] and not blocks[0] & blocks[2] and len(blocks[4]) == dedup.BANDS
