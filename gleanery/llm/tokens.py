@@ -15,7 +15,7 @@ import numpy as np
 
 #: Entries kept by a worker: pieces as they stand in texts, and words behind them. A full
 #: store is emptied; this affects speed only.
-KEPT_PIECES, KEPT_WORDS = 600_000, 1_500_000
+KEPT_PIECES, KEPT_WORDS = 400_000, 1_000_000
 #: Texts whose new pieces are learnt together.
 BLOCK = 64
 #: A piece that is one run of Latin letters and one run of stops: their ids stand side by side.
