@@ -389,6 +389,10 @@ DOMAIN_PHRASES = [
 PROXIMITY_PATTERN = (
     r'(?i)\b(NEAR|NEXT|ONEAR|ADJ|SAME|AROUND)\s*/?\s*\d*|(\bW/\d+)|(\bPRE/\d+)|"\s*[^"]+"\s*~\s*\d+|:\s*~\s*\d+|~\d+'
 )
+#: A term that is a proximity formulation: the operator stands between two terms, or its brackets hold several.
+PROXIMITY_TERM_PATTERN = (
+    r"(?i)\S +((NEAR|NEXT|ONEAR|ADJ|SAME|AROUND)[ /(]*\d*\)?|(W|PRE)/\d+) +\S|\bO?NEAR(/\d+)? *\([^)]* "
+)
 FIELD_PATTERN = (
     r"(?i)(TITLE-ABS-KEY|TITLE|ABS|SUBJAREA|DOCTYPE|\[[a-z]{1,6}(:~\d+)?\]|\.(ti|ab|kf|mp)\b"
     r'|\b(TS|TI|AU|SO|DO|PMID)=|DE\s*=|[a-z_.]+\s*:\s*["\w])'

@@ -315,13 +315,16 @@ def expire(df: DataFrame, now: Column, schema_version: int, expires: str = "expi
 
 
 def term_status(df: DataFrame, approved: DataFrame, existing: DataFrame, rejected: DataFrame) -> DataFrame:
-    """REJECTED > APPROVED > EXISTING > EXPERIMENTAL > CANDIDATE; lists have one column `term`."""
+    """REJECTED > APPROVED > EXISTING > EXPERIMENTAL > CANDIDATE; lists have one column `term`.
+
+    Experimental are wildcards and proximity; a word that only begins like an operator (nearest) is neither.
+    """
     key = F.lower(F.trim("term"))
     out = df.withColumn("term_key", key)
     for name, listed in (("is_rejected", rejected), ("is_approved", approved), ("is_existing", existing)):
         marks = listed.select(key.alias("term_key")).distinct().withColumn(name, F.lit(True))
         out = out.join(marks, "term_key", "left")
-    novel = F.col("term").rlike("[*?~]") | F.col("term").rlike(L.PROXIMITY_PATTERN)
+    novel = F.col("term").rlike("[*?~]") | F.col("term").rlike(L.PROXIMITY_TERM_PATTERN)
     return out.withColumn(
         "status",
         F.when(F.col("is_rejected"), "REJECTED")

@@ -289,3 +289,12 @@ def test_block_keys_meet_for_near_titles(spark):
     for r in dedup.block_keys(rows).collect():
         blocks.setdefault(r["id"], set()).add(r["block"])
     assert blocks[0] == blocks[3] and blocks[0] & blocks[1] and not blocks[0] & blocks[2] and len(blocks[4]) == dedup.BANDS
+
+
+def test_a_word_that_begins_like_a_proximity_operator_is_a_candidate(spark):
+    terms = ["Onearest", "same", "W/5", "dry NEAR/3 eye", "dry ADJ2 eye", "tear W/5 film", "near/4 (dry eye)", "dry*", '"dry eye"~3', "nearby towns"]
+    empty = spark.createDataFrame([], "term string")
+    df = spark.createDataFrame([(t,) for t in terms], "term string")
+    got = {r["term"]: r["status"] for r in filters.term_status(df, empty, empty, empty).collect()}
+    novel = {"dry NEAR/3 eye", "dry ADJ2 eye", "tear W/5 film", "near/4 (dry eye)", "dry*", '"dry eye"~3'}
+    assert got == {t: "EXPERIMENTAL" if t in novel else "CANDIDATE" for t in terms}
