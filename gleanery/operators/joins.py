@@ -192,11 +192,14 @@ def year_band_pairs(left: DataFrame, k: int = 1, key: list[str] | None = None, i
 
 
 def verify_trials(ids: DataFrame, registry: DataFrame, works: DataFrame, available: bool = True) -> DataFrame:
-    """Check NCT ids against a registry table (trial_id, brief_title)."""
+    """Check NCT ids against a registry table (trial_id, brief_title).
+
+    Titles of every script are compared; a blank title is none and neither verifies nor refutes.
+    """
     asked = ids.filter("registry = 'NCT'").join(works.select("work_id", "title"), "work_id", "left")
     joined = asked.join(one_per_key(registry.withColumnRenamed("brief_title", "registry_title"), "trial_id"), "trial_id", "left")
-    both = (text.trial_title(F.col("title")) != "") & (text.trial_title(F.col("registry_title")) != "")
-    match = both & (text.trial_title_similarity(F.col("title"), F.col("registry_title")) >= 0.7)
+    both = (F.trim(F.coalesce("title", F.lit(""))) != "") & (F.trim(F.coalesce("registry_title", F.lit(""))) != "")
+    match = both & text.registry_title_match(F.col("title"), F.col("registry_title"))
     found = F.col("in_registry").isNotNull()
     return joined.select(
         "work_id",

@@ -298,3 +298,14 @@ def test_a_word_that_begins_like_a_proximity_operator_is_a_candidate(spark):
     got = {r["term"]: r["status"] for r in filters.term_status(df, empty, empty, empty).collect()}
     novel = {"dry NEAR/3 eye", "dry ADJ2 eye", "tear W/5 film", "near/4 (dry eye)", "dry*", '"dry eye"~3'}
     assert got == {t: "EXPERIMENTAL" if t in novel else "CANDIDATE" for t in terms}
+
+
+def test_trial_titles_without_latin_letters_are_compared(spark):
+    titles = [("\u00c9\u00e8\u00e8 \u00c9\u00e8\u00e8 \u00ea", "\u00c9\u00e8\u00e8 \u00c9\u00e8\u00e8"), ("\u0433\u043b\u0430\u0437 \u0438 \u0441\u043b\u0435\u0437\u0430", "\u0441\u043e\u043d"), ("### NCT00000003", "###"), ("dry eye", " "), ("dry eye", None)]
+    rows = [(i, f"NCT{i:08d}", *t) for i, t in enumerate(titles)]
+    df = spark.createDataFrame(rows, "work_id long, trial_id string, title string, brief_title string")
+    ids = df.select("work_id", "trial_id", F.lit("NCT").alias("registry"))
+    got = joins.verify_trials(ids, df.select("trial_id", "brief_title", F.lit(True).alias("in_registry")), df).collect()
+    assert {r["work_id"]: (r["status"], r["confidence"]) for r in got} == {
+        0: ("verified", 1.0), 1: ("mismatch", 0.5), 2: ("verified", 1.0), 3: ("verified", 0.8), 4: ("verified", 0.8),
+    }
