@@ -6,7 +6,7 @@ the end of it.
 
 from __future__ import annotations
 
-from itertools import groupby, islice, repeat
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -26,34 +26,21 @@ def _chunked_calls(calls: DataFrame, chunk_s: int) -> DataFrame:
     )
 
 
-def _sorted_stretches(df: DataFrame) -> DataFrame:
-    """Stretches spread over tasks, each whole and in time order within its task."""
-    return df.repartition("source", "chunk").sortWithinPartitions("source", "chunk", "t", "event_id")
+def _per_stretch(df: DataFrame, produce, schema: str) -> DataFrame:
+    """Rows of produce(source, chunk, calls) for every stretch, its calls in time order.
 
+    Grouped, as a repartition below a map may be left out after a join on the same
+    columns, and its shuffle then be read by mapper: a stretch would fall into several tasks.
+    """
+    columns = [c.split()[0] for c in schema.split(", ")]
 
-def _stretches(batches):
-    """(source, chunk, calls) per stretch of a sorted partition; only one stretch is held at a time."""
-    rows = (
-        row
-        for pdf in batches
-        for row in zip(
-            pdf["source"], pdf["chunk"], pdf["t"].tolist(), pdf["ok"].tolist(), pdf["event_id"].tolist(),
-            pdf["entered"].tolist() if "entered" in pdf else repeat(0),
-        )
-    )
-    for (source, chunk), group in groupby(rows, key=lambda r: (r[0], int(r[1]))):
-        yield source, chunk, [r[2:] for r in group]
-
-
-def _in_frames(produce, columns: list[str], size: int = 10_000):
-    """Wrap a row generator as a mapInPandas function that yields frames of `size` rows."""
-
-    def run(batches):
-        rows = produce(batches)
-        while part := list(islice(rows, size)):
-            yield pd.DataFrame(part, columns=columns)
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["t", "event_id"])
+        entered = pdf["entered"].tolist() if "entered" in pdf else repeat(0)
+        calls = list(zip(pdf["t"].tolist(), pdf["ok"].tolist(), pdf["event_id"].tolist(), entered))
+        return pd.DataFrame(list(produce(pdf["source"].iat[0], int(pdf["chunk"].iat[0]), calls)), columns=columns)
 
-    return run
+    return df.groupBy("source", "chunk").applyInPandas(run, schema)
 
 
 def _entry_states(chunked: DataFrame, rule: Breaker, chunk_s: int) -> DataFrame:
@@ -63,16 +50,12 @@ def _entry_states(chunked: DataFrame, rule: Breaker, chunk_s: int) -> DataFrame:
     these effects are then applied one after the other, a row per chunk of time.
     """
 
-    def effects_of(batches):
-        for source, chunk, calls in _stretches(batches):
-            horizon = chunk * chunk_s * 1000 + rule.open_ms
-            finite, limits, ends = rule.transfer([c[0] for c in calls], [c[1] for c in calls], horizon)
-            yield source, chunk, finite, limits, ends
+    def effects_of(source, chunk, calls):
+        horizon = chunk * chunk_s * 1000 + rule.open_ms
+        finite, limits, ends = rule.transfer([c[0] for c in calls], [c[1] for c in calls], horizon)
+        yield source, chunk, finite, limits, ends
 
-    effects = _sorted_stretches(chunked).mapInPandas(
-        _in_frames(effects_of, ["source", "chunk", "finite", "limits", "ends"]),
-        "source string, chunk long, finite array<long>, limits array<long>, ends array<long>",
-    )
+    effects = _per_stretch(chunked, effects_of, "source string, chunk long, finite array<long>, limits array<long>, ends array<long>")
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk")
@@ -95,16 +78,14 @@ def circuit_state(calls: DataFrame, rule: Breaker = Breaker(), chunk_s: int = 36
     chunked = _chunked_calls(calls, chunk_s)
     entries = _entry_states(chunked, rule, chunk_s)
 
-    def changes(batches):
-        for source, _chunk, calls in _stretches(batches):
-            found = rule.run(calls[0][3], ((t, ok) for t, ok, *_ in calls))
-            for step, (i, before, after, alert) in enumerate(found):
-                yield source, calls[i][2], calls[i][0], step, before, after, alert
+    def changes(source, _chunk, calls):
+        found = rule.run(calls[0][3], ((t, ok) for t, ok, *_ in calls))
+        for step, (i, before, after, alert) in enumerate(found):
+            yield source, calls[i][2], calls[i][0], step, before, after, alert
 
-    cols = ["source", "event_id", "t", "step", "from_state", "to_state", "alert"]
     entered = chunked.join(entries.select("source", "chunk", "entered"), ["source", "chunk"])
-    return _sorted_stretches(entered).mapInPandas(
-        _in_frames(changes, cols), "source string, event_id long, t long, step int, from_state string, to_state string, alert string"
+    return _per_stretch(
+        entered, changes, "source string, event_id long, t long, step int, from_state string, to_state string, alert string"
     )
 
 

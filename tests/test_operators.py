@@ -309,3 +309,27 @@ def test_trial_titles_without_latin_letters_are_compared(spark):
     assert {r["work_id"]: (r["status"], r["confidence"]) for r in got} == {
         0: ("verified", 1.0), 1: ("mismatch", 0.5), 2: ("verified", 1.0), 3: ("verified", 0.8), 4: ("verified", 0.8),
     }
+
+
+def test_a_stretch_stays_whole_when_the_join_before_it_turns_into_a_broadcast(spark):
+    from gleanery.functions.breaker import Breaker
+
+    rng = random.Random(3)
+    ok = [rng.random() < 0.6 for _ in range(4000)]
+    rows = [("s", i, i * 1700, o) for i, o in enumerate(ok)]
+    calls = spark.createDataFrame(rows, "source string, event_id long, t long, ok boolean").repartition(7, "event_id")
+    calls = calls.select("source", "event_id", F.timestamp_millis("t").alias("ts"), "ok")
+    expected = [(i, before, after) for i, before, after, _ in Breaker().run(0, ((t, o) for _, _, t, o in rows))]
+    static, late = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+    try:
+        spark.conf.set(static, "-1")
+        spark.conf.set(late, "10m")
+        changes = jobs.circuit_state(calls)
+        got = changes.orderBy("event_id", "step").collect()
+        plan = changes._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(static)
+        spark.conf.unset(late)
+    assert [(r["event_id"], r["from_state"], r["to_state"]) for r in got] == expected
+    # a map above a repartition makes no demand of its input, so the planner may leave the repartition out
+    assert "MapInPandas" not in plan and plan.count("FlatMapGroupsInPandas") == 3
