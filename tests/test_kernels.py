@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,3 +111,29 @@ def test_many_scores_equal_single_ones(pairs):
 def test_banded_edit_distance(a, b, most):
     exact, found = int(kernels.prefix_distances(a, b)[-1]), kernels.levenshtein_within(a, b, most)
     assert found == exact if exact <= most else found > most
+
+
+def test_jaro_winkler_of_laid_out_titles_is_the_literal_formula(monkeypatch):
+    rng = random.Random(11)
+    for letters in ("ab", "abcdefgh ", "éè日本 a"):
+        titles = sorted({"".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 3, 9, 60]) + rng.randint(0, 4))) for _ in range(14)})
+        pairs = [(i, j) for i in range(len(titles)) for j in range(len(titles)) if i != j]
+        expected = [kernels.jaro_winkler_score(titles[i], titles[j]) for i, j in pairs]
+        for chunk in (40, 100_000):
+            monkeypatch.setattr(kernels, "_CHUNK", chunk)
+            got = kernels.TitleLetters(titles).jaro_winkler(*np.array(pairs).T)
+            assert got.tolist() == expected
+
+
+def test_edit_distances_are_only_walked_for_titles_that_share_runs_of_letters(monkeypatch):
+    from gleanery.operators import title_join
+
+    rng = random.Random(12)
+    titles = ["".join(rng.choice("eeeaattonsr  ") for _ in range(300)) for _ in range(40)]
+    titles += [t[:150] + "x" + t[160:] for t in titles[:5]]
+    walked = []
+    real = title_join.levenshtein_within
+    monkeypatch.setattr(title_join, "levenshtein_within", lambda a, b, most: walked.append(1) or real(a, b, most))
+    seq = np.arange(len(titles))
+    u, v, score = title_join._compare(titles, seq, titles, seq, True, title_join.EditDistance(0.9))
+    assert sorted(zip(u.tolist(), v.tolist())) == [(i, 40 + i) for i in range(5)] and len(walked) < 50
