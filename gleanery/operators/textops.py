@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from .. import lookups as L
 from ..functions import text
-from ..functions.kernels import refine_anchor
+from ..functions.kernels import best_window
 from .windows import first_per_key
 
 # --- Vocabulary ----------------------------------------------------------------------
@@ -120,13 +120,10 @@ def trial_ids(df: DataFrame, fields: list[str], id_: str = "work_id") -> DataFra
 # --- Anchors -------------------------------------------------------------------------
 
 
-SEGMENT = 512
-
-
 def fuzzy_anchor(df: DataFrame, body: str = "text", claim: str = "claim", threshold: float = 0.7) -> DataFrame:
     """Where a row's claim sits in its text: exact, else the best edit-distance window.
 
-    Windows are tested by the built-in distance; the kernel refines hits only.
+    Only rows without an exact place go through the kernel.
     Adds start, end (exclusive) and similarity; (-1, -1, 0) when nothing is close.
     """
     low, needle = F.lower(F.coalesce(body, F.lit(""))), F.lower(F.coalesce(claim, F.lit("")))
@@ -135,31 +132,15 @@ def fuzzy_anchor(df: DataFrame, body: str = "text", claim: str = "claim", thresh
         .withColumn("_n", F.length("_c"))
         .withColumn("_at", F.when(F.col("_n") > 0, F.instr(F.col("_t"), F.col("_c")) - 1).otherwise(-1))
     )
-    last = F.length("_t") - F.col("_n")
-    starts = F.sequence(F.lit(0), last, F.greatest(F.lit(1), F.floor(F.col("_n") / 4).cast("int")))
-    # reaching far into a long string is slow, so windows are cut from overlapping segments
-    pieces = F.transform(F.sequence(F.lit(0), F.length("_t"), F.lit(SEGMENT)), lambda at: F.substring(F.col("_t"), at + 1, F.col("_n") + SEGMENT))
-
-    def close(segments: Column) -> Column:
-        window = lambda i: F.substring(F.get(segments, F.floor(i / SEGMENT).cast("int")), i % SEGMENT + 1, F.col("_n"))
-        return F.filter(starts, lambda i: 1 - F.levenshtein(F.col("_c"), window(i)) / F.col("_n") >= threshold)
-
-    usable = (F.col("_at") < 0) & (F.col("_n") > 0) & (last >= 0)
-    hits = F.when(usable, text.let(pieces, close))
-    marked = marked.withColumn("_hits", hits)
-    exact = marked.filter("_at >= 0").select(
-        *df.columns, F.col("_at").alias("start"), (F.col("_at") + F.col("_n")).alias("end"), F.lit(1.0).alias("similarity")
-    )
-    rest = marked.filter("_at < 0")
-    near = (
-        rest.filter(F.size("_hits") > 0)
-        .withColumn("_r", refine_anchor(F.col("_t"), F.col("_c"), F.col("_hits"), threshold))
-        .select(*df.columns, "_r.start", "_r.end", "_r.similarity")
-    )
-    none = rest.filter(F.coalesce(F.size("_hits"), F.lit(0)) <= 0).select(
-        *df.columns, F.lit(-1).alias("start"), F.lit(-1).alias("end"), F.lit(0.0).alias("similarity")
+    exact = F.col("_at") >= 0
+    searched = lambda c: F.when(~exact, F.col(c))
+    found = marked.withColumn("_r", best_window(searched("_t"), searched("_c"), float(threshold)))
+    return found.select(
+        *df.columns,
+        F.when(exact, F.col("_at")).otherwise(F.col("_r.start")).alias("start"),
+        F.when(exact, F.col("_at") + F.col("_n")).otherwise(F.col("_r.end")).alias("end"),
+        F.when(exact, F.lit(1.0)).otherwise(F.col("_r.similarity")).alias("similarity"),
     )
-    return exact.unionByName(near).unionByName(none)
 
 
 # --- Summaries, hashes, schemas ------------------------------------------------------

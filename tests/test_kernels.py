@@ -1,6 +1,7 @@
 """Kernels against literal formulas and brute force."""
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -137,3 +138,46 @@ def test_edit_distances_are_only_walked_for_titles_that_share_runs_of_letters(mo
     seq = np.arange(len(titles))
     u, v, score = title_join._compare(titles, seq, titles, seq, True, title_join.EditDistance(0.9))
     assert sorted(zip(u.tolist(), v.tolist())) == [(i, 40 + i) for i in range(5)] and len(walked) < 50
+
+
+def test_best_windows_equal_the_windows_walked_one_by_one():
+    """Claims longer than a machine word, windows at both ends, letters of several scripts; all rows in one call."""
+    rng = random.Random(3)
+    texts, claims = [], []
+    for _ in range(120):
+        letters = rng.choice(["ab", "abcde", "aé漢😀 "])
+        text = "".join(rng.choice(letters) for _ in range(rng.choice([0, 3, 20, 90, 160])))
+        at, size = rng.randrange(max(1, len(text))), rng.choice([0, 1, 2, 5, 12, 30, 63, 64, 65, 130])
+        claim = list(text[at : at + size])
+        for _ in range(len(claim) // 6):
+            claim[rng.randrange(len(claim))] = rng.choice(["", rng.choice(letters), rng.choice(letters) * 2])
+        texts.append(text)
+        claims.append("".join(claim))
+
+    def walked(text, claim):
+        n, spread, best = len(claim), int(len(claim) * 0.2), (-1, -1, 0.0)
+        for hit in range(0, len(text) - n + 1, max(1, n // 4)) if n else ():
+            if 1 - kernels.prefix_distances(claim, text[hit : hit + n])[-1] / n < 0.7:
+                continue
+            for j in range(max(0, hit - spread), hit + 1):
+                stop = min(len(text), hit + n + spread)
+                far = kernels.prefix_distances(claim, text[j:stop])
+                for k in range(hit + n, stop + 1):
+                    if 1 - far[k - j] / (k - j) > best[2]:
+                        best = (j, k, float(1 - far[k - j] / (k - j)))
+        return best
+
+    found = kernels.best_windows(texts, claims, 0.7)
+    assert found == [walked(t, c) for t, c in zip(texts, claims)]
+    assert sum(f[0] >= 0 for f in found) > 50
+
+
+def test_anchor_search_keeps_pace_with_long_texts():
+    """The windows of all claims are compared together, not one by one."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(20_000)) for _ in range(40)]
+    claims = [t[9_000:9_020] + "#@" + t[9_022:9_048] for t in texts]
+    start = time.process_time()
+    found = kernels.best_windows(texts, claims, 0.7)
+    assert time.process_time() - start < 5
+    assert [f[:2] for f in found] == [(9_000, 9_048)] * 40
