@@ -48,10 +48,10 @@ BLOCK = 1_000_000
 #: Orders of chance in which a key's first partner is drawn; each member of a group meets about as many.
 CENTRES = 4
 #: Keys with this many members at most have the pairs across their components tried at once;
-#: in larger ones the nearest are tried first. A matter of speed: both try all that is left.
+#: larger ones are cut into tiles. A matter of speed: both try all that is left.
 SMALL = 64
-#: Members of one key that one task compares with the rest of the key.
-SPLIT = 2048
+#: Members of one key in a slice, and their shingles; a task compares two slices.
+SLICE, SLICE_SHINGLES = 1024, 2_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -168,19 +168,19 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
 
 
 def full_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, set): the sorted hashes of the full set, as bytes."""
+    """(doc_id, same, set): the sorted hashes of the full set, as bytes, and their digest as in `signatures`."""
 
     def build(batches):
         shingler = Shingler(shingle)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in _blocks(texts):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[a:b], pa.int64()), pa.array([s.tobytes() for s in shingler.sets(texts[a:b])], pa.binary())], names=["doc_id", "set"]
-                )
+                sets = [s.tobytes() for s in shingler.sets(texts[a:b])]
+                same = [hashlib.blake2b(s, digest_size=16).digest() if s else None for s in sets]
+                yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], pa.int64()), pa.array(same, pa.binary()), pa.array(sets, pa.binary())], names=["doc_id", "same", "set"])
 
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id IS NOT NULL")
-    return source.mapInArrow(build, "doc_id BIGINT, set BINARY")
+    return source.mapInArrow(build, "doc_id BIGINT, same BINARY, set BINARY")
 
 
 def index_keys(signed: DataFrame) -> DataFrame:
@@ -238,30 +238,46 @@ def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     return sized.select("u", "v", "s_u", "s_v").mapInArrow(measure, "u BIGINT, v BIGINT").distinct()
 
 
+def _linked(own: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Which of `others` are linked with the set `own`."""
+    sizes = np.array([len(o) for o in others])
+    every = np.concatenate(others)
+    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+    both = np.add.reduceat(own[at] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
+    return 100 * both >= percent * (len(own) + sizes - both)
+
+
 def _across(members: DataFrame) -> DataFrame:
-    """(u, v): close pairs across the components of a key, each at the first key that the two share.
+    """(u, v): links across the components of a key. No pair is a row: signatures and full sets meet inside tiles.
 
-    A large key is dealt to several tasks, each of which compares its share of the members
-    outside the largest component with all members.
+    A key's members are dealt to slices, and a task holds two slices, whatever the size of the key. Close pairs
+    of different components are tried at the first key that the two share; links that join what the
+    tile has joined before are left out, so a tile gives fewer rows than it has components.
     """
-    sizes = members.groupBy("key").agg((F.count("*") / SPLIT).cast("int").alias("last"))
-    dealt = members.join(sizes, "key").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("last"))))
+    sizes = members.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / SLICE, F.sum("n_shingles") / SLICE_SHINGLES)).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int")
+    dealt = (
+        members.join(sizes, "key").withColumn("slice", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("one", F.least("slice", "other")).withColumn("two", F.greatest("slice", "other"))
+        .select("key", "one", "two", "slice", "index", "doc_id", "label", "n_shingles", "signature", "set")
+    )
     outs = list(combinations(range(WIDTH), ERRORS))
     rest = [[i for i in range(WIDTH) if i not in out] for out in outs]
 
-    def pair(pdf):
+    def tile(pdf):
         import pandas as pd
 
-        share, parts = pdf["share"].iloc[0], pdf["last"].iloc[0] + 1
         chunk, out = divmod(int(pdf["index"].iloc[0]), len(outs))
-        ids, labels, sizes = pdf["doc_id"].to_numpy(), pdf["label"].to_numpy(), pdf["n_shingles"].to_numpy()
+        whole = pdf["one"].iloc[0] == pdf["two"].iloc[0]
+        ids, labels, sizes, part = (pdf[c].to_numpy() for c in ("doc_id", "label", "n_shingles", "slice"))
+        sets = [np.frombuffer(b, np.uint64) for b in pdf["set"]]
         indexed, further = _unpacked(pdf["signature"].tolist())
-        _, own = np.unique(labels, return_inverse=True)
+        own = np.unique(labels, return_inverse=True)[1]
         largest = np.bincount(own).argmax()
-        us, vs = [], []
-        for i in np.flatnonzero((own != largest) & (ids % parts == share)):
+        joined, links = own.copy(), []  # the component of each member, as links join them
+        for i in np.flatnonzero(own != largest):
             fits = 100 * np.minimum(sizes, sizes[i]) >= PERCENT * np.maximum(sizes, sizes[i])
-            at = np.flatnonzero((own != own[i]) & ((own == largest) | (ids > ids[i])) & fits)
+            at = np.flatnonzero((joined != joined[i]) & ((own == largest) | (ids > ids[i])) & fits & (whole | (part != part[i])))
             off = indexed[at] != indexed[i]
             far = off.sum(axis=1)
             near = (far <= DISTANCE) & (far + (further[at] != further[i]).sum(axis=1) <= WHOLE_DISTANCE)
@@ -271,12 +287,15 @@ def _across(members: DataFrame) -> DataFrame:
             at, off = at[first], off[first][:, chunk]
             shares = np.stack([~off[:, kept].any(axis=1) for kept in rest], axis=1)
             at = at[shares.argmax(axis=1) == out]
-            us += [ids[i]] * len(at)
-            vs += ids[at].tolist()
-        us, vs = np.array(us, np.int64), np.array(vs, np.int64)
-        return pd.DataFrame({"u": np.minimum(us, vs), "v": np.maximum(us, vs)})
+            if not len(at):
+                continue
+            for j in at[_linked(sets[i], [sets[j] for j in at])]:
+                if joined[j] != joined[i]:
+                    joined[joined == joined[j]] = joined[i]
+                    links.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+        return pd.DataFrame(links, columns=["u", "v"], dtype=np.int64)
 
-    return dealt.groupBy("key", "share").applyInPandas(pair, "u BIGINT, v BIGINT")
+    return dealt.groupBy("key", "one", "two").applyInPandas(tile, "u BIGINT, v BIGINT")
 
 
 def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
@@ -289,7 +308,7 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
         F.min("doc_id").alias("class_id"), F.first("n_shingles").alias("n_shingles"), F.first("signature").alias("signature")
     )
     classes = stored(classes, "near-classes")
-    leaders = classes.select(F.col("class_id").alias("doc_id"), "n_shingles", "signature")
+    leaders = classes.select(F.col("class_id").alias("doc_id"), "same", "n_shingles", "signature")
     keys = index_keys(classes.withColumnRenamed("class_id", "doc_id"))
     # a member by chance, not always the least, so that a large group is tried against several
     chance = F.xxhash64("doc_id", F.pmod("key", F.lit(CENTRES)))
@@ -318,12 +337,13 @@ def near_dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     open_ = stored(named.join(several.select("key", "n"), "key"), "near-open")  # a key of two members has been tried already
     one, two = (open_.filter(F.col("n") <= SMALL).select("key", F.col("doc_id").alias(n), F.col("label").alias(f"label_{n}")) for n in "uv")
     few = _near(one.join(two, "key").filter("u < v AND label_u <> label_v").select("u", "v").distinct(), leaders)
-    many = _across(open_.filter(F.col("n") > SMALL).join(leaders, "doc_id"))
-    fresh = stored(few.unionByName(many).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"), "near-fresh")
-    if not fresh.isEmpty():
-        decided = stored(confirm(fresh, sets), "near-tried")
-        if not decided.filter("linked").isEmpty():
-            labels = labelled(tried.unionByName(decided))
+    fresh = stored(few.join(tried.select("u", "v"), ["u", "v"], "left_anti"), "near-fresh")
+    large = open_.filter(F.col("n") > SMALL)
+    held = sets.join(large.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id", "same").agg(F.first("set").alias("set"))
+    links = stored(_across(large.join(leaders.join(held, ["doc_id", "same"]), "doc_id")).distinct(), "near-links")
+    decided = stored(confirm(fresh, sets).unionByName(links.withColumn("linked", F.lit(True))), "near-decided")
+    if not decided.filter("linked").isEmpty():
+        labels = labelled(tried.unionByName(decided))
     ends = signed.join(classes.select("same", "class_id"), "same", "left").join(labels, F.col("class_id") == F.col("node"), "left")
     return ends.select(
         "doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"),

@@ -327,3 +327,30 @@ def test_long_pieces_and_letters_outside_the_model_are_restored():
     assert read("д" + "у" * 5 + "рак") == "дурак" and read("\u0153" * 4 + "uf") == "\u0153uf"
     assert toxicity.beginnings(read("głuuupiec")) >= {"głup"}
     assert len(read("h3llo" * 4000)) >= 4000
+
+
+@pytest.mark.parametrize("size", [1024, 40])
+def test_close_pairs_across_components_are_not_rows(spark, monkeypatch, size):
+    """A family whose members are close to all others and linked with few: its pairs are tried inside tiles."""
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for d in range(240):
+        words = list(base)
+        for at in rng.choice(400, 19, replace=False):
+            words[at] = f"x{d}_{at}"
+        rows.append((d, " ".join(words)))
+    rows += [(1000 + d, text + " again") for d, text in rows[::5]]
+    asked, confirm = [], near_dedup.confirm
+    monkeypatch.setattr(near_dedup, "confirm", lambda pairs, sets: asked.append(pairs.count()) or confirm(pairs, sets))
+    monkeypatch.setattr(near_dedup, "SLICE", size, raising=False)
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_dedup(docs, shingle=4).collect()}
+    sets = {d: {tuple(w[i : i + 4]) for i in range(len(w) - 3)} for d, w in ((d, t.split()) for d, t in rows)}
+    links = [(u, v) for u in sets for v in sets if u < v and 100 * len(sets[u] & sets[v]) >= 80 * len(sets[u] | sets[v])]
+    want = {d: d for d in sets}
+    while any(want[u] != want[v] for u, v in links):
+        for u, v in links:
+            want[u] = want[v] = min(want[u], want[v])
+    assert got == want and len(set(want.values())) > 100
+    assert sum(asked) < 15 * len(rows)
