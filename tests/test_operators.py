@@ -333,3 +333,20 @@ def test_a_stretch_stays_whole_when_the_join_before_it_turns_into_a_broadcast(sp
     assert [(r["event_id"], r["from_state"], r["to_state"]) for r in got] == expected
     # a map above a repartition makes no demand of its input, so the planner may leave the repartition out
     assert "MapInPandas" not in plan and plan.count("FlatMapGroupsInPandas") == 3
+
+
+def test_levenshtein_sim_without_the_built_in_distance(spark, capsys):
+    """The built-in distance takes the product of the lengths in steps, which one long title makes too many."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("ab漢 é") for _ in range(rng.choice([0, 1, 3, 20, 90])))
+    long = "".join(chr(97 + i * i % 23) for i in range(20_000))
+    rows = [("", ""), ("abc", ""), (None, "a"), ("abc", "abcd"), (long, long + " extra"), ("x" + long + "y", "z" + long + "u"), *((word(), word()) for _ in range(100))]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string")
+    out = df.select("i", "a", "b", text.levenshtein_sim(F.col("a"), F.col("b")).alias("s"))
+    out.explain()
+    assert "levenshtein(" not in capsys.readouterr().out
+    longest = F.greatest(F.length("a"), F.length("b"))
+    plain = F.when(longest == 0, 1.0).otherwise(1.0 - F.levenshtein("a", "b") / longest)
+    got = out.filter("i NOT IN (4, 5)").withColumn("plain", plain).collect()
+    assert [r["s"] for r in got] == [r["plain"] for r in got]
+    assert [r["s"] for r in out.filter("i IN (4, 5)").orderBy("i").collect()] == [1.0 - 6 / 20_006, 1.0 - 2 / 20_002]
