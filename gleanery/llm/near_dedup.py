@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from .common import stored
+from .tokens import release
 
 SHINGLE, PERCENT = 5, 80
 CHUNKS, WIDTH, ERRORS, SEED = 13, 5, 1, 20240
@@ -44,14 +45,16 @@ INDEXED, DISTANCE = CHUNKS * WIDTH, CHUNKS * (ERRORS + 1) - 1
 #: Values in all, the further ones of 8 bits, and how many may differ before a pair is confirmed.
 WHOLE, WHOLE_DISTANCE = 256, 79
 #: Bytes of text hashed at a time in a task.
-BLOCK = 1_000_000
+BLOCK = 250_000
 #: Orders of chance in which a key's first partner is drawn; each member of a group meets about as many.
 CENTRES = 4
 #: Keys with this many members at most have the pairs across their components tried at once;
 #: larger ones are cut into tiles. A matter of speed: both try all that is left.
 SMALL = 64
 #: Members of one key in a slice, and their shingles; a task compares two slices.
-SLICE, SLICE_SHINGLES = 1024, 2_000_000
+SLICE, SLICE_SHINGLES = 1024, 1_000_000
+#: Shingles looked up at a time in a tile.
+LOOKUP = 250_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -151,6 +154,7 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle
     """(doc_id, n_shingles, same, signature): `same` is a digest of the whole set, null for an empty one."""
 
     def sign(batches):
+        release()
         shingler, (factors, shifts) = Shingler(shingle), _functions()
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -171,6 +175,7 @@ def full_sets(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     """(doc_id, same, set): the sorted hashes of the full set, as bytes, and their digest as in `signatures`."""
 
     def build(batches):
+        release()
         shingler = Shingler(shingle)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
@@ -198,6 +203,7 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFr
     """(u, v, linked) of pairs (u, v), decided on full sets."""
 
     def decide(batches):
+        release()
         for batch in batches:
             us, vs, a, b = (batch.column(i) for i in range(4))
             hit = []
@@ -225,6 +231,7 @@ def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
     column = lambda n: signed.select(F.col("doc_id").alias(n), F.col("n_shingles").alias(f"n_{n}"), F.col("signature").alias(f"s_{n}"))
 
     def measure(batches):
+        release()
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -241,10 +248,13 @@ def _near(pairs: DataFrame, signed: DataFrame) -> DataFrame:
 def _linked(own: np.ndarray, others: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
     """Which of `others` are linked with the set `own`."""
     sizes = np.array([len(o) for o in others])
-    every = np.concatenate(others)
-    at = np.minimum(np.searchsorted(own, every), len(own) - 1)
-    both = np.add.reduceat(own[at] == every, np.cumsum(sizes) - sizes, dtype=np.int64)
-    return 100 * both >= percent * (len(own) + sizes - both)
+    block, hit = np.cumsum(sizes) // LOOKUP, []
+    for first, last in zip(*(np.searchsorted(block, np.unique(block), side) for side in ("left", "right"))):
+        every, n = np.concatenate(others[first:last]), sizes[first:last]
+        at = np.minimum(np.searchsorted(own, every), len(own) - 1)
+        both = np.add.reduceat(own[at] == every, np.cumsum(n) - n, dtype=np.int64)
+        hit.append(100 * both >= percent * (len(own) + n - both))
+    return np.concatenate(hit)
 
 
 def _across(members: DataFrame) -> DataFrame:
@@ -267,6 +277,7 @@ def _across(members: DataFrame) -> DataFrame:
     def tile(pdf):
         import pandas as pd
 
+        release()
         chunk, out = divmod(int(pdf["index"].iloc[0]), len(outs))
         whole = pdf["one"].iloc[0] == pdf["two"].iloc[0]
         ids, labels, sizes, part = (pdf[c].to_numpy() for c in ("doc_id", "label", "n_shingles", "slice"))

@@ -101,6 +101,13 @@ def piece_ids(path: str) -> PieceIds:
     return stores[path]
 
 
+def release() -> None:
+    """Gives back the stores of a worker that goes on to other work; it would hold them as long as it lives."""
+    import sys
+
+    sys.modules.get("tokenizers", sys).__dict__.pop("_piece_ids", None)
+
+
 def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
     """Ids of each text as unsigned 16-bit bytes; null is an empty text."""
     store = piece_ids(path)

@@ -354,3 +354,25 @@ def test_close_pairs_across_components_are_not_rows(spark, monkeypatch, size):
             want[u] = want[v] = min(want[u], want[v])
     assert got == want and len(set(want.values())) > 100
     assert sum(asked) < 15 * len(rows)
+
+
+def test_a_tile_looks_up_shingles_in_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    own = np.unique(rng.integers(0, 400, 300, np.uint64))
+    others = [np.unique(np.concatenate([own[n:], rng.integers(400, 800, n + 1, np.uint64)])) for n in range(0, 60, 3)]
+    want = [100 * len(np.intersect1d(own, o)) >= 80 * len(np.union1d(own, o)) for o in others]
+    monkeypatch.setattr(near_dedup, "LOOKUP", 500)
+    widest = []
+    monkeypatch.setattr(near_dedup.np, "searchsorted", lambda a, v, *rest, f=np.searchsorted: widest.append(np.size(v)) or f(a, v, *rest))
+    assert near_dedup._linked(own, others).tolist() == want and len(set(want)) == 2
+    assert max(widest) < 1000
+
+
+def test_a_worker_gives_its_token_store_back():
+    import tokenizers
+
+    tokens.piece_ids(tokens.default_path())
+    assert tokenizers._piece_ids
+    tokens.release()
+    assert not hasattr(tokenizers, "_piece_ids")
+    tokens.release()
