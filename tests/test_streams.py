@@ -3,6 +3,7 @@
 import os
 from types import SimpleNamespace
 
+import pandas as pd
 import pyarrow.compute as pc
 import pyarrow.parquet as pq
 import pytest
@@ -126,3 +127,30 @@ def test_stream_equals_its_sql_over_micro_batches(spark, three_files, monkeypatc
     monkeypatch.setattr(drive, "FILES_PER_TRIGGER", 3 // batches)
     verdict, rows = compare(spark, duck(SMALL), name, QUERIES[name], ORACLES[name], three_files)
     assert verdict == "ok" and rows > 0
+
+
+class Held:
+    """The state of one bucket, outside Spark."""
+
+    def __init__(self):
+        self.rows, self.map = [], {}
+
+    def getValueState(self, *_):
+        return SimpleNamespace(exists=lambda: bool(self.map), update=lambda _v: None)
+
+    def getListState(self, *_):
+        return SimpleNamespace(get=lambda: iter(self.rows), put=lambda rows: setattr(self, "rows", rows), clear=lambda: self.rows.clear())
+
+    def getMapState(self, *_):
+        return SimpleNamespace(containsKey=lambda k: k in self.map, updateValue=self.map.__setitem__)
+
+
+def test_one_call_has_all_phases_of_a_bucket():
+    machine, held, got = processors.PhaseProcessor(), Held(), []
+    machine.init(held)
+    rows = [("a", "x", 1, 10, "start"), ("b", "x", 2, 5, "start"), ("a", None, 3, 1, "start"), ("a", None, 4, 4, "end"), ("b", "x", 5, 9, "start"), ("c", "x", 6, 1, "end")]
+    for part in (rows, [("a", "x", 7, 2, "end"), ("b", "x", 8, 20, "end"), ("b", "x", 9, 21, "end")]):
+        pdf = pd.DataFrame([(*r[:4], f"phase_{r[4]}") for r in part], columns=["job_id", "phase", "event_id", "t", "status"])
+        for out in machine.handleInputRows((0,), iter([pdf]), None):
+            got += out[["start_id", "end_id", "duration_ms"]].values.tolist()
+    assert sorted(got) == [[1, 7, -8], [3, 4, 3], [5, 8, 11]] and not held.rows
