@@ -154,3 +154,12 @@ def test_one_call_has_all_phases_of_a_bucket():
         for out in machine.handleInputRows((0,), iter([pdf]), None):
             got += out[["start_id", "end_id", "duration_ms"]].values.tolist()
     assert sorted(got) == [[1, 7, -8], [3, 4, 3], [5, 8, 11]] and not held.rows
+
+
+def test_one_call_has_all_keys_of_a_bucket():
+    machine, held, got = processors.FirstSeenProcessor(["work_id", "seq"]), Held(), []
+    machine.init(held)
+    for part in ([(1, 5, "k"), (2, 3, "k"), (3, 4, "l")], [(4, 1, "k"), (5, 9, "m"), (6, 8, "m")]):
+        frames = iter([pd.DataFrame([(*r, 0) for r in part], columns=["work_id", "seq", "_2", "_3"])])
+        got += [i for out in machine.handleInputRows((0,), frames, None) for i in out["work_id"]]
+    assert sorted(got) == [2, 3, 6]
