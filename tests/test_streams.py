@@ -163,3 +163,10 @@ def test_one_call_has_all_keys_of_a_bucket():
         frames = iter([pd.DataFrame([(*r, 0) for r in part], columns=["work_id", "seq", "_2", "_3"])])
         got += [i for out in machine.handleInputRows((0,), frames, None) for i in out["work_id"]]
     assert sorted(got) == [2, 3, 6]
+
+
+def test_a_job_without_dead_letters_hands_back_no_frame():
+    pdf = pd.DataFrame([(1, 1, "retry", "x", 1, 1.0, None)], columns=["t", "event_id", "kind", "phase", "size", "ms", "error"])
+    machine = processors.DeadLetterQueueProcessor(2, 10)
+    machine.handle = machine.state = SimpleNamespace(exists=lambda: False, clear=lambda: None)
+    assert list(machine.handleInputRows(("a",), iter([pdf]), None)) == []
