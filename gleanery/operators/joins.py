@@ -247,17 +247,25 @@ def reconcile_stats(current: DataFrame, imported: DataFrame, keys: tuple[str, ..
 def source_records(papers: DataFrame, flags: DataFrame) -> DataFrame:
     """Physical records behind each paper, one row each: its own and its flagged partners.
 
-    A flag belongs to a paper by id or by title: two equi-joins, made distinct.
-    The result is long, so no partner list is ever held in one row.
+    A flag belongs to a paper by id or by title. The result is long, so no partner list is
+    ever held in one row, and it grows with the square of a shared title. Those pairs are not
+    made distinct, which would hold them in a task: both sides of the title join are, a partner
+    with the paper's own id is left to the join by id, and only papers under several titles
+    (or without an id) can repeat a pair.
     """
-    own = papers.select("paper_id", "source", F.col("paper_id").cast("string").alias("source_id"))
+    cols = ["paper_id", "source", "source_id"]
+    own = papers.select("paper_id", "source", F.col("paper_id").cast("string").alias("source_id"), F.col("title").alias("_title"))
     flag = flags.select(
         F.col("paired_id").cast("string").alias("source_id"), F.col("paired_source").alias("source"), F.col("paired_title").alias("_title")
-    )
-    by_id = papers.select("paper_id", F.col("paper_id").cast("string").alias("source_id")).join(flag, "source_id")
-    by_title = papers.select("paper_id", F.col("title").alias("_title")).join(flag, "_title")
-    cols = ["paper_id", "source", "source_id"]
-    return own.unionByName(by_id.select(*cols)).unionByName(by_title.select(*cols)).distinct()
+    ).distinct()
+    by_id = own.select("paper_id", "source_id").join(flag.select("source_id", "source"), "source_id")
+    titles = own.filter("paper_id IS NOT NULL").groupBy("paper_id").agg(F.min("_title").alias("_title"), F.max("_title").alias("_last"))
+    others = F.col("source_id").isNull() | (F.col("source_id") != F.col("paper_id").cast("string"))
+    by_title = titles.filter("_title = _last").join(flag, "_title").filter(others)
+    unsure = own.join(titles.filter("_title <> _last").select("paper_id"), "paper_id", "left_semi").unionByName(own.filter("paper_id IS NULL"))
+    repeated = unsure.select("paper_id", "_title").distinct().join(flag, "_title")
+    few = own.select(*cols).unionByName(by_id.select(*cols)).unionByName(repeated.select(*cols)).distinct()
+    return few.unionByName(by_title.select(*cols))
 
 
 def screening_subject(screen: DataFrame, works: DataFrame, trials: DataFrame, registry_result: DataFrame, equity: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from gleanery import lookups as L
 from gleanery.functions import kernels, text
 from gleanery.operators import dedup, filters, jobs, joins, layout, ledger, textops, title_join, windows
 from gleanery.operators.components import connected_components
+from gleanery.plans.catalogue import load
 from gleanery.plans.fixtures import Tables
 from gleanery.sources import readers, writers
 
@@ -350,3 +351,41 @@ def test_levenshtein_sim_without_the_built_in_distance(spark, capsys):
     got = out.filter("i NOT IN (4, 5)").withColumn("plain", plain).collect()
     assert [r["s"] for r in got] == [r["plain"] for r in got]
     assert [r["s"] for r in out.filter("i IN (4, 5)").orderBy("i").collect()] == [1.0 - 6 / 20_006, 1.0 - 2 / 20_002]
+
+
+def test_partners_by_title_are_not_made_distinct(spark):
+    """The pairs of a shared title pass no aggregate, and the rows are those of the plain reading."""
+    papers = [(1, "p", "t"), (2, "q", "t"), (3, "p", None), (4, "r", "u"), (4, "r", "v"), (4, "r", "v"), (None, "n", "t")]
+    flags = [(2, "q", "t"), (7, "x", "t"), (7, "x", "t"), (None, "n", "t"), (8, "y", "u"), (8, "y", "v"), (3, "z", "none")]
+    p = spark.createDataFrame(papers, "paper_id long, source string, title string")
+    f = spark.createDataFrame(flags, "paired_id long, paired_source string, paired_title string")
+    want = {(i, s, i) for i, s, _ in papers} | {(i, fs, fi) for i, _, t in papers for fi, fs, ft in flags if (i is not None and i == fi) or (t is not None and t == ft)}
+    out = joins.source_records(p, f)
+    got = [(r["paper_id"], r["source"], None if r["source_id"] is None else int(r["source_id"])) for r in out.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    top = [l for l in out._jdf.queryExecution().optimizedPlan().toString().split("\n") if l.strip()]
+    assert top[0].startswith("Union")
+
+
+def test_an_inverted_abstract_is_made_without_a_shuffle(spark):
+    texts = ["b a b c a b", "", "one", "ä z ä"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.inverted_abstract(F.split("t", " ")).alias("m"))
+    for r in df.select("t", "m", text.decode_inverted_abstract(F.col("m")).alias("back")).collect():
+        words = r["t"].split(" ")
+        assert r["back"] == r["t"] and r["m"] == {w: [i for i, x in enumerate(words) if x == w] for w in words}
+    docs = load()[0]["inverted_abstract"](spark, "/root/testdata/sf0.001")
+    assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_block_lies_in_few_cells(spark):
+    spans = spark.createDataFrame([(1, i, float(x), float(y)) for i, (x, y) in enumerate([(0, 0), (260, 300), (261, 5), (-5, 10), (130, 900)])], "page_id long, box_id long, left_pt double, top_pt double")
+    blocks = spark.createDataFrame([(1, 1, 0.0, 0.0, 260.0, 300.0), (1, 2, -10.0, 5.0, 300.0, 1000.0), (1, 3, 5.0, 5.0, 1.0, 9.0)], "page_id long, block_id int, bx0 double, by0 double, bx1 double, by1 double")
+    rows = lambda **cell: sorted((r["box_id"], r["block_id"]) for r in layout.assign_to_blocks(spans, blocks, **cell).collect())
+    assert rows() == rows(cell=7.0) == [(0, 1), (1, 1), (1, 2), (2, 2), (3, 2), (4, 2)]
+    seen = []
+    layout_explode, F.explode = F.explode, lambda c: seen.append(c) or layout_explode(c)
+    try:
+        rows()
+    finally:
+        F.explode = layout_explode
+    assert "100.0" not in str(seen)
