@@ -288,9 +288,8 @@ def _(t):
 @query("inverted_abstract", f"SELECT doc_id, md5(text) AS text_md5 FROM (SELECT doc_id, {sql_title('text')} AS text FROM documents)")
 def _(t):
     """Texts turned into {word: positions} and back."""
-    words = t.documents.select("doc_id", F.posexplode(F.split(text.norm_title(F.col("text")), " ")).alias("at", "word"))
-    per_word = words.groupBy("doc_id", "word").agg(F.collect_list("at").alias("places"))
-    inverted = per_word.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "places"))).alias("inverted"))
+    words = t.documents.select("doc_id", F.split(text.norm_title(F.col("text")), " ").alias("words"))
+    inverted = words.select("doc_id", text.inverted_abstract(F.col("words")).alias("inverted"))
     return inverted.select("doc_id", md5(text.decode_inverted_abstract(F.col("inverted"))).alias("text_md5"))
 
 
