@@ -86,14 +86,23 @@ def collision_groups(boxes: DataFrame, min_ratio: float = 0.20) -> DataFrame:
     )
 
 
-def assign_to_blocks(spans: DataFrame, blocks: DataFrame, cell: float = CELL) -> DataFrame:
-    """Span origin inside a block rectangle, edges included; one row per match."""
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+def assign_to_blocks(spans: DataFrame, blocks: DataFrame, cell: float | None = None) -> DataFrame:
+    """Span origin inside a block rectangle, edges included; one row per match.
+
+    Spans and blocks meet in grid cells. Without `cell` these are twice as wide and high as the
+    mean block, so that a block is entered in about two; the rows are the same for every grid.
+    """
+    if cell is None:
+        wide, high = blocks.agg(F.avg(F.col("bx1") - F.col("bx0")), F.avg(F.col("by1") - F.col("by0"))).first()
+        wide, high = (float(2 * x) if x and x > 0 else CELL for x in (wide, high))
+    else:
+        wide = high = cell
+    cells = lambda lo, hi, size: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
     b = (
-        blocks.select("page_id", "block_id", "bx0", "by0", "bx1", "by1")
-        .withColumn("_cx", cells("bx0", "bx1")).withColumn("_cy", cells("by0", "by1"))
+        blocks.select("page_id", "block_id", "bx0", "by0", "bx1", "by1").filter("bx0 <= bx1 AND by0 <= by1")
+        .withColumn("_cx", cells("bx0", "bx1", wide)).withColumn("_cy", cells("by0", "by1", high))
     )
-    s = spans.withColumn("_cx", F.floor(F.col("left_pt") / cell)).withColumn("_cy", F.floor(F.col("top_pt") / cell))
+    s = spans.withColumn("_cx", F.floor(F.col("left_pt") / wide)).withColumn("_cy", F.floor(F.col("top_pt") / high))
     inside = F.col("left_pt").between(F.col("bx0"), F.col("bx1")) & F.col("top_pt").between(F.col("by0"), F.col("by1"))
     return s.join(b, ["page_id", "_cx", "_cy"]).filter(inside).drop("_cx", "_cy", "bx0", "by0", "bx1", "by1")
 
