@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -297,13 +300,58 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def duplicate_files(spark: SparkSession, path: str, inventory: DataFrame | None = None) -> DataFrame:
-    """Evidence ladder: sizes first, contents hashed only where a size is shared."""
+#: Larger files are hashed in the pieces that Spark splits text files into.
+WHOLE_FILE = 64 << 20
+#: File endings that Spark's text reader would unpack; files of such a size are read whole.
+PACKED = r"\.(gz|bz2|deflate|lz4|snappy|zst|passthrough)$"
+
+
+def _line_hashes(batches):
+    """(file, at, sha256) of each piece of a file, from its lines in order."""
+    now, digest = None, None
+    for batch in batches:
+        for line, *piece in zip(*(c.to_pylist() for c in batch.columns)):
+            if piece != now:
+                if now:
+                    yield pa.RecordBatch.from_pydict({"file": [now[0]], "at": [now[1]], "part": [digest.hexdigest()]})
+                now, digest = piece, hashlib.sha256()
+            digest.update(line + b"\n")
+    if now:
+        yield pa.RecordBatch.from_pydict({"file": [now[0]], "at": [now[1]], "part": [digest.hexdigest()]})
+
+
+def content_hashes(spark: SparkSession, path: str, small: list[int], large: list[int]) -> DataFrame:
+    """(path, sha256) of the files of these sizes; others are not opened.
+
+    A file of a `large` size is no row: it is read line by line, and its hash is that of the hashes of
+    its pieces. Files of one size are cut at the same places, and lines with the size give the
+    contents, so equal hashes mean equal files; such a hash is not the file's own SHA-256.
+    """
+    files = spark.read.option("recursiveFileLookup", True)
+    size = F.col("_metadata.file_size")
+    binary = files.format("binaryFile").load(path)
+    own = binary.filter(size.isin(small)).select("path", F.sha2("content", 256).alias("sha256"))
+    if not large:
+        return own
+    lines = files.option("lineSep", "\n").format("text").load(path).filter(size.isin(large)).select(
+        F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")
+    )
+    pieces = lines.mapInArrow(_line_hashes, "file STRING, at BIGINT, part STRING")
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("at", "part"))), lambda p: F.concat_ws(":", p["at"].cast("string"), p["part"]))
+    hashed = pieces.groupBy("file").agg(F.sha2(F.array_join(parts, ","), 256).alias("sha256"))
+    names = binary.select("path", F.col("_metadata.file_path").alias("file"))
+    return own.unionByName(names.join(hashed, "file").select("path", "sha256"))
+
+
+def duplicate_files(spark: SparkSession, path: str, inventory: DataFrame | None = None, whole: int = WHOLE_FILE) -> DataFrame:
+    """Evidence ladder: sizes first, contents hashed only where a size is shared.
+
+    The shared sizes pass through the driver, which has listed every file of the folder anyway.
+    """
     inv = file_inventory(spark, path) if inventory is None else inventory
-    shared = inv.groupBy("length").agg(F.count("*").alias("n")).filter("n > 1").select("length")
-    candidates = inv.join(shared, "length", "left_semi").select("path")
-    contents = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-    hashed = contents.join(candidates, "path", "left_semi").select("path", F.sha2("content", 256).alias("sha256"))
+    at_once = F.max((F.col("length") <= whole) | F.lower("name").rlike(PACKED)).alias("at_once")
+    shared = inv.groupBy("length").agg(F.count("*").alias("n"), at_once).filter("n > 1").collect()
+    hashed = content_hashes(spark, path, [r["length"] for r in shared if r["at_once"]], [r["length"] for r in shared if not r["at_once"]])
     same_hash = hashed.groupBy("sha256").agg(F.count("*").alias("same_content"))
     same_name = inv.groupBy("name", "type").agg(F.count("*").alias("same_name"))
     known = hashed.join(same_hash, "sha256")

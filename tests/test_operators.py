@@ -389,3 +389,18 @@ def test_a_block_lies_in_few_cells(spark):
     finally:
         F.explode = layout_explode
     assert "100.0" not in str(seen)
+
+
+def test_large_files_are_hashed_in_pieces_and_only_where_a_size_is_shared(spark, tmp_path):
+    body = b"".join(bytes([i % 256, 10 * (i % 7 == 0), 255]) for i in range(4000))
+    other = body[:-5] + b"other"
+    for name, content in {"a/x.bin": body, "b/y.bin": body, "c/z.bin": other, "d/w.gz": body + b"!!", "f/u.bin": body + b"!!", "e/v.bin": body + b"!"}.items():
+        (tmp_path / name).parent.mkdir()
+        (tmp_path / name).write_bytes(content)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    try:
+        got = {r["path"].rsplit("/", 2)[1]: (r["sha256"], r["verdict"][:8]) for r in readers.duplicate_files(spark, str(tmp_path), whole=100).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got["a"] == got["b"] == (got["a"][0], "VERIFIED") and got["c"][0] not in (None, got["a"][0])
+    assert got["c"][1] == "UNIQUE/P" and got["d"] == got["f"] == (got["d"][0], "VERIFIED") and got["e"] == (None, "UNIQUE/P")
