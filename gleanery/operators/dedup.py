@@ -32,8 +32,11 @@ BANDS, ROWS_PER_BAND = 16, 3
 
 def title_shingles(norm: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter title is its own shingle."""
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(norm) - (n - 1)))
-    return F.array_distinct(F.transform(starts, lambda i: F.substring(norm, i, F.lit(n))))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.length(norm) - n))
+    # letters are reached by place; `substring` walks a long title from its beginning each time
+    cut = lambda letters: F.transform(starts, lambda i: F.concat_ws("", *[F.get(letters, i + k) for k in range(n)]))
+    grams = F.get(F.transform(F.array(F.split(norm, "")), cut), F.lit(0))
+    return F.array_distinct(F.when(norm.isNull(), F.array(F.lit(None).cast("string"))).otherwise(grams))
 
 
 def block_keys(df: DataFrame, norm: str = "norm", bands: int = BANDS, rows: int = ROWS_PER_BAND) -> DataFrame:

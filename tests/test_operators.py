@@ -404,3 +404,13 @@ def test_large_files_are_hashed_in_pieces_and_only_where_a_size_is_shared(spark,
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert got["a"] == got["b"] == (got["a"][0], "VERIFIED") and got["c"][0] not in (None, got["a"][0])
     assert got["c"][1] == "UNIQUE/P" and got["d"] == got["f"] == (got["d"][0], "VERIFIED") and got["e"] == (None, "UNIQUE/P")
+
+
+def test_block_keys_reach_letters_by_place(spark):
+    rows = spark.createDataFrame(list(enumerate(["", "ab", "abc", "ä𝒳z longer title", "x y " * 900, None])), "id int, norm string")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("norm") - 2)), lambda i: F.substring(F.col("norm"), i, F.lit(3))))
+    least = lambda n: F.array_min(F.transform(grams, lambda s: F.xxhash64(F.xxhash64(s), F.lit(n))))
+    plain = rows.select("id", F.explode(F.array(*[F.xxhash64(F.lit(b), *[least(3 * b + r) for r in range(3)]) for b in range(4)])).alias("block"))
+    got = dedup.block_keys(rows, bands=4)
+    assert sorted(map(tuple, got.select("id", "block").collect())) == sorted(map(tuple, plain.distinct().collect()))
+    assert "substring" not in got._jdf.queryExecution().optimizedPlan().toString()
