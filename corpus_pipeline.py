@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanery.llm import exact, mixing, near_dedup, packing, quality
+from gleanery.llm import exact, mixing, near_dedup, packing, quality, tokens
 from gleanery.llm.common import stored
 
 
@@ -50,7 +50,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the training sequences."""
-    cut = stored(packing.pieces(docs), "pieces")
+    cut = stored(packing.pieces(docs, kept=tokens.FEW), "pieces")
     packed = packing.pack(cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 

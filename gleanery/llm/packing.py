@@ -42,8 +42,11 @@ CAPACITY, END_ID, GROUPS = 4096, 1, 12
 # --- pieces ---------------------------------------------------------------------------
 
 
-def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, piece, start, length, ids): ids as little-endian unsigned 32-bit integers."""
+def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, key: str = "doc_id", text: str = "text", kept: tuple[int, int] | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids): ids as little-endian unsigned 32-bit integers.
+
+    `kept`: bounds of a worker's store of tokens, see `tokens`; they affect speed and memory only.
+    """
     path = tokenizer or default_path()
 
     def cut(batches):
@@ -52,7 +55,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
             for at in range(0, batch.num_rows, 256):  # small batches out: ids take more room than text
                 part = batch.slice(at, 256)
                 rows = [[], [], [], [], []]
-                for k, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path)):
+                for k, raw in zip(part.column(0).to_pylist(), encode(part.column(1).to_pylist(), path, kept)):
                     ids = np.frombuffer(raw + end, "<u2").astype("<u4")
                     for n, start in enumerate(range(0, len(ids), capacity)):
                         piece = ids[start : start + capacity]

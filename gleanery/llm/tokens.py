@@ -16,6 +16,8 @@ import numpy as np
 #: Entries kept by a worker: pieces as they stand in texts, and words behind them. A full
 #: store is emptied; this affects speed only.
 KEPT_PIECES, KEPT_WORDS = 400_000, 1_000_000
+#: The same where other stages follow in the workers, which hold their stores meanwhile: about 200 MB a worker instead of 350.
+FEW = (150_000, 300_000)
 #: Texts whose new pieces are learnt together.
 BLOCK = 64
 #: A piece that is one run of Latin letters and one run of stops: their ids stand side by side.
@@ -32,6 +34,7 @@ class PieceIds:
         from tokenizers import Tokenizer
 
         self.known: dict[str, bytes] = {}
+        self.kept = (KEPT_PIECES, KEPT_WORDS)
         self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 65536:
             raise ValueError("ids do not fit into 16 bits")
@@ -55,9 +58,9 @@ class PieceIds:
 
     def learn(self, pieces: set[str]) -> None:
         """Fill in pieces not known yet."""
-        if len(self.known) > KEPT_PIECES:
+        if len(self.known) > self.kept[0]:
             self.known.clear()
-        if len(self.words) > KEPT_WORDS:
+        if len(self.words) > self.kept[1]:
             self.words = {"": b""}
         known, words = self.known, self.words
         plain = [m for m in map(_PLAIN.fullmatch, pieces) if m]
@@ -108,9 +111,10 @@ def release() -> None:
     sys.modules.get("tokenizers", sys).__dict__.pop("_piece_ids", None)
 
 
-def encode(texts: list[str | None], path: str) -> Iterator[bytes]:
-    """Ids of each text as unsigned 16-bit bytes; null is an empty text."""
+def encode(texts: list[str | None], path: str, kept: tuple[int, int] | None = None) -> Iterator[bytes]:
+    """Ids of each text as unsigned 16-bit bytes; null is an empty text. `kept`: pieces and words that the store may keep."""
     store = piece_ids(path)
+    store.kept = kept or (KEPT_PIECES, KEPT_WORDS)
     for at in range(0, len(texts), BLOCK):
         yield from store.ids([t or "" for t in texts[at : at + BLOCK]])
 

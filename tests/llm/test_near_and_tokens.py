@@ -376,3 +376,16 @@ def test_a_worker_gives_its_token_store_back():
     tokens.release()
     assert not hasattr(tokenizers, "_piece_ids")
     tokens.release()
+
+
+def test_a_store_keeps_to_the_bounds_it_is_given(tokenizer):
+    texts = [prose(30, i) + f" w{i} v{i}, u{i}" for i in range(4 * tokens.BLOCK)]
+    tokens.release()
+    got = [np.frombuffer(raw, "<u2").tolist() for raw in tokens.encode(texts, tokens.default_path(), (50, 60))]
+    store = tokens.piece_ids(tokens.default_path())
+    assert got == [ids_of(tokenizer, t) for t in texts]
+    assert len(store.known) <= 50 + tokens.BLOCK * 34 and len(store.known) < len({p for t in texts for p in t.split(" ")})
+    list(tokens.encode(["a"], tokens.default_path()))
+    assert store.kept == (tokens.KEPT_PIECES, tokens.KEPT_WORDS)
+    tokens.release()
+    assert max(tokens.FEW) < min(store.kept)  # of the pipeline, whose other stages run beside these stores
