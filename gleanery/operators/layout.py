@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import lookups as L
+from ..functions.kernels import collision_labels
+from ..session import cut_lineage
 from .components import connected_components
 
 CELL = 100.0
+#: A page with this many boxes at most is compared in one piece; larger ones are spread over the grid.
+PAGE = 512
+#: Boxes of the pages that a call compares, on average.
+PAGES = 20_000
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -74,7 +81,46 @@ def box_collisions(boxes: DataFrame, min_ratio: float = 0.20, cell: float = CELL
 
 
 def collision_groups(boxes: DataFrame, min_ratio: float = 0.20) -> DataFrame:
-    """Connected components of colliding boxes; group_id is the smallest box id of the group."""
+    """Connected components of colliding boxes; group_id is the smallest box id of the group.
+
+    No group leaves its page. Pages of `PAGE` boxes at most are compared and labelled whole, many
+    to a call, after one shuffle; the boxes of larger ones meet in the grid and go through the rounds
+    of `connected_components`. A box without a page or an id is a group of its own.
+    """
+    boxes = boxes.select("page_id", "box_id", "left_pt", "top_pt", "width_pt", "height_pt")
+    named = boxes.filter("page_id IS NOT NULL AND box_id IS NOT NULL")
+    rest = boxes.filter("page_id IS NULL OR box_id IS NULL").select("page_id", "box_id", F.col("box_id").cast("long").alias("group_id"))
+    counts = named.groupBy("page_id").count()
+    total, large = counts.agg(F.sum("count"), F.count_if(F.col("count") > PAGE)).first()
+    if not large:
+        return _groups_of_pages(named, min_ratio, total or 0).unionByName(rest)
+    pages = cut_lineage(counts.filter(F.col("count") > PAGE).select("page_id"))
+    small, wide = named.join(pages, "page_id", "left_anti"), named.join(pages, "page_id", "left_semi")
+    return _groups_of_pages(small, min_ratio, total).unionByName(_groups_by_rounds(wide, min_ratio)).unionByName(rest)
+
+
+def _groups_of_pages(boxes: DataFrame, min_ratio: float, total: int) -> DataFrame:
+    """`collision_groups` of pages that a call can hold; coordinates are compared as doubles."""
+
+    sides = ["left_pt", "top_pt", "width_pt", "height_pt"]
+
+    def label(table: pa.Table) -> pa.Table:
+        page = table.column("page_id").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        columns = [table.column(c).to_numpy() for c in ("_box", *sides)]
+        groups = collision_labels(page, *columns, min_ratio)
+        return table.select(["page_id", "box_id"]).append_column("group_id", pa.array(groups, pa.int64()))
+
+    complete = F.expr(" AND ".join(f"{c} IS NOT NULL" for c in sides))
+    dealt = boxes.select(
+        F.pmod(F.xxhash64("page_id"), F.lit(total // PAGES + 1)).alias("_bucket"), "page_id", "box_id", F.col("box_id").cast("long").alias("_box"),
+        *[F.when(complete, F.col(c).cast("double")).otherwise(F.lit(0.0)).alias(c) for c in sides],
+    )  # a box with an unknown side touches none, as one without width
+    kind = {f.name: f.dataType.simpleString() for f in boxes.schema}
+    return dealt.groupBy("_bucket").applyInArrow(label, f"page_id {kind['page_id']}, box_id {kind['box_id']}, group_id BIGINT")
+
+
+def _groups_by_rounds(boxes: DataFrame, min_ratio: float) -> DataFrame:
+    """`collision_groups` of pages of any size."""
     name = lambda box: F.concat_ws(":", F.lpad(F.col("page_id").cast("string"), 20, "0"), F.lpad(F.col(box).cast("string"), 20, "0"))
     edges = box_collisions(boxes, min_ratio).select(name("upper_id").alias("u"), name("lower_id").alias("v"))
     groups = connected_components(edges)

@@ -3,6 +3,7 @@
 import os
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -414,3 +415,54 @@ def test_block_keys_reach_letters_by_place(spark):
     got = dedup.block_keys(rows, bands=4)
     assert sorted(map(tuple, got.select("id", "block").collect())) == sorted(map(tuple, plain.distinct().collect()))
     assert "substring" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def groups_of_boxes(rows, ratio=0.2):
+    """Group of each (page, box) by comparing all pairs."""
+    root = {(r[0], r[1]): (r[0], r[1]) for r in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in rows:
+        for b in rows:
+            if None in a or None in b or a[0] != b[0] or a[1] >= b[1]:
+                continue
+            (al, at, aw, ah), (bl, bt, bw, bh) = a[2:], b[2:]
+            ax, bx = sorted((al, al + aw)), sorted((bl, bl + bw))
+            wide, narrow = min(ax[1], bx[1]) - max(ax[0], bx[0]), min(abs(aw), abs(bw))
+            if ax[0] < bx[1] and bx[0] < ax[1] and at < bt + bh and bt < at + ah and narrow > 0 and wide / narrow > ratio:
+                x, y = find((a[0], a[1])), find((b[0], b[1]))
+                root[max(x, y)] = min(x, y)
+    return sorted(((r[0], r[1], find((r[0], r[1]))[1]) for r in rows), key=str)
+
+
+def test_collision_groups_of_small_and_large_pages(spark, monkeypatch):
+    rng, rows = random.Random(11), []
+    for page in range(12):
+        for box in rng.sample(range(1000), 3 * page + 1):
+            rows.append((page, box, rng.uniform(-100, 900), rng.uniform(0, 900), rng.choice([-60.0, 0.0, 90.0, 200.0]), rng.uniform(5, 200)))
+    rows += [(11, rows[-1][1], 0.0, 0.0, 80.0, 80.0), (3, 2000, None, 1.0, 50.0, 50.0), (3, 2001, 1.0, 1.0, 50.0, None), (None, 5, 0.0, 0.0, 9.0, 9.0), (None, 6, 0.0, 0.0, 9.0, 9.0), (4, None, 0.0, 0.0, 9.0, 9.0)]
+    boxes = spark.createDataFrame(rows, "page_id long, box_id long, left_pt double, top_pt double, width_pt double, height_pt double").repartition(3)
+    expected = groups_of_boxes(rows)
+    assert any(box != group for _, box, group in expected)
+    got = lambda: sorted((tuple(r) for r in layout.collision_groups(boxes).collect()), key=str)
+    monkeypatch.setattr(layout, "PAGES", 40)
+    monkeypatch.setattr(layout, "PAGE", 12)  # larger pages go by the grid
+    assert got() == expected
+    monkeypatch.setattr(layout, "PAGE", 512)
+    rounds = []
+    monkeypatch.setattr(layout, "connected_components", lambda edges: rounds.append(1) or connected_components(edges))
+    assert got() == expected and not rounds  # no rounds over all boxes for pages that a call can hold
+    assert layout.collision_groups(boxes.limit(0)).count() == 0
+
+
+def test_collision_labels_of_a_long_chain_and_of_sides_that_are_no_numbers():
+    n, nan = 400, float("nan")
+    column = lambda *values: np.array(values, float)
+    chain = kernels.collision_labels(np.zeros(n, int), np.random.default_rng(1).permutation(n), np.zeros(n), np.arange(n) * 10.0, np.full(n, 50.0), np.full(n, 12.0), 0.2)
+    assert set(chain) == {0}
+    # as in SQL, NaN is above all numbers: a box of width NaN reaches as far as one likes
+    assert list(kernels.collision_labels(np.zeros(3, int), np.arange(3), column(0, 500, 0), column(0, 0, 100), column(nan, 50, 50), column(9, 9, 9), 0.2)) == [0, 0, 2]
