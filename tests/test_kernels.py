@@ -181,3 +181,34 @@ def test_anchor_search_keeps_pace_with_long_texts():
     found = kernels.best_windows(texts, claims, 0.7)
     assert time.process_time() - start < 5
     assert [f[:2] for f in found] == [(9_000, 9_048)] * 40
+
+
+def test_pairs_that_miss_the_floor_are_dropped_early_and_others_keep_their_exact_score(monkeypatch):
+    rng = random.Random(21)
+    for letters in ("ab", "abcdefgh ", "éè日本 a", "eeeaaattoinshrdluzq  "):
+        titles = ["".join(rng.choice(letters) for _ in range(rng.choice([1, 2, 9, 60, 200]) + rng.randint(0, 9))) for _ in range(12)]
+        titles += [t[: len(t) // 2] + rng.choice(letters) + t[len(t) // 2 + rng.randint(0, 2) :] for t in titles]
+        titles = sorted(set(titles))
+        a, b = np.array([(i, j) for i in range(len(titles)) for j in range(len(titles)) if i != j]).T
+        exact = np.array([kernels.jaro_winkler_score(titles[i], titles[j]) for i, j in zip(a, b)])
+        common = np.array([sum(min(titles[i].count(c), titles[j].count(c)) for c in set(titles[i])) for i, j in zip(a, b)])
+        for chunk in (60, 1 << 18):
+            monkeypatch.setattr(kernels, "_RANKS", chunk)
+            for floor in (0.5, 0.7, 0.85, 0.92):
+                got = kernels.TitleLetters(titles).reaching(a, b, common, floor)
+                assert got.tolist() == np.where(exact >= floor, exact, -1.0).tolist()
+
+
+def test_titles_of_the_same_letters_are_told_apart_by_their_beginnings():
+    """Texts that share most letters, but not their order, are not scored whole."""
+    from gleanery.operators import title_join
+
+    rng = random.Random(22)
+    titles = ["".join(rng.choice("eeeeaaattoinshrdlu  ") for _ in range(400)) for _ in range(600)]
+    titles += [t[:200] + "x" + t[203:] for t in titles[:4]]
+    seq = np.arange(len(titles))
+    start = time.process_time()
+    u, v, score = title_join._compare(titles, seq, titles, seq, True, title_join.JaroWinkler(0.92))
+    assert time.process_time() - start < 2
+    assert sorted(zip(u.tolist(), v.tolist())) == [(i, 600 + i) for i in range(4)]
+    assert score.tolist() == [kernels.jaro_winkler_score(titles[i], titles[600 + i]) for i in range(4)]
