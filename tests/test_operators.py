@@ -466,3 +466,19 @@ def test_collision_labels_of_a_long_chain_and_of_sides_that_are_no_numbers():
     assert set(chain) == {0}
     # as in SQL, NaN is above all numbers: a box of width NaN reaches as far as one likes
     assert list(kernels.collision_labels(np.zeros(3, int), np.arange(3), column(0, 500, 0), column(0, 0, 100), column(nan, 50, 50), column(9, 9, 9), 0.2)) == [0, 0, 2]
+
+
+def test_review_marks_need_no_pair_of_two_marked_works(spark, monkeypatch):
+    """All works that have a near title are named, without the square of a group of alike titles."""
+    monkeypatch.setattr(title_join, "COVERED", 16)
+    rng = random.Random(31)
+    titles = [f"licensed under the terms of the open library of records nct{n:08d}" for n in range(150)]
+    titles += ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(40)]
+    titles += [t[:30] + "q" + t[31:] for t in titles[-10:]]
+    works = works_of(spark, titles, [2000 + i % 2 for i in range(len(titles))])
+    every = dedup.title_lev_pairs(works).collect()
+    some = dedup.title_lev_pairs(works, cover=True).collect()
+    ends = lambda pairs: {i for r in pairs for i in (r["left_id"], r["right_id"])}
+    assert ends(some) == ends(every) and len(ends(every)) >= 170
+    assert {tuple(r) for r in some} <= {tuple(r) for r in every}
+    assert len(some) < 3 * len(titles) < len(every)
